@@ -58,7 +58,12 @@ def season_number(date: Column) -> Column:
 
 
 def season_name(date: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(s) for s in SEASONS]), season_number(date))
+    # Not element_at: it yields a non-null column, and a null date would get some season.
+    number = season_number(date)
+    out = F.lit(None).cast("string")
+    for i, name in enumerate(SEASONS, start=1):
+        out = F.when(number == i, F.lit(name)).otherwise(out)
+    return out
 
 
 def binned(c: Column, edges: list[float], labels: list[str]) -> Column:

@@ -21,7 +21,7 @@ from tablewright.plans.quantiles import exact_quantiles
 UNKNOWN_CODE = 100
 UNKNOWN_TEXT = "Unknown"
 
-SHORT_LIST = 200
+SHORT_LIST = 32
 GRID = 4096
 
 
@@ -93,17 +93,20 @@ class ProportionalFill(FittedOperator):
         c, into = args["column"], args["into"] or args["column"]
         u = hash_uniform(F.col(args["key"]), f"{c}:{args['seed']}")
         if "bands" in scalars:
-            draw = F.lit(None).cast(df.schema[c].dataType)
-            for value, low, high in reversed(scalars["bands"]):
-                draw = F.when((u >= low) & (u < high), F.lit(value)).otherwise(draw)
-            return df.withColumn(into, F.coalesce(F.col(c), draw))
+            if not scalars["bands"]:
+                return df.withColumn(into, F.col(c))
+            draw = F.lit(scalars["bands"][-1][0])
+            for value, _, high in reversed(scalars["bands"][:-1]):
+                draw = F.when(F.col("draw") < high, F.lit(value)).otherwise(draw)
+            drawn = df.withColumn("draw", F.when(F.col(c).isNull(), u))
+            return drawn.withColumn(into, F.coalesce(F.col(c), draw.cast(df.schema[c].dataType))).drop("draw")
         known = df.filter(F.col(c).isNotNull()).withColumn(into, F.col(c))
         missing = df.filter(F.col(c).isNull()).withColumn("draw", u).withColumn("cell", F.floor(F.col("draw") * GRID).cast("int"))
         bands = tables["bands"].df
         side = F.broadcast(bands) if tables["bands"].small else bands
         # u is uniform over the grid cells, so no cell is hot.
         hit = (missing["cell"] == side["cell"]) & (missing["draw"] >= side["low"]) & (missing["draw"] < side["high"])
-        filled = missing.join(side, hit, "left").withColumn(into, F.col("value").cast(df.schema[c].dataType))
+        filled = missing.join(side, hit, "left").drop(side["cell"]).withColumn(into, F.col("value").cast(df.schema[c].dataType))
         return known.unionByName(filled.select(*known.columns))
 
 
@@ -233,8 +236,9 @@ class DateByMeanGap(FittedOperator):
 
     def learn(self, train, args):
         gap = micros(F.col(args["target"])) - micros(F.col(args["reference"]))
-        total, n = train.agg(F.sum(gap), F.count(gap)).first()
-        return {"gap_micros": total // n if n else None}, {}
+        # Decimal: the sum over all rows would overflow a long.
+        total, n = train.agg(F.sum(gap.cast("decimal(20,0)")), F.count(gap)).first()
+        return {"gap_micros": int(total) // n if n else None}, {}
 
     @staticmethod
     def apply(df, args, scalars, tables):
