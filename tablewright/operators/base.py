@@ -13,7 +13,16 @@ from typing import Any
 
 from pyspark.ml import Estimator, Model, Transformer
 from pyspark.ml.param import Param
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReader, MLWriter
+from pyspark.ml.util import (
+    DefaultParamsReadable,
+    DefaultParamsReader,
+    DefaultParamsWritable,
+    DefaultParamsWriter,
+    MLReadable,
+    MLReader,
+    MLWritable,
+    MLWriter,
+)
 from pyspark.sql import DataFrame
 
 from tablewright.plans.lookup import FittedTable
@@ -71,7 +80,7 @@ class FittedOperator(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         return FittedModel(f"{cls.__module__}.{cls.__qualname__}", args, scalars, tables)
 
 
-class FittedModel(Model):
+class FittedModel(Model, MLReadable, MLWritable):
     """What a ``FittedOperator`` learned: JSON scalars and parquet tables."""
 
     def __init__(self, operator: str = "", args: dict | None = None, scalars: dict | None = None, tables: dict[str, FittedTable] | None = None):
@@ -96,17 +105,10 @@ class FittedModel(Model):
     def write(self) -> MLWriter:
         return _FittedWriter(self)
 
-    def save(self, path: str) -> None:
-        self.write().save(path)
-
     @classmethod
     def read(cls) -> MLReader:
         return _FittedReader()
 
-    @classmethod
-    def load(cls, path: str) -> "FittedModel":
-        return cls.read().load(path)
-
 
 class _FittedWriter(MLWriter):
     def __init__(self, instance: FittedModel):

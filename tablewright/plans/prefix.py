@@ -1,8 +1,8 @@
 """Running sums over a global order, computed range by range.
 
 ``sum() over (order by x)`` without a partition runs in one task. Here the rows are
-range-partitioned on the order columns and written to a checkpoint together with
-their range number; the range totals (one row per range) give each range its
+range-partitioned on the order columns and written to the shared folder together
+with their range number; the range totals (one row per range) give each range its
 offset, and the running sum restarts inside every range.
 
 Give it rows that are unique on the order columns (pre-aggregate by value first):

@@ -46,9 +46,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the result survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write the frame under the shared folder and read it back.
+
+    Like a checkpoint it survives the loss of executors; unlike one it is columnar, so
+    later steps read only the columns they use.
+    """
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shuffle_width(spark: SparkSession) -> int:
