@@ -151,7 +151,7 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, payload: list[str] | No
     def block_join(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         names = [f.name for f in out_schema.fields]
         if left.empty or right.empty:
-            return pd.DataFrame({n: [] for n in names})
+            return pd.DataFrame({n: pd.Series([], dtype="object") for n in names})
         right = right.sort_values("row_key", kind="stable").reset_index(drop=True)
         d = _distances(_matrix(left["q_vec"]), _matrix(right["vec"]))
         d[left["q_row_key"].to_numpy()[:, None] == right["row_key"].to_numpy()[None, :]] = np.inf
