@@ -371,9 +371,6 @@ def binary_encoder(spark, sf):
     return _fitted(encode.BinaryEncoder(columns=["covid_flag", "attorney_flag"]), spark, sf, "claim_id", "covid_flag_binary", "attorney_flag_binary")
 
 
-TE_NAMES = [f"te_{i}" for i in range(len(CLASSES))]
-
-
 def target_encoding_sql(column: str) -> dict[str, str]:
     w = "1 / (1 + exp(-(count(*) - 20::DOUBLE) / 10::DOUBLE))"
     return {
@@ -385,20 +382,23 @@ def target_encoding_sql(column: str) -> dict[str, str]:
 
 
 def _target_encoder_sql(column: str) -> str:
-    cols = ", ".join(f"round(coalesce(e{i}, p{i}), 6) AS te_{i}" for i in range(len(CLASSES)))
+    cols = ", ".join(f"round(coalesce(e{i}, p{i}), 6) AS te_{column}_{i}" for i in range(len(CLASSES)))
     return on_split(f"SELECT claim_id, {cols} FROM split_claims LEFT JOIN e ON {column} = g, p", **target_encoding_sql(column))
 
 
+def _target_encoded(column: str, spark, sf):
+    names = [f"te_{column}_{i}" for i in range(len(CLASSES))]
+    return _rounded(_fitted(encode.TargetEncoder(columns=[column], label="claim_type", prefix="te_"), spark, sf, "claim_id", *names), *names)
+
+
 @query("target_encoder", _target_encoder_sql("industry"))
 def target_encoder(spark, sf):
-    out = _fitted(encode.TargetEncoder(column="industry", label="claim_type", names=TE_NAMES), spark, sf, "claim_id", *TE_NAMES)
-    return _rounded(out, *TE_NAMES)
+    return _target_encoded("industry", spark, sf)
 
 
 @query("target_encoder_high_cardinality", _target_encoder_sql("carrier_name"))
 def target_encoder_high_cardinality(spark, sf):
-    out = _fitted(encode.TargetEncoder(column="carrier_name", label="claim_type", names=TE_NAMES), spark, sf, "claim_id", *TE_NAMES)
-    return _rounded(out, *TE_NAMES)
+    return _target_encoded("carrier_name", spark, sf)
 
 
 @query(

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.expressions import lookup_literal
 from tablewright.operators.base import FittedOperator, step
-from tablewright.operators.clean import class_list
+from tablewright.operators.clean import MAX_CLASSES, class_list
 from tablewright.plans.lookup import FittedTable, attach
 
 MAX_DUMMIES = 1_000
@@ -82,37 +80,56 @@ class BinaryEncoder(FittedOperator):
         )
 
 
+def _long_levels(df: DataFrame, columns: list[str], *extra: str) -> DataFrame:
+    """(column_name, value) rows of several columns, so one shuffle counts them all."""
+    text = df.select(*extra, *[F.col(c).cast("string").alias(c) for c in columns])
+    return text.unpivot(list(extra), columns, "column_name", "value").filter("value is not null")
+
+
+def _attach_levels(df: DataFrame, levels: FittedTable, column: str) -> DataFrame:
+    """Add the fitted columns of one encoded column; ``levels`` holds those of all columns."""
+    part = levels.df.filter(F.col("column_name") == column).drop("column_name")
+    keyed = df.withColumn("lookup_text", F.col(column).cast("string"))
+    return attach(keyed, FittedTable(part, levels.rows), {"lookup_text": "value"}).drop("lookup_text")
+
+
 class TargetEncoder(FittedOperator):
     """Smoothed share of every class within a category, one column per class.
 
     ``w = 1 / (1 + exp(-(n - k) / f))``; the value is ``w * share + (1 - w) * prior``. A
-    category not seen in training, or null, gets the prior. All classes of a column
-    are counted in one aggregation.
+    category not seen in training, or null, gets the prior. All classes of all columns
+    are counted in one aggregation. The new columns are ``<c>_encoded_<class>``, or
+    ``<prefix><c>_<i>`` for class i of the sorted classes.
     """
 
-    defaults = {"column": None, "label": None, "k": 20.0, "f": 10.0, "names": None}
+    defaults = {"columns": [], "label": None, "k": 20.0, "f": 10.0, "prefix": None}
 
     def learn(self, train, args):
-        c, label = args["column"], args["label"]
+        cols, label = args["columns"], args["label"]
         rows = train.filter(F.col(label).isNotNull())
-        classes = class_list(rows, label)
-        hits = [F.count_if(F.col(label) == v).alias(f"hits_{i}") for i, v in enumerate(classes)]
-        totals = rows.agg(F.count("*").alias("n"), *hits).first()
-        priors = [totals[f"hits_{i}"] / totals["n"] for i in range(len(classes))]
-        counts = rows.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n"), *hits)
+        sizes = rows.groupBy(label).agg(F.count("*").alias("n")).limit(MAX_CLASSES + 1).collect()
+        if len(sizes) > MAX_CLASSES:
+            raise ValueError(f"{label} has more than {MAX_CLASSES} classes")
+        total = sum(r["n"] for r in sizes)
+        shares = sorted((r[label], r["n"] / total) for r in sizes)
+        hits = [F.count_if(F.col("cls") == v).alias(f"hits_{i}") for i, (v, _) in enumerate(shares)]
+        named = rows.withColumn("cls", F.col(label))
+        counts = _long_levels(named, cols, "cls").groupBy("column_name", "value").agg(F.count("*").alias("n"), *hits)
         weight = 1 / (1 + F.exp(-(F.col("n") - F.lit(args["k"])) / F.lit(args["f"])))
         encoded = counts.select(
-            c, *[(weight * F.col(f"hits_{i}") / F.col("n") + (1 - weight) * F.lit(p)).alias(f"encoded_{i}") for i, p in enumerate(priors)]
+            "column_name", "value", *[(weight * F.col(f"hits_{i}") / F.col("n") + (1 - weight) * F.lit(p)).alias(f"encoded_{i}") for i, (_, p) in enumerate(shares)]
         )
-        return {"classes": classes, "priors": priors}, {"codes": FittedTable.of(encoded)}
+        return {"classes": [v for v, _ in shares], "priors": [p for _, p in shares]}, {"codes": FittedTable.of(encoded)}
 
     @staticmethod
     def apply(df, args, scalars, tables):
-        c = args["column"]
-        names = args["names"] or [f"{c}_encoded_{v}" for v in scalars["classes"]]
-        joined = attach(df, tables["codes"], {c: c})
-        filled = {n: F.coalesce(F.col(f"encoded_{i}"), F.lit(p)) for i, (n, p) in enumerate(zip(names, scalars["priors"]))}
-        return joined.withColumns(filled).drop(*[f"encoded_{i}" for i in range(len(names))])
+        ids = range(len(scalars["classes"]))
+        for c in args["columns"]:
+            names = [f"{c}_encoded_{v}" if args["prefix"] is None else f"{args['prefix']}{c}_{i}" for i, v in enumerate(scalars["classes"])]
+            df = _attach_levels(df, tables["codes"], c)
+            df = df.withColumns({n: F.coalesce(F.col(f"encoded_{i}"), F.lit(scalars["priors"][i])) for i, n in zip(ids, names)})
+            df = df.drop(*[f"encoded_{i}" for i in ids])
+        return df
 
 
 class FrequencyEncoder(FittedOperator):
@@ -124,24 +141,13 @@ class FrequencyEncoder(FittedOperator):
     defaults = {"columns": []}
 
     def learn(self, train, args):
-        cols = args["columns"]
-        text = train.select(*[F.col(c).cast("string").alias(c) for c in cols])
-        long = text.unpivot([], cols, "column_name", "value").filter("value is not null")
-        counts = FittedTable.of(long.groupBy("column_name", "value").agg(F.count("*").alias("n")))
-        if counts.small:
-            return {}, {"counts": counts}
-        return {}, {c: FittedTable.of(counts.df.filter(F.col("column_name") == c).select("value", "n")) for c in cols}
+        counts = _long_levels(train, args["columns"]).groupBy("column_name", "value").agg(F.count("*").alias("fitted_n"))
+        return {}, {"counts": FittedTable.of(counts)}
 
     @staticmethod
     def apply(df, args, scalars, tables):
         for c in args["columns"]:
-            if "counts" in tables:
-                part = tables["counts"].df.filter(F.col("column_name") == c).select("value", F.col("n").alias("fitted_n"))
-                table = FittedTable(part, tables["counts"].rows)
-            else:
-                table = FittedTable(tables[c].df.withColumnRenamed("n", "fitted_n"), tables[c].rows)
-            df = attach(df.withColumn("lookup_text", F.col(c).cast("string")), table, {"lookup_text": "value"})
-            df = df.withColumn(f"{c}_freq", F.coalesce("fitted_n", F.lit(0))).drop("lookup_text", "fitted_n")
+            df = _attach_levels(df, tables["counts"], c).withColumn(f"{c}_freq", F.coalesce("fitted_n", F.lit(0))).drop("fitted_n")
         return df
 
 
@@ -182,14 +188,13 @@ def map_values(df: DataFrame, column: str, mapping: dict, replace: bool = True,
     return df.withColumn(column if replace else f"{column}_mapped", mapped)
 
 
-def taxonomy(groups: dict[str, list[int]]) -> dict[int, str]:
-    return dict(chain.from_iterable([(code, name) for code in codes] for name, codes in groups.items()))
-
-
 @step
 def group_codes(df: DataFrame, column: str, kind: str, into: str) -> DataFrame:
     """Broad category of an injury code (``cause``, ``nature`` or ``body``)."""
-    return df.withColumn(into, lookup_literal(F.col(column).cast("int"), taxonomy(CODE_GROUPS[kind])))
+    out = F.lit(None).cast("string")
+    for name, codes in CODE_GROUPS[kind].items():
+        out = F.when(F.col(column).isin(*codes), F.lit(name)).otherwise(out)
+    return df.withColumn(into, out)
 
 
 @step

@@ -14,6 +14,7 @@ from tablewright.operators.clean import class_list
 from tablewright.plans.lookup import FittedTable, attach
 from tablewright.plans.prefix import running_sums
 from tablewright.plans.quantiles import exact_quantiles
+from tablewright.session import cut_lineage
 
 
 def _upper_tail(x: float, dof: int) -> float:
@@ -176,7 +177,7 @@ def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
 def spearman_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rank correlation of every pair of columns over rows without nulls."""
     rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
-    ranks = average_ranks(rows, columns)
+    ranks = cut_lineage(average_ranks(rows, columns))
     for c in columns:
         table = FittedTable.of(ranks.filter(F.col("feature") == c).select("value", F.col("avg_rank").alias(f"rank_{c}")))
         rows = attach(rows, table, {c: "value"})

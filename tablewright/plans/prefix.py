@@ -11,21 +11,27 @@ then no value, however frequent, can fill a range by itself.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.session import cut_lineage, shuffle_width
 
+ROWS_PER_RANGE = 2_000_000
+
 
 def running_sums(df: DataFrame, order: list[Column], sums: list[str], ranges: int | None = None) -> DataFrame:
     """Add ``<name>_upto`` (inclusive running sum) for every column in ``sums``."""
-    width = ranges or shuffle_width(df.sparkSession)
-    placed = cut_lineage(df.repartitionByRange(width, *order).withColumn("range_no", F.spark_partition_id()))
+    if ranges is None:
+        df = cut_lineage(df)
+        ranges = max(shuffle_width(df.sparkSession), math.ceil(df.count() / ROWS_PER_RANGE))
+    placed = cut_lineage(df.repartitionByRange(ranges, *order).withColumn("range_no", F.spark_partition_id()))
     before = Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("range_no").agg(*[F.sum(s).alias(s) for s in sums])
     offsets = offsets.select("range_no", *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"{s}_offset") for s in sums])
     within = Window.partitionBy("range_no").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    # One row per range: the broadcast side cannot exceed the shuffle width.
+    # One row per range, so the broadcast side is small.
     joined = placed.join(F.broadcast(offsets), "range_no")
     for s in sums:
         joined = joined.withColumn(f"{s}_upto", F.sum(s).over(within) + F.col(f"{s}_offset"))

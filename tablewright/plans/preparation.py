@@ -86,12 +86,12 @@ def missing_pipeline() -> Pipeline:
 TARGET_ENCODED = ["industry", "cause_code", "body_code"]
 
 
-def encoding_pipeline(label: str, classes: list[str]) -> Pipeline:
+def encoding_pipeline(label: str) -> Pipeline:
     """``te_<column>_<i>`` for class i of the sorted classes."""
     return Pipeline(
         stages=[
             BinaryEncoder(columns=["gender", "covid_flag", "attorney_flag", "adr_flag"]),
-            *[TargetEncoder(column=c, label=label, names=[f"te_{c}_{i}" for i in range(len(classes))]) for c in TARGET_ENCODED],
+            TargetEncoder(columns=TARGET_ENCODED, label=label, prefix="te_"),
             FrequencyEncoder(columns=["industry", "cause_code", "body_code", "carrier_type", "carrier_name"]),
             DummyEncoder(column="district"),
             Step("null_flags", columns=["c3_date", "wage", "hearing_date_raw"], include_zero=["wage"]),
@@ -144,7 +144,7 @@ class Preparation:
         rows = cut_lineage(stratified_split(rows, label, key, {"train": 0.7}, rest="val"))
         classes = clean.class_list(rows, label)
         models = [consistency]
-        for pipeline in (outlier_pipeline(), missing_pipeline(), encoding_pipeline(label, classes), feature_pipeline()):
+        for pipeline in (outlier_pipeline(), missing_pipeline(), encoding_pipeline(label), feature_pipeline()):
             model = pipeline.fit(rows)
             rows = cut_lineage(model.transform(rows))
             models.append(model)

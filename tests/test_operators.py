@@ -123,7 +123,7 @@ def test_dummies_fail_or_give_zero_for_unseen(spark):
 def test_unseen_category_gets_prior_and_zero_count(spark):
     train = spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (3, "b", "x"), (4, None, "x")], "i int, c string, y string")
     rows = spark.createDataFrame([(1, "new"), (2, None)], "i int, c string")
-    encoded = encode.TargetEncoder(column="c", label="y").fit(train).transform(rows)
+    encoded = encode.TargetEncoder(columns=["c"], label="y").fit(train).transform(rows)
     assert column(encoded, "c_encoded_x") == [0.75, 0.75]
     assert column(encode.FrequencyEncoder(columns=["c"]).fit(train).transform(rows), "c_freq") == [0, 0]
 

@@ -40,7 +40,7 @@ def test_saved_pipeline_gives_the_same_rows(spark, sf_dir):
             Step("zero_to_null", column="age"),
             impute.ProportionalFill(column="industry"),
             impute.GroupModeFill(group="carrier_name", column="cause_code"),
-            TargetEncoder(column="industry", label="claim_type", names=[f"te_{i}" for i in range(6)]),
+            TargetEncoder(columns=["industry"], label="claim_type", prefix="te_"),
         ]
     )
     path = scratch_path(spark, "pipeline")
