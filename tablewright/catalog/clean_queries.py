@@ -117,6 +117,12 @@ def null_sentinels(spark, sf):
     return clean.null_sentinels(part, {"adr_flag": ["U"], "carrier_type": ["UNKNOWN"], "gender": ["U", "X"]})
 
 
+@query("nan_to_null", on_claims("SELECT claim_id, CASE WHEN wage = 0 THEN NULL ELSE wage END AS wage FROM claims"))
+def nan_to_null(spark, sf):
+    dirty = claims(spark, sf).select("claim_id", F.when(F.col("wage") == 0, F.lit(float("nan"))).otherwise(F.col("wage")).alias("wage"))
+    return clean.nan_to_null(dirty, ["wage"])
+
+
 @query("cast_codes", on_claims("SELECT claim_id, body_code, TRY_CAST(hearing_date_raw AS INT) AS hearing_date_raw FROM claims"))
 def cast_codes(spark, sf):
     part = claims(spark, sf).select("claim_id", F.col("body_code").cast("double").alias("body_code"), "hearing_date_raw")

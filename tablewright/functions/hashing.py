@@ -6,9 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def hash_order(key: Column, seed: str | int) -> Column:
+def hash_order(key: Column, seed: str | int | Column) -> Column:
     """Hex digest of ``key:seed``; sorting by it is a shuffle of the rows."""
-    return F.md5(F.concat(key.cast("string"), F.lit(f":{seed}")))
+    tail = seed if isinstance(seed, Column) else F.lit(str(seed))
+    return F.md5(F.concat(key.cast("string"), F.lit(":"), tail))
 
 
 def hash_uniform(key: Column, seed: str | int) -> Column:

@@ -3,7 +3,7 @@ or per distinct score, so the rows are read once and combined before any shuffle
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.plans.prefix import running_sums
@@ -180,5 +180,6 @@ def f1_difference(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def predicted_shares(df: DataFrame, prediction: str) -> DataFrame:
-    total = df.count()
-    return df.groupBy(prediction).agg(F.count("*").alias("n")).withColumn("share", F.col("n") / F.lit(float(total)))
+    """Rows are scored once: the total is taken over the few class counts."""
+    counts = df.groupBy(prediction).agg(F.count("*").alias("n"))
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))

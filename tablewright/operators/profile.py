@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.expressions import any_of, micros
@@ -137,8 +137,9 @@ def value_counts(df: DataFrame, column: str, shares: bool = False, keep_null: bo
 
 
 def class_distribution(df: DataFrame, label: str) -> DataFrame:
-    counted = value_counts(df, label, shares=True, keep_null=True)
-    return counted.select(label, "n", (100 * F.col("share")).alias("pct"))
+    """Count and percent per class; the total is taken over the few class counts."""
+    counts = value_counts(df, label, keep_null=True)
+    return counts.withColumn("pct", 100 * (F.col("n") / F.sum("n").over(Window.partitionBy())))
 
 
 def dependency_violations(df: DataFrame, group: str, target: str) -> DataFrame:

@@ -59,13 +59,10 @@ def balanced_bags(
     """
     side = df.withColumn("is_minority", F.coalesce((F.col(label) == minority), F.lit(False)))
     n_minority = side.filter("is_minority").count()
+    bags = side.withColumn("bag_id", F.explode(F.array(*[F.lit(b) for b in range(n_bags)])))
+    order = F.concat(F.lit(f"{seed}:"), F.col("bag_id").cast("string"))
     want = F.lit(int(n_minority * relative_size))
-    bags = None
-    for bag in range(n_bags):
-        mark = hash_cut(side, key, {"take": want}, by=["is_minority"], seed=f"{seed}:{bag}")["take"]
-        part = side.filter(mark).withColumn("bag_id", F.lit(bag))
-        bags = part if bags is None else bags.unionByName(part)
-    return bags.drop("is_minority")
+    return bags.filter(hash_cut(bags, key, {"take": want}, by=["bag_id", "is_minority"], seed=order)["take"]).drop("is_minority")
 
 
 def class_weights(df: DataFrame, label: str, weights: dict[str, float], name: str = "weight") -> DataFrame:

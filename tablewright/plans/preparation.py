@@ -21,7 +21,7 @@ from tablewright.operators.impute import (
     GroupModeFill,
     ProportionalFill,
 )
-from tablewright.operators.outliers import ImplausibleAge, LogIqr
+from tablewright.operators.outliers import EarlyDates, ImplausibleAge, LogIqr
 from tablewright.operators.sample import stratified_split
 from tablewright.session import cut_lineage
 
@@ -52,6 +52,7 @@ def consistency_pipeline(covid_start: str = rules.COVID_START) -> Pipeline:
 def outlier_pipeline() -> Pipeline:
     return Pipeline(
         stages=[
+            EarlyDates(date="accident_date", companion="c2_date"),
             ImplausibleAge(),
             Step("null_implausible_birth_year", date="accident_date", birth_year="birth_year"),
             Step("limit_by_split", column="ime4_count"),
@@ -140,8 +141,8 @@ class Preparation:
         a few columns of a table and do not repeat the work of the pipelines before.
         """
         consistency = consistency_pipeline(covid_start).fit(claims)
-        rows = consistency.transform(claims.filter(claims[label].isNotNull()))
-        rows = cut_lineage(stratified_split(rows, label, key, {"train": 0.7}, rest="val"))
+        rows = cut_lineage(consistency.transform(claims.filter(claims[label].isNotNull())))
+        rows = stratified_split(rows, label, key, {"train": 0.7}, rest="val")
         classes = clean.class_list(rows, label)
         models = [consistency]
         for pipeline in (outlier_pipeline(), missing_pipeline(), encoding_pipeline(label), feature_pipeline()):

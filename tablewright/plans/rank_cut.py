@@ -25,12 +25,15 @@ def _class_key(by: list[str]) -> Column:
     return F.concat_ws("\u0001", *parts) if parts else F.lit("")
 
 
-def hash_cut(df: DataFrame, key: str, wants: dict[str, Column], by: list[str] | None = None, seed: str | int = 0) -> dict[str, Column]:
+def hash_cut(
+    df: DataFrame, key: str, wants: dict[str, Column], by: list[str] | None = None, seed: str | int | Column = 0
+) -> dict[str, Column]:
     """For each entry of ``wants`` a boolean column marking the first rows of every class.
 
     A want is an expression over ``n_rows`` (the size of the class) and ``class_key``
     (the class values joined as text) that says how many rows to mark. Rows are
-    ordered by ``(hash(key), key)``; ``key`` must be unique within a class.
+    ordered by ``(hash(key), key)``; ``key`` must be unique within a class. ``seed`` may
+    be a column, which gives each of its values an order of its own.
     """
     by = by or []
     names = list(wants)
