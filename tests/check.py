@@ -1,4 +1,7 @@
-"""python tests/check.py [sf] [name-part ...]: compare registered queries with their SQL twins."""
+"""python tests/check.py [sf] [name-part ...]: compare registered queries with their SQL twins.
+
+With PLANS=1 it also names plan nodes worth a look.
+"""
 
 from __future__ import annotations
 
@@ -31,6 +34,11 @@ def main(sf: str, parts: list[str]) -> int:
         t = time.time()
         try:
             df = run(spark, sf_dir)
+            if os.environ.get("PLANS"):
+                plan = df._jdf.queryExecution().executedPlan().toString()
+                found = [w for w in ("CartesianProduct", "BroadcastNestedLoopJoin", "SinglePartition", "ArrowEvalPython", "BatchEvalPython") if w in plan]
+                if found:
+                    print(f"plan {name}: {found}")
             if name in oracles:
                 problem = compare(df, con, oracles[name])
                 note = "" if problem is None else problem
