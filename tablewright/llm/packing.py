@@ -3,7 +3,9 @@
 A task takes pieces one after another and keeps at most ``open_bins`` sequences open. Which
 free spaces occur among them is one bit each in a bitset, so the best fit (the least space
 that still holds the piece) is found with a shift and the lowest set bit. A piece that fits
-nowhere opens a sequence; when too many are open, the fullest closes first.
+nowhere opens a sequence; when too many are open, the fullest closes first. A task reads ahead
+by a fixed number of pieces and takes each such run longest first: long pieces open sequences,
+short ones fill them.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +22,9 @@ from pyspark.sql import functions as F
 from tablewright.llm.tokens import encoder
 
 CAPACITY = 2048
-OPEN_BINS = 1024
+OPEN_BINS = 2048
+#: Pieces that a task looks at together; each run of so many goes in longest first.
+LOOKAHEAD = 4096
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -80,7 +85,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
+    lookahead: int = LOOKAHEAD, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
@@ -95,25 +101,34 @@ def pack_documents(
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 40
-        packed = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            batch_lengths = batch.column("length").to_pylist()
-            if packed is None:
-                feed = _Feed()
-                packed = best_fit(feed, capacity, open_bins)
-            feed.give(batch_lengths)
-            placed = [next(packed) for _ in batch_lengths]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([base + b for b, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())],
-                [*batch.schema.names, "sequence_id", "offset"],
-            )
+        feed = _Feed()
+        packed = best_fit(feed, capacity, open_bins)
+        for rows in _runs(batches, lookahead):
+            longest_first = np.argsort(-rows.column("length").to_numpy(), kind="stable")
+            rows = rows.take(pa.array(longest_first))
+            lengths = rows.column("length").to_pylist()
+            feed.give(lengths)
+            placed = [next(packed) for _ in lengths]
+            rows = rows.append_column("sequence_id", pa.array([base + b for b, _ in placed], pa.int64()))
+            yield from rows.append_column("offset", pa.array([o for _, o in placed], pa.int64())).to_batches()
 
     mixed = pieces.repartition("id", "piece").sortWithinPartitions(F.xxhash64("id", "piece", F.lit("pack")), "id", "piece", "length", "ids_crc32")
     return mixed.mapInArrow(place, f"{PIECES}, sequence_id long, offset long").withColumnRenamed("id", id_col)
 
 
+def _runs(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[pa.Table]:
+    """The rows of the batches in runs of n; the last may be shorter."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        waiting.append(batch)
+        while sum(b.num_rows for b in waiting) >= n:
+            rows = pa.Table.from_batches(waiting)
+            yield rows.slice(0, n).combine_chunks()
+            waiting = rows.slice(n).to_batches()
+    if waiting and sum(b.num_rows for b in waiting):
+        yield pa.Table.from_batches(waiting).combine_chunks()
+
+
 class _Feed:
     """Lengths that arrive batch by batch, as one iterator."""
 
