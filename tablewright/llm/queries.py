@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tablewright.llm.fingerprints import fingerprint_table
 from tablewright.llm.packing import pack_documents
+from tablewright.llm.quality import quality_table
 from tablewright.llm.secrets import find_secrets
 from tablewright.llm.token_files import token_table
 
@@ -84,3 +86,13 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_token_files")
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(table(spark, sf_dir, "documents"), word_tokenizer(), end_id=1)
+
+
+@query("op5_quality_classifier")
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op3_document_fingerprints")
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_table(table(spark, sf_dir, "documents"))
