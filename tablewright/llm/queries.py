@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tablewright.llm.fingerprints import fingerprint_table
+from tablewright.llm.neighbours import nearest_by_rule
 from tablewright.llm.packing import pack_documents
 from tablewright.llm.quality import quality_table
 from tablewright.llm.secrets import find_secrets
@@ -96,3 +97,8 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_document_fingerprints")
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_table(table(spark, sf_dir, "documents"))
+
+
+@query("op10_hash_prefix_forest")
+def op10_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_by_rule(table(spark, sf_dir, "embeddings"))
