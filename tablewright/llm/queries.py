@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tablewright.llm.fingerprints import fingerprint_table
+from tablewright.llm.line_dedup import dedup_lines
 from tablewright.llm.neighbours import nearest_by_rule
 from tablewright.llm.packing import pack_documents
 from tablewright.llm.quality import quality_table
@@ -102,3 +103,27 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_hash_prefix_forest")
 def op10_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_by_rule(table(spark, sf_dir, "embeddings"))
+
+
+LINE_DEDUP_SQL = r"""
+WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, unnest(range(0, len(lines))) AS pos, unnest(lines) AS line FROM split),
+w AS (SELECT doc_id, pos, trim(line) AS a, lead(pos) OVER d AS pos2, lead(trim(line)) OVER d AS b, lead(pos, 2) OVER d AS pos3, lead(trim(line), 2) OVER d AS c
+      FROM l WHERE trim(line) <> '' WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+f AS (SELECT *, first_value(doc_id) OVER k AS fd, first_value(pos) OVER k AS f1, first_value(pos2) OVER k AS f2, first_value(pos3) OVER k AS f3
+      FROM w WHERE pos3 IS NOT NULL WINDOW k AS (PARTITION BY a, b, c ORDER BY doc_id, pos)),
+later AS (SELECT * FROM f WHERE (doc_id, pos) <> (fd, f1)),
+cov AS (SELECT doc_id, fd, f1, f2, f3, unnest([pos, pos2, pos3]) AS pos FROM later),
+gone AS (SELECT DISTINCT doc_id, pos FROM cov WHERE doc_id <> fd OR pos NOT IN (f1, f2, f3)),
+kept AS (SELECT l.doc_id, count(*) AS n_lines, count(gone.pos) AS n_removed, string_agg(line, chr(10) ORDER BY l.pos) FILTER (gone.pos IS NULL) AS text
+         FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.pos = gone.pos GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+  CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text
+FROM documents d LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op7_line_dedup", LINE_DEDUP_SQL)
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = dedup_lines(table(spark, sf_dir, "documents"), report=True)
+    return cleaned.select("doc_id", "n_lines", "n_removed", "text")
