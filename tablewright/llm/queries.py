@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tablewright.llm.fingerprints import fingerprint_table
 from tablewright.llm.line_dedup import dedup_lines
+from tablewright.llm.mixing import mix_sources
 from tablewright.llm.neighbours import nearest_by_rule
 from tablewright.llm.packing import pack_documents
 from tablewright.llm.quality import quality_table
@@ -127,3 +128,9 @@ FROM documents d LEFT JOIN kept USING (doc_id)
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = dedup_lines(table(spark, sf_dir, "documents"), report=True)
     return cleaned.select("doc_id", "n_lines", "n_removed", "text")
+
+
+@query("op8_source_mixing")
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "mix_block", "mix_slot", "mix_start")
