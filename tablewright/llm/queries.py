@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tablewright.llm.chat import transcript_table
 from tablewright.llm.fingerprints import fingerprint_table
 from tablewright.llm.line_dedup import dedup_lines
 from tablewright.llm.mixing import mix_sources
@@ -134,3 +135,8 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "mix_block", "mix_slot", "mix_start")
+
+
+@query("op6_transcript_roles")
+def op6_transcript_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transcript_table(table(spark, sf_dir, "conversations"))
