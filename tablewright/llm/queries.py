@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tablewright.llm.chat import transcript_table
 from tablewright.llm.fingerprints import fingerprint_table
+from tablewright.llm.jaccard_join import similar_documents
 from tablewright.llm.line_dedup import dedup_lines
 from tablewright.llm.mixing import mix_sources
 from tablewright.llm.neighbours import nearest_by_rule
@@ -140,3 +141,25 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_transcript_roles")
 def op6_transcript_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcript_table(table(spark, sf_dir, "conversations"))
+
+
+JACCARD_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \t\n\f\r]+'), lambda w: w <> '') AS w FROM documents),
+grams AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+            ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM words),
+tokens AS (SELECT doc_id, len(g) AS n, unnest(g) AS token FROM grams),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c
+           FROM tokens a JOIN tokens b ON a.token = b.token AND a.doc_id < b.doc_id GROUP BY ALL),
+near AS (SELECT a, b FROM common WHERE c >= 0.8 * (na + nb - c)),
+both_ways AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+reach AS (SELECT a AS doc_id, b AS other FROM both_ways UNION SELECT r.doc_id, e.b FROM reach r JOIN both_ways e ON r.other = e.a)
+SELECT d.doc_id, coalesce(least(d.doc_id, (SELECT min(other) FROM reach r WHERE r.doc_id = d.doc_id)), d.doc_id) AS class_id,
+  (SELECT count(*) FROM both_ways e WHERE e.a = d.doc_id) AS n_links
+FROM documents d
+"""
+
+
+@query("op2_jaccard_join", JACCARD_SQL)
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents"))
