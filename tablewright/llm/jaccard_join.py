@@ -342,38 +342,64 @@ def _links(matched: DataFrame, threshold: float) -> DataFrame:
     return placed.mapInArrow(verify, "set binary, links long, root binary")
 
 
-def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, class_id, n_links.
-
-    Two documents are linked when the Jaccard similarity of their sets of five-word shingles reaches
-    ``threshold`` (0.8 or more; the splitting is laid out for that). ``n_links`` counts the other documents a document
-    is linked to, its copies included; ``class_id`` is the smallest id of its connected group. A null
-    text or one without words is linked to nothing and its class is its own id. Rows equal in id
-    and text count each, like any copies. Null ids are kept; a class of null ids only has a null id. Other
-    columns are ignored. An empty table gives no rows.
-    """
+def _grouped(docs: DataFrame, threshold: float, recall: float, id_col: str, text_col: str) -> DataFrame:
+    """(id, h, class_id, n_links, stays) per row of ``docs``; ``stays`` marks one document of each class."""
     embedded = cut_lineage(embed(docs, id_col, text_col))
     known = embedded.where(F.col("set").isNotNull())
-    # Ids first in order: nulls sort after them.
-    sets = known.groupBy("set").agg(
-        F.count("*").alias("weight"), F.min("id").alias("least_id"), F.min(F.struct(F.col("id").isNull().alias("last"), "id", "h")).alias("kept"), F.first("coords").alias("coords"), F.first("sketch").alias("sketch")
-    )
+    # Of equal sets the smallest id stands for all; null ids come last.
+    kept = F.struct(F.col("id").isNull().alias("last"), "id", "h")
+    sets = known.groupBy("set").agg(F.count("*").alias("weight"), F.min(kept).alias("kept"), F.first("coords").alias("coords"), F.first("sketch").alias("sketch"))
     sets = cut_lineage(sets)
     leaves = buckets(sets, runs_for(recall))
     matched = cut_lineage(_sketch_matches(_meetings(leaves, sets)))
 
     # One whole text for each set that is compared exactly.
-    wanted = matched.select("set").distinct().join(sets.select("set", "kept.id", "kept.h"), "set").withColumnsRenamed({"id": "kept_id", "h": "kept_h"})
+    wanted = matched.select("set").distinct().join(sets.select("set", F.col("kept.id").alias("kept_id"), F.col("kept.h").alias("kept_h")), "set")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
     texts = texts.join(wanted, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("h") == F.col("kept_h"))).select("set", "text").dropDuplicates(["set"])
     links = cut_lineage(_links(matched.join(texts, "set"), threshold))
 
     groups = connected(links.select(F.col("set").alias("a"), F.col("root").alias("b")).where("a <> b"))
     per_set = links.groupBy("set").agg(F.sum("links").alias("links"))
-    facts = sets.select("set", "weight", "least_id").join(per_set, "set", "left").join(groups.withColumnRenamed("node", "set"), "set", "left")
+    facts = sets.select("set", "weight", "kept").join(per_set, "set", "left").join(groups.withColumnRenamed("node", "set"), "set", "left")
+    # Sets without copies and links need no row: their document is a class of its own.
     facts = facts.where((F.col("weight") > 1) | F.col("links").isNotNull())
-    facts = facts.select("set", "least_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("group", "set").alias("group"))
-    classes = facts.groupBy("group").agg(F.min("least_id").alias("class_id"))
-    facts = facts.join(classes, "group").select("set", "class_id", "n_links")
-    joined = embedded.select("id", "set").join(facts, "set", "left")
-    return joined.select(F.col("id").alias(id_col), F.when(F.col("n_links").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    facts = facts.select("set", "kept", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("group", "set").alias("group"))
+    classes = facts.groupBy("group").agg(F.min("kept").alias("class"))
+    facts = facts.join(classes, "group").select("set", "class", "n_links")
+    joined = embedded.select("id", "h", "set").join(facts, "set", "left")
+    alone = F.col("n_links").isNull()
+    return joined.select(
+        "id",
+        "h",
+        F.when(alone, F.col("id")).otherwise(F.col("class.id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        (alone | (F.col("id").eqNullSafe(F.col("class.id")) & (F.col("h") == F.col("class.h")))).alias("stays"),
+    )
+
+
+def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, class_id, n_links.
+
+    Two documents are linked when the Jaccard similarity of their sets of five-word shingles reaches
+    ``threshold`` (0.8 or more; the splitting is laid out for that). ``n_links`` counts the other documents a document
+    is linked to, its copies included; ``class_id`` is the smallest id of its connected group. A null
+    text or one without words is linked to nothing and its class is its own id. Rows equal in id
+    and text count each, like any copies. Null ids are kept; a class of null ids only has a null id. Other
+    columns are ignored. An empty table gives no rows.
+    """
+    found = _grouped(docs, threshold, recall, id_col, text_col)
+    return found.select(F.col("id").alias(id_col), "class_id", "n_links")
+
+
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, one of each connected group: that with the smallest id, all columns as they are.
+
+    Rows equal in id and text are one document. Texts without words all stay.
+    """
+    stays = _grouped(docs, threshold, recall, id_col, text_col).where("stays").select(F.col("id").alias("stays_id"), F.col("h").alias("stays_h")).distinct()
+    named = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    place = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    key, h = F.col(place[id_col]).cast("long"), F.xxhash64(place[text_col])
+    rows = named.join(stays, key.eqNullSafe(F.col("stays_id")) & (h == F.col("stays_h")))
+    return rows.dropDuplicates(["stays_id", "stays_h"]).drop("stays_id", "stays_h").toDF(*docs.columns)

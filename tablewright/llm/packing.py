@@ -86,13 +86,14 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id
 
 def pack_documents(
     docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
-    lookahead: int = LOOKAHEAD, id_col: str = "doc_id", text_col: str = "text",
+    lookahead: int = LOOKAHEAD, in_order: bool = False, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Only lengths and checksums are shuffled, spread by a hash of the piece so that no document,
     however long, fills one task; each task packs its share, in hash order, and numbers its
-    sequences by partition. A null text is empty (one token, the end id); repeated rows and null
+    sequences by partition. With ``in_order`` nothing is shuffled: each task packs the documents of
+    its partition as they come, so a stretch of a mixed order stays a stretch of sequences. A null text is empty (one token, the end id); repeated rows and null
     ids are packed like any other. Other columns are ignored. An empty table gives no rows.
     """
     pieces = token_pieces(docs, tokenizer, end_id, capacity, id_col, text_col)
@@ -112,6 +113,8 @@ def pack_documents(
             rows = rows.append_column("sequence_id", pa.array([base + b for b, _ in placed], pa.int64()))
             yield from rows.append_column("offset", pa.array([o for _, o in placed], pa.int64())).to_batches()
 
+    if in_order:
+        return pieces.mapInArrow(place, f"{PIECES}, sequence_id long, offset long").withColumnRenamed("id", id_col)
     mixed = pieces.repartition("id", "piece").sortWithinPartitions(F.xxhash64("id", "piece", F.lit("pack")), "id", "piece", "length", "ids_crc32")
     return mixed.mapInArrow(place, f"{PIECES}, sequence_id long, offset long").withColumnRenamed("id", id_col)
 
