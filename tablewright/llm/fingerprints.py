@@ -96,7 +96,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     n = RANGES_PER_PARTITION * shuffle_width(spark)
     cuts = docs.select(F.col(id_col).cast("double").alias("id")).approxQuantile("id", [k / n for k in range(1, n)], 0.2 / n) if n > 1 else []
-    splits = [-math.inf, *sorted(set(cuts)), math.inf]
+    splits = [-math.inf, *(sorted(set(cuts)) or [0.0]), math.inf]
     keyed = rows.withColumn("as_double", F.col("id").cast("double"))
     ranged = Bucketizer(splits=splits, inputCol="as_double", outputCol="range", handleInvalid="keep").transform(keyed)
     ranged = ranged.select(F.when(F.col("id").isNull(), -1).otherwise(F.col("range")).cast("int").alias("range_no"), "id", "tie", "text")

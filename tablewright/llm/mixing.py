@@ -27,7 +27,8 @@ ROUND_SLOTS = 1_024
 MAX_SOURCES = 512
 #: Default weights are volumes to this power, so small sources come up more often than their volume says.
 ALPHA = 0.5
-ROWS_PER_BUCKET = 4_000
+ADDED = ["mix_block", "mix_slot", "mix_start"]
+ROWS_PER_BUCKET = 1_000
 
 
 @dataclass
@@ -107,7 +108,7 @@ def plan_phases(blocks: dict[str, int], weights: dict[str, float], slots: int =
 
 def mix_sources(
     docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = ALPHA, block_chars: int = BLOCK_CHARS, round_slots: int = ROUND_SLOTS,
-    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", prefix: str = "mix_",
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
 ) -> DataFrame:
     """The documents with ``mix_block`` (block of its source) and ``mix_slot`` and ``mix_start`` (first code point, in its source).
 
@@ -116,8 +117,32 @@ def mix_sources(
     documents are in hash order. ``weights`` gives each source its weight; without it, or for sources
     that it leaves out (scaled alike), volume to the power ``alpha``. A null source is a source of its own; a null text
     has no volume; sources without volume are placed in the first slot. Repeated rows are placed one
-    after another. ``prefix`` keeps the added columns apart from the table's own. An empty table stays empty.
+    after another. All columns are kept, but columns that have the names of the added ones are
+    replaced. An empty table stays empty.
     """
+    own = [c for c in docs.columns if c not in ADDED]
+    place = _places(docs)
+    placed = _scheduled(docs, weights, alpha, block_chars, round_slots, place[id_col], place[text_col], place[source_col])
+    return placed.select(*[F.col(place[c]).alias(c) for c in own], *ADDED)
+
+
+def in_mixed_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The documents, unchanged, in the order of the schedule: range-partitioned and sorted by slot. Options as in ``mix_sources``."""
+    place = _places(docs)
+    chosen = {"weights": None, "alpha": ALPHA, "block_chars": BLOCK_CHARS, "round_slots": ROUND_SLOTS, **options}
+    placed = _scheduled(docs, **chosen, id_col=place[id_col], text_col=place[text_col], source_col=place[source_col])
+    order = ["mix_slot", "mix_start", place[id_col]]
+    return placed.repartitionByRange(*order).sortWithinPartitions(*order).select(*[F.col(place[c]).alias(c) for c in docs.columns])
+
+
+def _places(docs: DataFrame) -> dict[str, str]:
+    """Plain names for the columns while the schedule is joined, so none can clash."""
+    return {c: f"c{i}" for i, c in enumerate(docs.columns)}
+
+
+def _scheduled(docs: DataFrame, weights, alpha: float, block_chars: int, round_slots: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    docs = docs.toDF(*_places(docs).values())
+    prefix = "mix_"
     spark = docs.sparkSession
     key, at, volume, bucket, group, offset = (f"{prefix}{x}" for x in ("key", "hash", "size", "bucket", "group", "offset"))
     given = {("null" if s is None else f"={s}"): float(w) for s, w in (weights or {}).items()}
@@ -165,10 +190,3 @@ def mix_sources(
     slot = F.col(f"{prefix}phase.start") + F.floor(nth / share) * slots + F.get(f"{prefix}phase.slots", (nth % share).cast("int"))
     placed = placed.withColumn(f"{prefix}slot", F.coalesce(slot, F.lit(0)).cast("long"))
     return placed.select(*docs.columns, f"{prefix}block", f"{prefix}slot", f"{prefix}start")
-
-
-def in_mixed_order(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents, unchanged, in the order of the schedule: range-partitioned and sorted by slot."""
-    mixed = mix_sources(docs, id_col=id_col, **options)
-    order = ["mix_slot", "mix_start", id_col]
-    return mixed.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
