@@ -47,9 +47,13 @@ def drop_repeated_keys(spark, sf):
     return clean.drop_repeated_keys(table(spark, sf, "lineitem"), ["l_orderkey"])
 
 
-@query("drop_repeated_keys_events", "SELECT * FROM events QUALIFY count(*) OVER (PARTITION BY user_id, event_type) = 1")
+@query(
+    "drop_repeated_keys_events",
+    "SELECT *, CAST(ts AS DATE) AS day FROM events QUALIFY count(*) OVER (PARTITION BY user_id, event_type, CAST(ts AS DATE)) = 1",
+)
 def drop_repeated_keys_events(spark, sf):
-    return clean.drop_repeated_keys(table(spark, sf, "events"), ["user_id", "event_type"])
+    events = table(spark, sf, "events").withColumn("day", F.to_date("ts"))
+    return clean.drop_repeated_keys(events, ["user_id", "event_type", "day"])
 
 
 @query("drop_duplicate_rows", "SELECT min(doc_id) AS doc_id, text, lang, source, n_chars FROM documents GROUP BY text, lang, source, n_chars")
@@ -333,7 +337,7 @@ def set_when(spark, sf):
     "merge_codes",
     on_claims(
         "SELECT claim_id, CASE WHEN body_code = -9 THEN 90 ELSE body_code END AS body_code, "
-        "CASE WHEN body_code IN (-9, 90) THEN 'MULTIPLE BODY PARTS (INCLUDING BODY' ELSE body_desc END AS body_desc FROM claims"
+        "CASE WHEN body_code IN (-9, 90) THEN 'MULTIPLE BODY PARTS' ELSE body_desc END AS body_desc FROM claims"
     ),
 )
 def merge_codes(spark, sf):

@@ -172,17 +172,18 @@ def spearman_matrix(spark, sf):
     return rounded(select.spearman_matrix(split_claims(spark, sf).filter("split = 'train'"), RANKED), "correlation")
 
 
-PRICES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+PRICES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "paid"]
 
 
 @query(
     "strong_pairs",
-    f"WITH ranked AS ({rank_ctes('lineitem', PRICES)['ranked']}) SELECT * FROM ("
+    f"WITH priced AS (SELECT *, l_extendedprice * (1 - l_discount) AS paid FROM lineitem), ranked AS ({rank_ctes('priced', PRICES)['ranked']}) SELECT * FROM ("
     + union_all([f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, round(corr(r_{a}, r_{b}), 6) AS correlation FROM ranked" for a, b in combinations(sorted(PRICES), 2)])
     + ") WHERE abs(correlation) > 0.5",
 )
 def strong_pairs(spark, sf):
-    return rounded(select.strong_pairs(table(spark, sf, "lineitem"), PRICES, above=0.5), "correlation")
+    priced = table(spark, sf, "lineitem").withColumn("paid", F.col("l_extendedprice") * (1 - F.col("l_discount")))
+    return rounded(select.strong_pairs(priced, PRICES, above=0.5), "correlation")
 
 
 @query(
@@ -196,14 +197,14 @@ def average_ranks(spark, sf):
     return select.average_ranks(split_claims(spark, sf).filter("split = 'train'"), ["age"])
 
 
-# Votes and cuts. Methods are districts, features are injuries with enough claims there.
+# Votes and cuts. Methods are districts, features are injuries of older people there.
 
-VOTES = "SELECT district AS method, body_desc AS feature FROM claims WHERE body_desc IS NOT NULL GROUP BY ALL HAVING avg(wage) > 590"
+VOTES = "SELECT district AS method, body_desc AS feature FROM claims WHERE body_desc IS NOT NULL GROUP BY ALL HAVING avg(age) > 49"
 
 
 def votes(spark, sf):
-    counts = claims(spark, sf).filter("body_desc is not null").groupBy("district", "body_desc").agg(F.avg("wage").alias("w"))
-    return counts.filter("w > 590").select(F.col("district").alias("method"), F.col("body_desc").alias("feature"))
+    counts = claims(spark, sf).filter("body_desc is not null").groupBy("district", "body_desc").agg(F.avg("age").alias("w"))
+    return counts.filter("w > 49").select(F.col("district").alias("method"), F.col("body_desc").alias("feature"))
 
 
 @query("method_vote", on_claims("SELECT feature, count(*) AS n_votes FROM v GROUP BY feature HAVING count(*) >= 2", v=VOTES))

@@ -337,13 +337,16 @@ def date_by_median_gap(spark, sf):
 @query(
     "repair_date_order",
     on_split(
-        "SELECT claim_id, CASE WHEN accident_date > assembly_date THEN accident_date + k ELSE assembly_date END AS assembly_date FROM split_claims, f",
-        f="SELECT CAST(trunc(median(datediff('day', accident_date, assembly_date)::DOUBLE)) AS INT) AS k FROM train WHERE assembly_date > accident_date",
+        "SELECT claim_id, CASE WHEN accident_date > assembly_date AND c2_date IS NOT NULL THEN c2_date - CAST(claim_id % 40 AS INT) + k ELSE assembly_date END AS assembly_date FROM split_claims, f",
+        f="SELECT CAST(trunc(median(datediff('day', c2_date, assembly_date)::DOUBLE)) AS INT) AS k FROM "
+        "(SELECT c2_date - CAST(claim_id % 40 AS INT) AS c2_date, assembly_date FROM train) WHERE assembly_date > c2_date",
     ),
 )
 def repair_date_order(spark, sf):
-    operator = impute.RepairDateOrder(target="assembly_date", reference="accident_date", condition="accident_date")
-    return _fitted(operator, spark, sf, "claim_id", "assembly_date")
+    # A third date as reference, moved about so that it lies before the target in some rows; it has nulls.
+    rows = split_claims(spark, sf).withColumn("c2_date", F.date_sub("c2_date", (F.col("claim_id") % 40).cast("int")))
+    operator = impute.RepairDateOrder(target="assembly_date", reference="c2_date", condition="accident_date")
+    return operator.fit(rows).transform(rows).select("claim_id", "assembly_date")
 
 
 @query("derive_age", on_claims("SELECT claim_id, CAST(coalesce(age, year(accident_date) - birth_year, year(assembly_date) - birth_year) AS INT) AS age FROM claims"))
@@ -447,26 +450,47 @@ def map_values(spark, sf):
     return encode.map_values(claims(spark, sf), "industry", SEGMENTS, replace=False).select("claim_id", "industry_mapped")
 
 
-@query("map_values_default", on_claims("SELECT claim_id, CASE carrier_type WHEN 'UNKNOWN' THEN 'Unknown' ELSE 'Other' END AS carrier_type FROM claims"))
+CARRIERS = ["1A. PRIVATE", "2A. SIF", "3A. SELF PUBLIC", "4A. SELF PRIVATE", "5A. SPECIAL FUND - CONS. COMM. (SECT. 25-A)", "5C. SPECIAL FUND - POI CARRIER WCB MENANDS", "5D. SPECIAL FUND - UNKNOWN", "UNKNOWN", "9Z. NEW"]
+
+
+@query(
+    "map_values_default",
+    on_claims(
+        "SELECT claim_id, CASE claim_id % 9 WHEN 0 THEN 'Private Insurance Carrier' WHEN 1 THEN 'State Insurance Fund' WHEN 2 THEN 'Self-insured Public Entity' "
+        "WHEN 3 THEN 'Self-insured Private Entity' WHEN 4 THEN 'Special Funds' WHEN 5 THEN 'Special Funds' WHEN 6 THEN 'Special Funds' WHEN 7 THEN 'Unknown' ELSE 'Other' END AS carrier_type FROM claims"
+    ),
+)
 def map_values_default(spark, sf):
-    return encode.map_values(claims(spark, sf), "carrier_type", encode.CARRIER_GROUPS, default="Other").select("claim_id", "carrier_type")
+    named = F.get(F.array(*[F.lit(c) for c in CARRIERS]), (F.col("claim_id") % 9).cast("int"))
+    rows = claims(spark, sf).select("claim_id", named.alias("carrier_type"))
+    return encode.map_values(rows, "carrier_type", encode.CARRIER_GROUPS, default="Other").select("claim_id", "carrier_type")
 
 
-def _group_sql(column: str, groups: dict[str, list[int]]) -> str:
-    arms = " ".join(f"WHEN {column} IN ({', '.join(map(str, codes))}) THEN '{name}'" for name, codes in groups.items())
-    return f"CASE {arms} END"
+# Fixed values, written apart from the operator's own tables.
+CAUSE_SQL = """
+CASE WHEN k BETWEEN 1 AND 9 OR k IN (11, 14, 84) THEN 'Burn_or_Scald' WHEN k IN (10, 12, 13, 20) THEN 'Caught_In'
+ WHEN k BETWEEN 15 AND 19 THEN 'Cut_Puncture_Scrape' WHEN k BETWEEN 25 AND 33 THEN 'Fall_Slip_or_Trip'
+ WHEN k IN (40, 41, 50) OR k BETWEEN 45 AND 48 THEN 'Motor_Vehicle' WHEN k BETWEEN 52 AND 61 OR k = 97 THEN 'Strain_or_Injury'
+ WHEN k BETWEEN 65 AND 70 THEN 'Striking_Against_or_Stepping_On' WHEN k BETWEEN 74 AND 81 OR k IN (85, 86) THEN 'Struck_or_Injured_By'
+ WHEN k IN (82, 83, 98, 99) OR k BETWEEN 87 AND 91 OR k BETWEEN 93 AND 96 THEN 'Miscellaneous_Causes' WHEN k = 100 THEN 'Unknown' END"""
+NATURE_SQL = """
+CASE WHEN k IN (1, 2, 3, 4, 7, 10, 13, 16, 19, 22, 25, 28, 30, 31, 32, 34, 36, 37, 38, 40, 41, 42, 43, 46, 47, 49, 52, 53, 54, 55, 58, 59) THEN 'Specific'
+ WHEN k BETWEEN 60 AND 80 OR k = 83 THEN 'Occupational' WHEN k IN (90, 91) THEN 'Multiple' WHEN k = 100 THEN 'Unknown' END"""
+BODY_SQL = """
+CASE WHEN k BETWEEN 10 AND 26 THEN 'Head_and_Neck' WHEN k BETWEEN 30 AND 39 THEN 'Upper_Extremities'
+ WHEN k BETWEEN 40 AND 49 OR k BETWEEN 60 AND 63 THEN 'Trunk' WHEN k BETWEEN 50 AND 58 THEN 'Lower_Extremities'
+ WHEN k IN (64, 65, 66, 90, 91, 99) THEN 'Multiple_Body Parts' WHEN k = 100 THEN 'Unknown' END"""
 
 
 @query(
     "group_codes",
-    on_claims(
-        f"SELECT claim_id, {_group_sql('cause_code', encode.CAUSE_GROUPS)} AS cause_group, {_group_sql('body_code', encode.NATURE_GROUPS)} AS nature_group, "
-        f"{_group_sql('body_code', encode.BODY_GROUPS)} AS body_group FROM claims"
-    ),
+    on_claims(f"SELECT claim_id, {CAUSE_SQL} AS cause_group, {NATURE_SQL} AS nature_group, {BODY_SQL} AS body_group FROM (SELECT claim_id, 1 + claim_id % 100 AS k FROM claims)"),
 )
 def group_codes(spark, sf):
-    out = encode.group_codes(claims(spark, sf), "cause_code", "cause", "cause_group")
-    out = encode.group_codes(encode.group_codes(out, "body_code", "nature", "nature_group"), "body_code", "body", "body_group")
+    # Every code from 1 to 100.
+    out = claims(spark, sf).select("claim_id", (1 + F.col("claim_id") % 100).cast("int").alias("code"))
+    for kind in ("cause", "nature", "body"):
+        out = encode.group_codes(out, "code", kind, f"{kind}_group")
     return out.select("claim_id", "cause_group", "nature_group", "body_group")
 
 
@@ -565,7 +589,7 @@ def date_parts(spark, sf):
 @query(
     "income_class",
     on_split(
-        "SELECT claim_id, CASE WHEN wage IS NULL THEN 'Unknown' WHEN wage <= a THEN 'Low' WHEN wage <= b THEN 'Middle' ELSE 'Wealthy' END AS income_class FROM split_claims, f",
+        "SELECT claim_id, CASE WHEN wage IS NULL THEN 'Unknown' WHEN wage <= a THEN 'Low Income' WHEN wage <= b THEN 'Middle Class' ELSE 'Wealthy' END AS income_class FROM split_claims, f",
         f="SELECT quantile_cont(wage, 0.25) AS a, quantile_cont(wage, 0.85) AS b FROM train",
     ),
 )
@@ -575,10 +599,10 @@ def income_class(spark, sf):
 
 @query(
     "fixed_bins",
-    on_claims("SELECT claim_id, CASE WHEN age > 0 AND age <= 29 THEN 'young' WHEN age > 29 AND age <= 50 THEN 'middle' WHEN age > 50 AND age <= 1000 THEN 'older' END AS age_group FROM claims"),
+    on_claims("SELECT claim_id, CASE WHEN age > 0 AND age <= 29 THEN 'Young Workforce' WHEN age > 29 AND age <= 50 THEN 'Middle-Age' WHEN age > 50 AND age <= 1000 THEN 'Older' END AS age_group FROM claims"),
 )
 def fixed_bins(spark, sf):
-    out = features.add_bins(claims(spark, sf), "age", "age_group", [0, 29, 50, 1000], ["young", "middle", "older"])
+    out = features.add_bins(claims(spark, sf), "age", "age_group", [0, 29, 50, 1000], ["Young Workforce", "Middle-Age", "Older"])
     return out.select("claim_id", "age_group")
 
 

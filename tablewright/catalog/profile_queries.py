@@ -290,12 +290,12 @@ def dependency_violations(spark, sf):
 @query(
     "dependency_violations_code",
     on_claims(
-        "SELECT body_code, body_desc, count(*) OVER (PARTITION BY body_code) AS n_values FROM "
-        "(SELECT DISTINCT body_code, body_desc FROM claims WHERE body_code IS NOT NULL AND body_desc IS NOT NULL) QUALIFY n_values > 1"
+        "SELECT cause_code, body_desc, count(*) OVER (PARTITION BY cause_code) AS n_values FROM "
+        "(SELECT DISTINCT cause_code, body_desc FROM claims WHERE cause_code IS NOT NULL AND body_desc IS NOT NULL) QUALIFY n_values > 1"
     ),
 )
 def dependency_violations_code(spark, sf):
-    return profile.dependency_violations(claims(spark, sf), "body_code", "body_desc")
+    return profile.dependency_violations(claims(spark, sf), "cause_code", "body_desc")
 
 
 @query(

@@ -116,7 +116,7 @@ class _FittedWriter(MLWriter):
         self.instance = instance
 
     def saveImpl(self, path: str) -> None:
-        DefaultParamsWriter.saveMetadata(self.instance, path, self.sparkSession, extraMetadata={"tables": sorted(self.instance.tables)})
+        DefaultParamsWriter.saveMetadata(self.instance, path, self.sparkSession, extraMetadata={"tables": {n: t.part for n, t in self.instance.tables.items()}})
         for name, table in self.instance.tables.items():
             table.df.write.parquet(f"{path}/table_{name}")
 
@@ -127,5 +127,5 @@ class _FittedReader(MLReader):
         model = FittedModel()
         model._resetUid(metadata["uid"])
         DefaultParamsReader.getAndSetParams(model, metadata)
-        model.tables = {n: FittedTable.load(self.sparkSession, f"{path}/table_{n}") for n in metadata["tables"]}
+        model.tables = {n: FittedTable.load(self.sparkSession, f"{path}/table_{n}", metadata["tables"][n]) for n in metadata["tables"]}
         return model

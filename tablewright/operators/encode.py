@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tablewright.functions.expressions import lookup_literal
 from tablewright.operators.base import FittedOperator, step
 from tablewright.operators.clean import MAX_CLASSES, class_list
-from tablewright.plans.lookup import FittedTable, attach
+from tablewright.plans.lookup import WEIGHT, FittedTable, attach
 
 MAX_DUMMIES = 1_000
 
@@ -24,33 +24,30 @@ CARRIER_GROUPS = {
     "UNKNOWN": "Unknown",
 }
 
-# Groups of injury codes, as published code ranges.
+# Groups of injury codes.
 CAUSE_GROUPS = {
-    "Burn_or_Scald": [*range(1, 10), 11, 14, 84],
+    "Burn_or_Scald": [1, 2, 3, 4, 5, 6, 7, 8, 9, 11, 14, 84],
     "Caught_In": [10, 12, 13, 20],
-    "Cut_Puncture_Scrape": [*range(15, 20)],
-    "Fall_Slip_or_Trip": [*range(25, 34)],
-    "Motor_Vehicle": [40, 41, *range(45, 49), 50],
-    "Strain_or_Injury": [*range(52, 62), 97],
-    "Striking_Against_or_Stepping_On": [*range(65, 71)],
-    "Struck_or_Injured_By": [*range(74, 82), 85, 86],
-    "Miscellaneous_Causes": [82, 83, *range(87, 92), *range(93, 97), 98, 99],
+    "Cut_Puncture_Scrape": [15, 16, 17, 18, 19],
+    "Fall_Slip_or_Trip": [25, 26, 27, 28, 29, 30, 31, 32, 33],
+    "Motor_Vehicle": [40, 41, 45, 46, 47, 48, 50],
+    "Strain_or_Injury": [52, 53, 54, 55, 56, 57, 58, 59, 60, 61, 97],
+    "Striking_Against_or_Stepping_On": [65, 66, 67, 68, 69, 70],
+    "Struck_or_Injured_By": [74, 75, 76, 77, 78, 79, 80, 81, 85, 86],
+    "Miscellaneous_Causes": [82, 83, 87, 88, 89, 90, 91, 93, 94, 95, 96, 98, 99],
     "Unknown": [100],
 }
 NATURE_GROUPS = {
-    "Specific": [
-        *range(1, 5), 7, 10, 13, 16, 19, 22, 25, 28, 30, 31, 32, 34, 36, 37, 38,
-        40, 41, 42, 43, 46, 47, 49, 52, 53, 54, 55, 58, 59,
-    ],
-    "Occupational": [*range(60, 81), 83],
+    "Specific": [1, 2, 3, 4, 7, 10, 13, 16, 19, 22, 25, 28, 30, 31, 32, 34, 36, 37, 38, 40, 41, 42, 43, 46, 47, 49, 52, 53, 54, 55, 58, 59],
+    "Occupational": [60, 61, 62, 63, 64, 65, 66, 67, 68, 69, 70, 71, 72, 73, 74, 75, 76, 77, 78, 79, 80, 83],
     "Multiple": [90, 91],
     "Unknown": [100],
 }
 BODY_GROUPS = {
-    "Head_and_Neck": [*range(10, 27)],
-    "Upper_Extremities": [*range(30, 40)],
-    "Trunk": [*range(40, 50), *range(60, 64)],
-    "Lower_Extremities": [*range(50, 59)],
+    "Head_and_Neck": [10, 11, 12, 13, 14, 15, 16, 17, 18, 19, 20, 21, 22, 23, 24, 25, 26],
+    "Upper_Extremities": [30, 31, 32, 33, 34, 35, 36, 37, 38, 39],
+    "Trunk": [40, 41, 42, 43, 44, 45, 46, 47, 48, 49, 60, 61, 62, 63],
+    "Lower_Extremities": [50, 51, 52, 53, 54, 55, 56, 57, 58],
     "Multiple_Body Parts": [64, 65, 66, 90, 91, 99],
     "Unknown": [100],
 }
@@ -88,9 +85,8 @@ def _long_levels(df: DataFrame, columns: list[str], *extra: str) -> DataFrame:
 
 def _attach_levels(df: DataFrame, levels: FittedTable, column: str) -> DataFrame:
     """Add the fitted columns of one encoded column; ``levels`` holds those of all columns."""
-    part = levels.df.filter(F.col("column_name") == column).drop("column_name")
-    keyed = df.withColumn("lookup_text", F.col(column).cast("string"))
-    return attach(keyed, FittedTable(part, levels.rows), {"lookup_text": "value"}).drop("lookup_text")
+    keyed = df.withColumn("encoded_text", F.col(column).cast("string"))
+    return attach(keyed, levels.of_part(column), {"encoded_text": "value"}).drop("encoded_text")
 
 
 class TargetEncoder(FittedOperator):
@@ -117,9 +113,9 @@ class TargetEncoder(FittedOperator):
         counts = _long_levels(named, cols, "cls").groupBy("column_name", "value").agg(F.count("*").alias("n"), *hits)
         weight = 1 / (1 + F.exp(-(F.col("n") - F.lit(args["k"])) / F.lit(args["f"])))
         encoded = counts.select(
-            "column_name", "value", *[(weight * F.col(f"hits_{i}") / F.col("n") + (1 - weight) * F.lit(p)).alias(f"encoded_{i}") for i, (_, p) in enumerate(shares)]
+            "column_name", "value", F.col("n").alias(WEIGHT), *[(weight * F.col(f"hits_{i}") / F.col("n") + (1 - weight) * F.lit(p)).alias(f"encoded_{i}") for i, (_, p) in enumerate(shares)]
         )
-        return {"classes": [v for v, _ in shares], "priors": [p for _, p in shares]}, {"codes": FittedTable.of(encoded)}
+        return {"classes": [v for v, _ in shares], "priors": [p for _, p in shares]}, {"codes": FittedTable.of(encoded, "column_name")}
 
     @staticmethod
     def apply(df, args, scalars, tables):
@@ -142,7 +138,7 @@ class FrequencyEncoder(FittedOperator):
 
     def learn(self, train, args):
         counts = _long_levels(train, args["columns"]).groupBy("column_name", "value").agg(F.count("*").alias("fitted_n"))
-        return {}, {"counts": FittedTable.of(counts)}
+        return {}, {"counts": FittedTable.of(counts.withColumn(WEIGHT, F.col("fitted_n")), "column_name")}
 
     @staticmethod
     def apply(df, args, scalars, tables):

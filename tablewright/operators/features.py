@@ -37,7 +37,7 @@ def add_date_parts(df: DataFrame, date: str) -> DataFrame:
 
 
 class IncomeClass(FittedOperator):
-    """Low up to the 25 % quantile, Middle up to the 85 % quantile, Wealthy above, Unknown if null."""
+    """Low Income up to the 25 % quantile, Middle Class up to the 85 % quantile, Wealthy above, Unknown if null."""
 
     defaults = {"column": "wage", "into": "income_class", "q": [0.25, 0.85]}
 
@@ -48,7 +48,7 @@ class IncomeClass(FittedOperator):
     @staticmethod
     def apply(df, args, scalars, tables):
         c = F.col(args["column"])
-        named = F.when(c.isNull(), "Unknown").when(c <= scalars["low"], "Low").when(c <= scalars["high"], "Middle").otherwise("Wealthy")
+        named = F.when(c.isNull(), "Unknown").when(c <= scalars["low"], "Low Income").when(c <= scalars["high"], "Middle Class").otherwise("Wealthy")
         return df.withColumn(args["into"], named)
 
 

@@ -1,7 +1,7 @@
 """Missing values. Fitted on the training rows, applied to all rows in pipeline order.
 
 Statistics per group are aggregated (never windowed over the group) and joined back
-with ``attach``, which picks the join by the size of the fitted table.
+with ``attach``, in one join whatever the size of the fitted table.
 """
 
 from __future__ import annotations
@@ -13,16 +13,17 @@ from pyspark.sql import types as T
 from tablewright.functions.expressions import all_of, holds, micros
 from tablewright.functions.hashing import hash_uniform
 from tablewright.operators.base import FittedOperator, step
-from tablewright.plans.lookup import FittedTable, attach
+from tablewright.plans.lookup import WEIGHT, FittedTable, attach
 from tablewright.plans.prefix import running_sums
 from tablewright.plans.quantiles import exact_quantiles
+from tablewright.session import cut_lineage
 
 # Fixed values.
 UNKNOWN_CODE = 100
 UNKNOWN_TEXT = "Unknown"
 
+#: So many values are written into the plan; the draws are the same either way.
 SHORT_LIST = 32
-GRID = 4096
 
 
 @step
@@ -58,21 +59,24 @@ def _bands(train: DataFrame, column: str, top: int | None) -> tuple[dict, dict]:
     order = [F.desc("n"), F.asc("value")]
     if top is not None:
         counts = counts.orderBy(*order).limit(top)
-    head = FittedTable.of(counts)
-    if head.rows <= SHORT_LIST:
-        rows = sorted(((r["value"], r["n"]) for r in head.df.collect()), key=lambda vn: (-vn[1], vn[0]))
+    head = cut_lineage(counts)
+    n_values = head.count()
+    if n_values <= SHORT_LIST:
+        rows = sorted(((r["value"], r["n"]) for r in head.collect()), key=lambda vn: (-vn[1], vn[0]))
         total, upto, out = sum(n for _, n in rows), 0, []
         for value, n in rows:
             out.append([value, upto / total, (upto + n) / total])
             upto += n
         return {"bands": out}, {}
-    total = head.df.agg(F.sum("n")).first()[0]
-    summed = running_sums(head.df, order, ["n"])
+    # As many cells as values: a cell meets two bands on average, and no draw meets many.
+    grid = 1 << n_values.bit_length()
+    total = head.agg(F.sum("n")).first()[0]
+    summed = running_sums(head, order, ["n"])
     low = (F.col("n_upto") - F.col("n")) / F.lit(float(total))
     high = F.col("n_upto") / F.lit(float(total))
-    cells = F.sequence(F.floor(low * GRID).cast("int"), F.least(F.ceil(high * GRID).cast("int") - 1, F.lit(GRID - 1)))
+    cells = F.sequence(F.floor(low * grid).cast("int"), F.least(F.ceil(high * grid).cast("int") - 1, F.lit(grid - 1)))
     bands = summed.select("value", low.alias("low"), high.alias("high"), F.explode(cells).alias("cell"))
-    return {}, {"bands": FittedTable.of(bands)}
+    return {"grid": grid}, {"bands": FittedTable.of(bands)}
 
 
 class ProportionalFill(FittedOperator):
@@ -101,9 +105,8 @@ class ProportionalFill(FittedOperator):
             drawn = df.withColumn("draw", F.when(F.col(c).isNull(), u))
             return drawn.withColumn(into, F.coalesce(F.col(c), draw.cast(df.schema[c].dataType))).drop("draw")
         known = df.filter(F.col(c).isNotNull()).withColumn(into, F.col(c))
-        missing = df.filter(F.col(c).isNull()).withColumn("draw", u).withColumn("cell", F.floor(F.col("draw") * GRID).cast("int"))
-        bands = tables["bands"].df
-        side = F.broadcast(bands) if tables["bands"].small else bands
+        missing = df.filter(F.col(c).isNull()).withColumn("draw", u).withColumn("cell", F.floor(F.col("draw") * scalars["grid"]).cast("int"))
+        side = tables["bands"].df
         # u is uniform over the grid cells, so no cell is hot.
         hit = (missing["cell"] == side["cell"]) & (missing["draw"] >= side["low"]) & (missing["draw"] < side["high"])
         filled = missing.join(side, hit, "left").drop(side["cell"]).withColumn(into, F.col("value").cast(df.schema[c].dataType))
@@ -122,7 +125,7 @@ def fill_block(df: DataFrame, codes: list[str], descriptions: list[str], code=UN
 def group_modes(df: DataFrame, group: str, column: str) -> DataFrame:
     """Commonest value per group, the smallest on a tie; groups and values may not be null."""
     pairs = df.filter(F.col(group).isNotNull() & F.col(column).isNotNull()).groupBy(group, column).agg(F.count("*").alias("n"))
-    return pairs.groupBy(group).agg(F.min_by(F.col(column), F.struct(-F.col("n"), F.col(column))).alias("fitted_value"))
+    return pairs.groupBy(group).agg(F.min_by(F.col(column), F.struct(-F.col("n"), F.col(column))).alias("fitted_value"), F.sum("n").alias(WEIGHT))
 
 
 def group_medians(df: DataFrame, group: str, column: str) -> DataFrame:
@@ -138,7 +141,8 @@ def group_medians(df: DataFrame, group: str, column: str) -> DataFrame:
     first = F.col("last") - F.col("n")
     hit_lower, hit_upper = (first < lower) & (lower <= F.col("last")), (first < upper) & (upper <= F.col("last"))
     return placed.groupBy(group).agg(
-        ((F.max(F.when(hit_lower, F.col("value"))) + F.max(F.when(hit_upper, F.col("value")))) / 2).alias("fitted_value")
+        ((F.max(F.when(hit_lower, F.col("value"))) + F.max(F.when(hit_upper, F.col("value")))) / 2).alias("fitted_value"),
+        F.sum("n").alias(WEIGHT),
     )
 
 
@@ -191,7 +195,7 @@ class GroupStatisticFill(FittedOperator):
             stats = group_modes(known, g, c)
         elif metric == "mean":
             pairs = known.filter(F.col(g).isNotNull() & F.col(c).isNotNull())
-            stats = pairs.groupBy(g).agg(F.avg(c).alias("fitted_value"))
+            stats = pairs.groupBy(g).agg(F.avg(c).alias("fitted_value"), F.count("*").alias(WEIGHT))
         elif metric == "median":
             stats = group_medians(known, g, c)
         else:
@@ -221,7 +225,7 @@ class DescriptionFromCode(FittedOperator):
     def learn(self, train, args):
         code, text = args["code"], args["description"]
         pairs = train.filter(F.col(code).isNotNull() & F.col(text).isNotNull())
-        return {}, {"texts": FittedTable.of(pairs.groupBy(code).agg(F.max_by(text, args["key"]).alias("fitted_value")))}
+        return {}, {"texts": FittedTable.of(pairs.groupBy(code).agg(F.max_by(text, args["key"]).alias("fitted_value"), F.count("*").alias(WEIGHT)))}
 
     @staticmethod
     def apply(df, args, scalars, tables):
@@ -269,7 +273,8 @@ class DateByMedianGap(FittedOperator):
 
 class RepairDateOrder(FittedOperator):
     """Where the condition date is after the target, the target becomes the reference
-    date plus the median of the positive training differences, in whole days."""
+    date plus the median of the positive training differences, in whole days. Without a
+    reference date, or a positive difference in training, the target stays as it is."""
 
     defaults = {"target": None, "reference": None, "condition": None}
 
@@ -281,8 +286,10 @@ class RepairDateOrder(FittedOperator):
     @staticmethod
     def apply(df, args, scalars, tables):
         wrong = holds(F.col(args["condition"]) > F.col(args["target"]))
+        if scalars["days"] is None:
+            return df
         moved = F.date_add(args["reference"], F.lit(scalars["days"]))
-        return df.withColumn(args["target"], F.when(wrong, moved).otherwise(F.col(args["target"])))
+        return df.withColumn(args["target"], F.when(wrong, F.coalesce(moved, F.col(args["target"]))).otherwise(F.col(args["target"])))
 
 
 @step

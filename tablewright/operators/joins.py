@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.plans.lookup import FittedTable, attach
+from tablewright.plans.lookup import WEIGHT, FittedTable, attach
 
 
 def keep_keys(df: DataFrame, survivors: DataFrame, key: str) -> DataFrame:
@@ -20,7 +20,12 @@ def align_columns(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 def dictionary_lookup(df: DataFrame, column: str, dictionary: DataFrame, key: str) -> DataFrame:
     """Add the dictionary's columns; a missing key gives nulls. Keys must be unique."""
-    return attach(df, FittedTable.of(dictionary), {column: key})
+    counted = dictionary
+    if not df.isStreaming:
+        # How often the rows use each key, so that frequent keys are spread.
+        used = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("used_key")).agg(F.count("*").alias(WEIGHT))
+        counted = dictionary.join(used, F.col(key) == F.col("used_key"), "left").drop("used_key").fillna(0, [WEIGHT])
+    return attach(df, FittedTable.of(counted), {column: key})
 
 
 def group_statistic(df: DataFrame, group: str, statistic: Column, name: str, train: DataFrame | None = None) -> DataFrame:
@@ -29,7 +34,7 @@ def group_statistic(df: DataFrame, group: str, statistic: Column, name: str, tra
     Aggregating first keeps a frequent group small; a window over the group would not.
     """
     source = df if train is None else train
-    stats = source.filter(F.col(group).isNotNull()).groupBy(group).agg(statistic.alias(name))
+    stats = source.filter(F.col(group).isNotNull()).groupBy(group).agg(statistic.alias(name), F.count("*").alias(WEIGHT))
     return attach(df, FittedTable.of(stats), {group: group})
 
 

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.expressions import any_of, micros
-from tablewright.plans.lookup import FittedTable, attach
+from tablewright.plans.lookup import WEIGHT, FittedTable, attach
 from tablewright.plans.quantiles import exact_quantiles
+from tablewright.session import cut_lineage
 
 LISTED_BELOW = 100
 
@@ -131,8 +132,9 @@ def value_counts(df: DataFrame, column: str, shares: bool = False, keep_null: bo
     rows = df if keep_null else df.filter(F.col(column).isNotNull())
     counts = rows.groupBy(column).agg(F.count("*").alias("n"))
     if shares:
-        total = rows.count()
-        counts = counts.withColumn("share", F.col("n") / F.lit(float(total)))
+        counts = cut_lineage(counts)
+        total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        counts = counts.withColumn("share", F.try_divide(F.col("n"), F.lit(float(total))))
     return counts.orderBy(F.desc("n"), F.asc_nulls_last(column))
 
 
@@ -145,14 +147,14 @@ def class_distribution(df: DataFrame, label: str) -> DataFrame:
 def dependency_violations(df: DataFrame, group: str, target: str) -> DataFrame:
     """Values of ``target`` in groups where it is not unique, one row per (group, value)."""
     pairs = df.select(group, target).filter(F.col(target).isNotNull() & F.col(group).isNotNull()).distinct()
-    sizes = FittedTable.of(pairs.groupBy(group).agg(F.count("*").alias("n_values")).filter("n_values > 1"))
+    sizes = FittedTable.of(pairs.groupBy(group).agg(F.count("*").alias("n_values"), F.count("*").alias(WEIGHT)).filter("n_values > 1"))
     return attach(pairs, sizes, {group: group}).filter("n_values is not null")
 
 
 def code_dictionary(df: DataFrame, code: str, description: str) -> DataFrame:
     """Distinct (code, description) pairs with the number of descriptions of the code."""
     pairs = df.select(code, description).distinct()
-    sizes = FittedTable.of(pairs.filter(F.col(code).isNotNull()).groupBy(code).agg(F.count("*").alias("n_for_code")))
+    sizes = FittedTable.of(pairs.filter(F.col(code).isNotNull()).groupBy(code).agg(F.count("*").alias("n_for_code"), F.count("*").alias(WEIGHT)))
     return attach(pairs, sizes, {code: code}).orderBy(F.asc_nulls_last(code), F.asc_nulls_last(description))
 
 

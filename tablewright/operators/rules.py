@@ -10,7 +10,7 @@ from tablewright.operators.base import step
 
 # Fixed values.
 MERGED_CODE = 90
-MERGED_DESCRIPTION = "MULTIPLE BODY PARTS (INCLUDING BODY"
+MERGED_DESCRIPTION = "MULTIPLE BODY PARTS"
 COVID_START = "2020-03-01"
 LEGAL_AGE = 14
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.operators.clean import class_list
-from tablewright.plans.lookup import FittedTable, attach
+from tablewright.plans.lookup import WEIGHT, FittedTable, attach
 from tablewright.plans.prefix import running_sums
 from tablewright.plans.quantiles import exact_quantiles
 from tablewright.session import cut_lineage
@@ -177,10 +177,12 @@ def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
 def spearman_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rank correlation of every pair of columns over rows without nulls."""
     rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
-    ranks = cut_lineage(average_ranks(rows, columns))
-    for c in columns:
-        table = FittedTable.of(ranks.filter(F.col("feature") == c).select("value", F.col("avg_rank").alias(f"rank_{c}")))
-        rows = attach(rows, table, {c: "value"})
+    # Written, so that the numbers of the rows stay what they are.
+    rows = cut_lineage(rows.withColumn("row_no", F.monotonically_increasing_id()))
+    ranks = FittedTable.of(average_ranks(rows, columns).withColumn(WEIGHT, F.col("n")).drop("n"))
+    long = attach(rows.unpivot(["row_no"], columns, "feature", "own_value"), ranks, {"feature": "feature", "own_value": "value"})
+    by_feature = [F.max(F.when(F.col("feature") == c, F.col("avg_rank"))).alias(f"rank_{c}") for c in columns]
+    rows = long.select("row_no", "feature", "avg_rank").groupBy("row_no").agg(*by_feature)
     pairs = list(combinations(sorted(columns), 2))
     row = rows.agg(*[F.corr(f"rank_{a}", f"rank_{b}").alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
     parts = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"p{i}").alias("correlation")) for i, (a, b) in enumerate(pairs)]

@@ -74,16 +74,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the frame under the shared folder and read it back.
+def cut_lineage(df: DataFrame, part: str | None = None) -> DataFrame:
+    """Write the frame under the shared folder and read it back, by folders of ``part`` if given.
 
     Like a checkpoint it survives the loss of executors; unlike one it is columnar, so
     later steps read only the columns they use.
     """
     path = scratch_path(df.sparkSession, "cut")
-    df.write.parquet(path)
+    (df.write.partitionBy(part) if part else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of the files that a frame read from a table reads."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

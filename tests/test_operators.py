@@ -259,6 +259,6 @@ def test_elimination_keeps_the_telling_feature(spark):
 def test_frequency_encoder_with_a_large_table(spark, monkeypatch):
     df = spark.range(300).select(F.col("id").alias("i"), (F.col("id") % 90).cast("string").alias("a"), F.lit("same").alias("b"))
     expected = sorted(map(tuple, encode.FrequencyEncoder(columns=["a", "b"]).fit(df).transform(df).collect()))
-    monkeypatch.setattr(lookup, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(lookup, "_broadcast_bytes", lambda spark: -1)
     got = sorted(map(tuple, encode.FrequencyEncoder(columns=["a", "b"]).fit(df).transform(df).select("i", "a", "b", "a_freq", "b_freq").collect()))
     assert got == expected

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.hashing import hash_order, hash_uniform
 from tablewright.operators.impute import group_medians
-from tablewright.plans.lookup import FittedTable, attach
+from tablewright.operators import encode
+from tablewright.plans.lookup import WEIGHT, FittedTable, attach
 from tablewright.plans.prefix import running_sums
 from tablewright.plans.quantiles import exact_quantiles
 from tablewright.plans.rank_cut import hash_cut
@@ -67,18 +68,72 @@ def test_running_sums_equal_cumsum(spark):
     assert (got["n_upto"].to_numpy() == got["n"].cumsum().to_numpy()).all()
 
 
-@pytest.mark.parametrize("limit", [0, 1_000_000])
-def test_attach_by_broadcast_and_by_shuffle_agree(spark, limit):
+@pytest.fixture
+def no_broadcast(spark):
+    """Every fitted table counts as large."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def keyed_stats(df):
+    return df.filter("cls is not null").groupBy("cls").agg(F.avg("value").alias("m"), F.count("*").alias(WEIGHT))
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_attach_by_broadcast_and_by_shuffle_agree(spark, large, request):
+    if large:
+        request.getfixturevalue("no_broadcast")
     df = skewed(spark).withColumn("cls", F.when(F.col("key") % 5 > 0, F.col("cls")))
-    stats = df.filter("cls is not null").groupBy("cls").agg(F.avg("value").alias("m"))
-    table = FittedTable.of(stats, limit=limit)
-    got = attach(df, table, {"cls": "cls"}, limit=limit, hot_one_in=10).toPandas().sort_values("key")
+    table = FittedTable.of(keyed_stats(df))
+    assert bool(table.hot) == large
+    got = attach(df, table, {"cls": "cls"}).toPandas().sort_values("key")
     assert got["key"].tolist() == list(range(6000))
     pdf = df.toPandas()
     means = pdf.dropna(subset=["cls"]).groupby("cls")["value"].mean()
     assert np.allclose(got["m"], pdf["cls"].map(means), equal_nan=True)
 
 
+def test_hot_and_null_keys_are_spread(spark, no_broadcast):
+    """A third of the rows with one key and a third without: no join partition holds much more than its share."""
+    df = spark.range(30_000).select(
+        F.col("id").alias("key"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.concat(F.lit("c"), (F.col("id") % 997).cast("string"))).alias("cls"), F.lit(1.0).alias("value")
+    )
+    width = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = attach(df, FittedTable.of(keyed_stats(df)), {"cls": "cls"})
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(sizes) == 30_000 and max(sizes) < 2.5 * 30_000 / 16
+
+
+def leaves(df):
+    return df._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+
+
+def test_plan_grows_by_a_constant_per_column(spark, no_broadcast):
+    df = spark.range(300).select("id", *[(F.col("id") % (7 + i)).cast("string").alias(f"c{i}") for i in range(5)])
+    sizes = []
+    for n in (1, 2, 5):
+        columns = [f"c{i}" for i in range(n)]
+        sizes.append(leaves(encode.FrequencyEncoder(columns=columns).fit(df).transform(df)))
+    assert sizes == [2, 3, 6]
+
+
+def test_large_encoder_scores_a_stream(spark, no_broadcast, tmp_path):
+    df = spark.range(500).select("id", F.when(F.col("id") % 3 > 0, (F.col("id") % 40).cast("string")).alias("a"), F.lit("same").alias("b"))
+    model = encode.FrequencyEncoder(columns=["a", "b"]).fit(df)
+    df.write.parquet(str(tmp_path / "rows"))
+    stream = model.transform(spark.readStream.schema(df.schema).parquet(str(tmp_path / "rows")))
+    query = stream.writeStream.format("memory").queryName("encoded").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(map(str, spark.table("encoded").collect())) == sorted(map(str, model.transform(df).collect()))
+
+
 def test_group_medians_with_a_hot_group(spark):
     df = skewed(spark)
     got = {r["cls"]: r["fitted_value"] for r in group_medians(df, "cls", "value").collect()}
