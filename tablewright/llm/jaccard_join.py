@@ -2,9 +2,10 @@
 
 Every distinct set of shingles is embedded into ``COORDINATES`` minhash values, so two sets share a
 coordinate with the probability of their Jaccard similarity. A run starts with all sets in one
-bucket and splits it on a sampled coordinate: sets with the same value there -- a sampled shared
-token -- go on together. Buckets that are still large are split again, on coordinates drawn from
-the path that led there; small ones are compared by brute force, first on eight bits
+bucket and splits it on sampled coordinates: sets with the same values there -- sampled shared
+tokens -- go on together. The first two splits are one step, since a passage that many texts share
+fills the buckets of one token. Buckets that are still large are split again, on coordinates drawn
+from the path that led there; small ones are compared by brute force, first on eight bits
 of each coordinate, then exactly on the shingles. Runs are repeated until pairs at the threshold are
 met with the target recall.
 
@@ -33,12 +34,14 @@ THRESHOLD = 0.8
 RECALL = 0.999
 COORDINATES = 64
 #: Largest bucket for brute force in one go, rows of a block of a larger one, and levels of splitting.
-SMALL = 128
-BLOCK = 256
-DEPTH = 6
+SMALL = 512
+BLOCK = 512
+DEPTH = 5
+#: Coordinates of the first split of a run.
+FIRST = 2
 #: A bucket that keeps this share of its parent's sets is not split further: its sets are alike.
 ALIKE = 0.7
-#: Every bucket is split on one coordinate, one in four on a second: 1 / THRESHOLD on average.
+#: Every later bucket is split on one coordinate, one in four on a second: 1 / THRESHOLD on average.
 SECOND_ONE_IN = 4
 #: Shared coordinates below which a pair cannot be near: five standard deviations under the threshold's mean.
 LEAST_SHARED = 35
@@ -121,7 +124,7 @@ def runs_for(recall: float, depth: int = DEPTH, threshold: float = THRESHOLD) ->
     """Runs until a pair at the threshold, split ``depth`` times, is met with the wanted probability."""
     lost = 1 - threshold
     stay = 1 - ((1 - 1 / SECOND_ONE_IN) * lost + lost**2 / SECOND_ONE_IN)
-    return math.ceil(math.log(1 - recall) / math.log(1 - stay**depth))
+    return math.ceil(math.log(1 - recall) / math.log(1 - threshold**FIRST * stay ** (depth - 1)))
 
 
 def embed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -160,13 +163,8 @@ def _split(path: Column, coords: Column, level: int) -> Column:
 
 def _roots(coords: Column, runs: int) -> Column:
     """The first split of every run, each on coordinates of its own as long as they last."""
-    paths, at = [], 0
-    for run in range(runs):
-        for _ in range(2 if run % SECOND_ONE_IN == 0 else 1):
-            c = F.lit(at % COORDINATES)
-            paths.append(F.xxhash64(F.lit(run), c, F.get(coords, c)))
-            at += 1
-    return F.array(*paths)
+    chosen = [[(run * FIRST + k) % COORDINATES for k in range(FIRST)] for run in range(runs)]
+    return F.array(*[F.xxhash64(F.lit(run), *[F.get(coords, F.lit(c)) for c in own]) for run, own in enumerate(chosen)])
 
 
 def buckets(sets: DataFrame, runs: int) -> DataFrame:

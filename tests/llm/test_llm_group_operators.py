@@ -91,7 +91,7 @@ def varied(seed, n):
     return docs
 
 
-@pytest.mark.parametrize("small,block", [(128, 256), (4, 8)])
+@pytest.mark.parametrize("small,block", [(512, 512), (4, 8)])
 def test_near_copies_equal_brute_force(spark, monkeypatch, small, block):
     # Small limits make buckets split again and be compared in blocks.
     monkeypatch.setattr(jaccard_join, "SMALL", small)
