@@ -48,7 +48,9 @@ class IncomeClass(FittedOperator):
     @staticmethod
     def apply(df, args, scalars, tables):
         c = F.col(args["column"])
-        named = F.when(c.isNull(), "Unknown").when(c <= scalars["low"], "Low Income").when(c <= scalars["high"], "Middle Class").otherwise("Wealthy")
+        # Without training values both bounds are null, and every class is unknown.
+        low, high = (F.lit(scalars[q]).cast("double") for q in ("low", "high"))
+        named = F.when(c <= low, "Low Income").when(c <= high, "Middle Class").when(c > high, "Wealthy").otherwise("Unknown")
         return df.withColumn(args["into"], named)
 
 

@@ -120,11 +120,11 @@ def roc_curve(df: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Area under the curve: of all (positive, negative) pairs the share ranked right, ties half."""
+    """Area under the curve: of all (positive, negative) pairs the share ranked right, ties half; null with one class."""
     points = roc_points(df, label, score)
     right = F.col("neg").cast("double") * (F.col("pos_upto") - F.col("pos") / 2)
     sums = points.agg(F.sum(right).alias("right"), F.sum("pos").cast("double").alias("p"), F.sum("neg").cast("double").alias("n"))
-    return sums.select((F.col("right") / (F.col("p") * F.col("n"))).alias("auc"))
+    return sums.select(F.try_divide("right", F.col("p") * F.col("n")).alias("auc"))
 
 
 def threshold_sweep(df: DataFrame, label: str, score: str, thresholds: list[float], inclusive: bool = False) -> DataFrame:

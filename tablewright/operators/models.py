@@ -160,7 +160,7 @@ def model_sweep(train: DataFrame, rows: DataFrame, models: dict[str, dict[str, A
         scores = metrics.class_scores(predicted, label, "prediction")
         row = scores.agg(
             F.lit(name).alias("model"),
-            (F.sum("hits") / F.sum("support")).alias("accuracy"),
+            F.try_divide(F.sum("hits"), F.sum("support")).alias("accuracy"),
             F.avg("f1").alias("macro_f1"),
         )
         out = row if out is None else out.unionByName(row)

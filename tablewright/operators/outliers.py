@@ -72,7 +72,9 @@ class ImplausibleAge(FittedOperator):
     @staticmethod
     def apply(df, args, scalars, tables):
         age = F.col(args["age"])
-        out = holds(((age - scalars["mean"]) / scalars["std"] > args["z_limit"]) | (age < args["minimum"]))
+        # No deviation, as of equal ages, is no z-score.
+        z = F.try_divide(age - F.lit(scalars["mean"]).cast("double"), F.lit(scalars["std"]).cast("double"))
+        out = holds((z > args["z_limit"]) | (age < args["minimum"]))
         return df.withColumns({c: F.when(out, F.lit(None)).otherwise(F.col(c)) for c in (args["age"], args["birth_year"])})
 
 

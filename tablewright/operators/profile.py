@@ -27,7 +27,7 @@ def missing_report(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     return (
         _melt(counts, ["n_rows"], columns, "column_name", "n_missing")
         .filter("n_missing > 0")
-        .select("column_name", "n_missing", F.round(100 * F.col("n_missing") / F.col("n_rows"), 2).alias("pct_missing"))
+        .select("column_name", "n_missing", F.round(F.try_divide(100 * F.col("n_missing"), F.col("n_rows")), 2).alias("pct_missing"))
         .orderBy(F.desc("n_missing"), "column_name")
     )
 
@@ -168,7 +168,7 @@ def rule_hits(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """Rows for which each rule holds, and their percent, in one pass."""
     counts = df.agg(F.count("*").alias("n_rows"), *[F.count_if(r).alias(n) for n, r in rules.items()])
     return _melt(counts, ["n_rows"], list(rules), "rule", "n_hits").select(
-        "rule", "n_hits", (100.0 * F.col("n_hits") / F.col("n_rows")).alias("pct_hits")
+        "rule", "n_hits", F.try_divide(100.0 * F.col("n_hits"), F.col("n_rows")).alias("pct_hits")
     )
 
 

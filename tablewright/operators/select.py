@@ -101,14 +101,14 @@ def association_report(df: DataFrame, features: list[str], label: str) -> DataFr
         present.alias("n_classes"),
         F.greatest(plain, F.lit(0.0)).alias("chi2_plain"),
         (n * F.col("inv_r") * inv_c).alias("inverse_expected"),
-        (F.ln(n) + (F.col("cell_log") - F.col("r_log") - c_log) / n).alias("mutual_information"),
+        (F.ln(n) + F.try_divide(F.col("cell_log") - F.col("r_log") - c_log, n)).alias("mutual_information"),
     ).withColumn("dof", ((F.col("n_levels") - 1) * (F.col("n_classes") - 1)).cast("int"))
     # In a 2x2 table all four cells are equally far from expectation.
-    gap = F.sqrt(F.col("chi2_plain") / F.col("inverse_expected"))
+    gap = F.sqrt(F.try_divide("chi2_plain", "inverse_expected"))
     corrected = F.pow(F.greatest(gap - 0.5, F.lit(0.0)), 2) * F.col("inverse_expected")
     out = out.withColumn("chi2", F.when(F.col("dof") == 1, corrected).otherwise(F.col("chi2_plain")))
     narrow = F.least(F.col("n_levels"), F.col("n_classes")) - 1
-    v = F.when(narrow > 0, F.sqrt(F.col("chi2") / (F.col("n") * narrow)))
+    v = F.when(narrow > 0, F.sqrt(F.try_divide("chi2", F.col("n") * narrow)))
     return out.select("feature", "n", "n_levels", "n_classes", "dof", "chi2", v.alias("cramers_v"), "mutual_information")
 
 
@@ -184,7 +184,12 @@ def spearman_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     by_feature = [F.max(F.when(F.col("feature") == c, F.col("avg_rank"))).alias(f"rank_{c}") for c in columns]
     rows = long.select("row_no", "feature", "avg_rank").groupBy("row_no").agg(*by_feature)
     pairs = list(combinations(sorted(columns), 2))
-    row = rows.agg(*[F.corr(f"rank_{a}", f"rank_{b}").alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
+
+    def correlation(a: str, b: str) -> Column:
+        # Null for a constant column, where corr() would fail.
+        return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+    row = rows.agg(*[correlation(f"rank_{a}", f"rank_{b}").alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
     parts = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"p{i}").alias("correlation")) for i, (a, b) in enumerate(pairs)]
     return row.select(F.inline(F.array(*parts)))
 

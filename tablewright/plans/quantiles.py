@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablewright.plans.prefix import running_sums
+
 MAX_DISTINCT = 1_000_000
 # A sketch has some thousand entries per task at this accuracy; two passes narrow a
 # column to one row in 60 000, three to one in 15 million.
@@ -33,6 +35,8 @@ class _Rank:
     high: float | None = None
     below: int = 0
     value: float | None = None
+    #: The bracket cannot be narrowed although it has many distinct values.
+    wide: bool = False
 
     def values(self) -> Column:
         c = F.col(self.col)
@@ -63,8 +67,10 @@ def exact_quantiles(
     wide = [r for r in ranks.values() if sizes[f"d_{r.col}"] > limit]
     if wide:
         ready += _narrow(source, wide, limit, accuracy)
-    if ready:
-        _pick(source, ready)
+    for wide_bracket in (False, True):
+        picked = [r for r in ready if r.wide == wide_bracket]
+        if picked:
+            _pick(source, picked, by_ranges=wide_bracket)
 
     def quantile(n: str, q: float) -> float | None:
         count = sizes[f"n_{n}"]
@@ -114,20 +120,33 @@ def _narrow(source: DataFrame, ranks: list[_Rank], limit: int, accuracy: int) ->
             narrowed = held and inside < r.inside
             if held:
                 r.low, r.high, r.below, r.inside = t.low, t.high, below, inside
-            # A bracket that cannot be narrowed is put in order whatever its size.
-            (again if narrowed and row[f"d{i}"] > limit else done).append(r)
+            if narrowed and row[f"d{i}"] > limit:
+                again.append(r)
+            else:
+                r.wide = row[f"d{i}"] > limit
+                done.append(r)
         active = again
     return done
 
 
-def _pick(source: DataFrame, ranks: list[_Rank]) -> None:
-    """Read the wanted ranks off ordered value counts, one bracket per group."""
+def _pick(source: DataFrame, ranks: list[_Rank], by_ranges: bool = False) -> None:
+    """Read the wanted ranks off ordered value counts, one bracket per group.
+
+    ``by_ranges`` orders them in many tasks; else a bracket is ordered in one, which its bound allows.
+    """
     brackets = {(r.col, r.low, r.high): r for r in ranks}
     ids = {key: i for i, key in enumerate(brackets)}
     entries = [F.struct(F.lit(ids[key]).alias("id"), r.values().alias("value")) for key, r in brackets.items()]
     long = source.select(F.inline(F.array(*entries))).filter("value is not null")
     counts = long.groupBy("id", "value").agg(F.count("*").alias("n"))
-    ordered = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("id").orderBy("value")))
+    if by_ranges:
+        totals = {r["id"]: r["n"] for r in counts.groupBy("id").agg(F.sum("n").alias("n")).collect()}
+        before = F.lit(0)
+        for i in totals:
+            before = F.when(F.col("id") == i, F.lit(sum(n for j, n in totals.items() if j < i))).otherwise(before)
+        ordered = running_sums(counts, [F.asc("id"), F.asc("value")], ["n"]).withColumn("upto", F.col("n_upto") - before)
+    else:
+        ordered = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("id").orderBy("value")))
     places = {i: sorted({r.rank - r.below for r in ranks if ids[r.col, r.low, r.high] == i}) for i in ids.values()}
     hit = F.lit(False)
     for i, spots in places.items():
