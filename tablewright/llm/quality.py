@@ -13,7 +13,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -178,14 +177,15 @@ def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text",
     # Two dictionaries of DICTIONARY_BYTES and a few numbers.
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         learnt = shared.value
         sizes = Sizes(learnt.good, learnt.bad) if learnt.weights is not None else None
         for texts in batches:
-            evidence = sizes.evidence(t.encode() for t in texts) if sizes else np.zeros((len(texts), 1))
-            yield pd.Series(learnt.scores(evidence))
+            # Texts leave the Arrow batch one by one, so a batch is held once.
+            evidence = sizes.evidence(t.as_py().encode() for t in texts) if sizes else np.zeros((len(texts), 1))
+            yield pa.array(learnt.scores(evidence))
 
-    score_udf = F.pandas_udf(score, "double")
+    score_udf = F.arrow_udf(score, "double")
     return docs.withColumn(score_col, score_udf(F.coalesce(F.col(text_col), F.lit(""))))
 
 
