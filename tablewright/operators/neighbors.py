@@ -1,11 +1,14 @@
-"""Exact nearest neighbours, synthetic minority rows and Tomek links.
+"""Nearest neighbours, synthetic minority rows and Tomek links.
 
-``nearest`` is a partitioned join. A bounded set of pivot rows divides the space into
-cells; the distances of rows to pivots give, for every cell, an upper bound of its
-rows' k-th neighbour distance, and with the triangle inequality a base row is sent
-only to cells it can matter for. Cells are cut into blocks of bounded size, a block
-keeps k candidates per row, and the candidates of a row are merged at the end. Nothing
-is dropped that could be a neighbour, and no task sees more than one block.
+``nearest`` is an exact partitioned join. A tree over a bounded sample cuts the space into cells
+of about ``CELL_ROWS`` base rows. Every query row first meets its own cell, which gives a
+bound on its k-th distance; then it is sent to just those other cells whose bounding box is
+nearer than its own bound. Base rows are never copied to other cells, and an outlier widens
+nobody's search but its own. Cells are cut into blocks of bounded size, a block keeps k candidates
+per query row, and vectors of neighbours are joined after the last merge.
+
+In many dimensions boxes exclude little, and the exact search approaches all pairs: ``probes`` then
+limits the cells searched per row to the nearest ones, which makes the result approximate.
 
 Copies of one vector need no more than k + 1 of their keys as candidates, so a vector
 that fills a third of the table does not make a large block.
@@ -14,6 +17,7 @@ that fills a third of the table does not make a large block.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -25,7 +29,11 @@ from tablewright.functions.hashing import hash_uniform
 from tablewright.operators.sample import random_sample
 from tablewright.session import cut_lineage
 
-MAX_PIVOTS = 4096
+#: Base rows of a cell, sampled rows per cell, and most cells of the tree on the driver; larger tables get larger
+#: cells, which are searched block by block.
+CELL_ROWS = 1024
+SAMPLE_PER_CELL = 8
+MAX_CELLS = 65_536
 BLOCK = 2048
 # Relative slack against rounding in the bounds; it can only add candidates.
 SLACK = 1e-9
@@ -50,131 +58,214 @@ def as_vectors(df: DataFrame, key: str, features: list[str], *payload: str) -> D
     return df.na.drop(subset=features).select(F.col(key).alias("row_key"), vec.alias("vec"), *payload)
 
 
-def _assign(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Add the nearest pivot and the distance to it."""
+@dataclass
+class CellTree:
+    """Median cuts of a sample. Node i is a leaf (cell) where ``cut_at[i]`` is -1."""
+
+    cut_at: np.ndarray  # dimension
+    cut: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    cell: np.ndarray
+    n_cells: int
+    low: np.ndarray | None = None  # bounding box of the base rows under a node
+    high: np.ndarray | None = None
+
+    @classmethod
+    def build(cls, sample: np.ndarray, n_cells: int) -> "CellTree":
+        nodes: list[list] = []
+        cells = 0
+
+        def grow(rows: np.ndarray, want: int) -> int:
+            nonlocal cells
+            at = len(nodes)
+            nodes.append([-1, 0.0, -1, -1, -1])
+            spread = rows.max(0) - rows.min(0) if len(rows) else np.zeros(1)
+            d = int(spread.argmax())
+            cut = float(np.median(rows[:, d])) if want > 1 and len(rows) > 1 else 0.0
+            under = rows[:, d] < cut if want > 1 and len(rows) > 1 else None
+            if under is None or spread[d] == 0 or under.all() or not under.any():
+                nodes[at][4] = cells
+                cells += 1
+                return at
+            nodes[at][:2] = d, cut
+            nodes[at][2] = grow(rows[under], want // 2)
+            nodes[at][3] = grow(rows[~under], want - want // 2)
+            return at
+
+        grow(sample, n_cells)
+        columns = list(zip(*nodes))
+        return cls(np.array(columns[0]), np.array(columns[1]), np.array(columns[2]), np.array(columns[3]), np.array(columns[4]), cells)
+
+    def locate(self, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(rows), np.int32)
+        todo = [(0, np.arange(len(rows)))]
+        while todo:
+            node, some = todo.pop()
+            if self.cut_at[node] < 0:
+                out[some] = self.cell[node]
+                continue
+            under = rows[some, self.cut_at[node]] < self.cut[node]
+            for child, part in ((self.left[node], some[under]), (self.right[node], some[~under])):
+                if len(part):
+                    todo.append((child, part))
+        return out
 
-    @F.pandas_udf(T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("away", T.DoubleType())]))
-    def place(vec: pd.Series) -> pd.DataFrame:
-        if not len(vec):
-            return pd.DataFrame({"cell": pd.Series(dtype="int32"), "away": pd.Series(dtype="float64")})
-        d = _distances(_matrix(vec), pivots)
-        near = d.argmin(axis=1)
-        return pd.DataFrame({"cell": near.astype("int32"), "away": d[np.arange(len(near)), near]})
+    def set_boxes(self, low: np.ndarray, high: np.ndarray) -> None:
+        """Boxes of the cells (infinite and reversed where a cell has no base rows), joined upwards."""
+        self.low = np.full((len(self.cut_at), low.shape[1]), np.inf)
+        self.high = np.full_like(self.low, -np.inf)
+        for node in range(len(self.cut_at) - 1, -1, -1):
+            if self.cut_at[node] < 0:
+                self.low[node], self.high[node] = low[self.cell[node]], high[self.cell[node]]
+            else:
+                kids = [self.left[node], self.right[node]]
+                self.low[node], self.high[node] = self.low[kids].min(0), self.high[kids].max(0)
+
+    def within(self, rows: np.ndarray, bound: np.ndarray) -> list[list[tuple[float, int]]]:
+        """For each row: (distance of the box, cell) of the cells not farther than its bound."""
+        found: list[list[tuple[float, int]]] = [[] for _ in rows]
+        todo = [(0, np.arange(len(rows)))]
+        while todo:
+            node, some = todo.pop()
+            gap = np.maximum(np.maximum(self.low[node] - rows[some], rows[some] - self.high[node]), 0)
+            away = np.sqrt((gap * gap).sum(1))
+            near = away <= bound[some] * (1 + SLACK) + SLACK
+            near &= np.isfinite(away)
+            some, away = some[near], away[near]
+            if not len(some):
+                continue
+            if self.cut_at[node] < 0:
+                for i, d in zip(some.tolist(), away.tolist()):
+                    found[i].append((d, int(self.cell[node])))
+            else:
+                todo += [(self.left[node], some), (self.right[node], some)]
+        return found
+
+
+def _in_cells(rows: DataFrame, tree: CellTree) -> DataFrame:
+    @F.pandas_udf("int")
+    def locate(vec: pd.Series) -> pd.Series:
+        return pd.Series(tree.locate(_matrix(vec)) if len(vec) else [], dtype="int32")
+
+    return rows.withColumn("cell", locate("vec"))
+
+
+def _candidates(sent: DataFrame, placed: DataFrame, blocks: DataFrame, k: int, key_type: T.DataType, query_type: T.DataType) -> DataFrame:
+    """k candidates per query row and block of the cells it was sent to: row_key, neighbor_key, distance."""
+    out_schema = T.StructType([T.StructField("row_key", query_type), T.StructField("neighbor_key", key_type), T.StructField("distance", T.DoubleType())])
+
+    def block_join(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({f.name: pd.Series([], dtype="object") for f in out_schema.fields})
+        right = right.sort_values("row_key", kind="stable").reset_index(drop=True)
+        keys = right["row_key"].to_numpy()
+        d = _distances(_matrix(left["q_vec"]), _matrix(right["vec"]))
+        d[left["q_row_key"].to_numpy()[:, None] == keys[None, :]] = np.inf
+        if len(keys) > k:
+            # Keys are in order, so of equal distances at the limit the smaller keys are kept.
+            limit = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+            closer = d < limit
+            tied = (d == limit) & ((d == limit).cumsum(1) <= k - closer.sum(1, keepdims=True))
+            keep = closer | tied
+        else:
+            keep = np.ones_like(d, bool)
+        keep &= np.isfinite(d)
+        q_at, b_at = np.nonzero(keep)
+        return pd.DataFrame({"row_key": left["q_row_key"].to_numpy()[q_at], "neighbor_key": keys[b_at], "distance": d[q_at, b_at]})
+
+    own = F.pmod(F.xxhash64(F.col("row_key")), F.lit(1 << 30))
+    counted = sent.groupBy("cell").agg(F.count("*").alias("n"))
+    layout = blocks.join(counted, "cell").select("cell", "b_blocks", F.ceil(F.col("n") / BLOCK).cast("int").alias("q_blocks"))
+    q_side = (
+        sent.join(layout, "cell")
+        .withColumn("q_block", (own % F.col("q_blocks")).cast("int"))
+        .withColumn("b_block", F.explode(F.sequence(F.lit(0), F.col("b_blocks") - 1)))
+        .select(F.col("cell").alias("q_cell"), "q_block", F.col("b_block").alias("q_b_block"), F.col("row_key").alias("q_row_key"), F.col("vec").alias("q_vec"))
+    )
+    b_side = (
+        placed.join(layout, "cell")
+        .withColumn("b_block", (own % F.col("b_blocks")).cast("int"))
+        .withColumn("for_block", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)))
+        .select("cell", "for_block", "b_block", "row_key", "vec")
+    )
+    q_blocks, b_blocks = q_side.groupBy("q_cell", "q_block", "q_b_block"), b_side.groupBy("cell", "for_block", "b_block")
+    found = q_blocks.cogroup(b_blocks).applyInPandas(block_join, out_schema)
+    merged = Window.partitionBy("row_key").orderBy("distance", "neighbor_key")
+    return found.withColumn("rank", F.row_number().over(merged)).filter(F.col("rank") <= k)
 
-    return rows.withColumn("place", place("vec")).select("*", "place.cell", "place.away").drop("place")
 
+def cells_to_search(rows: DataFrame, tree: CellTree, probes: int | None = None) -> DataFrame:
+    """One row per (row, other cell) that may hold nearer rows; ``rows`` has vec, own cell and bound."""
 
-def nearest(queries: DataFrame, base: DataFrame, k: int, payload: list[str] | None = None, block: int = BLOCK, n_pivots: int | None = None) -> DataFrame:
+    @F.pandas_udf("array<int>")
+    def others(vec: pd.Series, cell: pd.Series, bound: pd.Series) -> pd.Series:
+        if not len(vec):
+            return pd.Series([], dtype="object")
+        near = tree.within(_matrix(vec), bound.fillna(math.inf).to_numpy())
+        kept = [sorted(x for x in cells if x[1] != own) for cells, own in zip(near, cell.tolist())]
+        return pd.Series([[c for _, c in cells[: None if probes is None else probes - 1]] for cells in kept])
+
+    return rows.withColumn("cell", F.explode(others("vec", "cell", "bound"))).select("row_key", "vec", "cell")
+
+
+def cell_tree(base: DataFrame, n_base: int, cell_rows: int = CELL_ROWS) -> tuple[CellTree, DataFrame, DataFrame]:
+    """The tree with its boxes, the base rows with their cell, and (cell, b_blocks)."""
+    n_cells = max(1, min(MAX_CELLS, math.ceil(n_base / cell_rows)))
+    # At most SAMPLE_PER_CELL * MAX_CELLS vectors.
+    sample = random_sample(base, "row_key", n=min(n_base, SAMPLE_PER_CELL * n_cells), seed="cells").select("vec").collect()
+    tree = CellTree.build(np.array([r["vec"] for r in sample], dtype="float64"), n_cells)
+    placed = cut_lineage(_in_cells(base, tree))
+    dims = range(tree_dims := len(sample[0]["vec"]))
+    bounds = [f(F.get("vec", F.lit(d))).alias(f"{n}{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]
+    boxes = placed.groupBy("cell").agg(F.count("*").alias("n"), *bounds).collect()  # one row per cell
+    low, high = np.full((tree.n_cells, tree_dims), np.inf), np.full((tree.n_cells, tree_dims), -np.inf)
+    for r in boxes:
+        low[r["cell"]], high[r["cell"]] = [r[f"lo{d}"] for d in dims], [r[f"hi{d}"] for d in dims]
+    tree.set_boxes(low, high)
+    sizes = [(r["cell"], max(1, math.ceil(r["n"] / BLOCK))) for r in boxes]
+    return tree, placed, base.sparkSession.createDataFrame(sizes, "cell int, b_blocks int")
+
+
+def nearest(
+    queries: DataFrame, base: DataFrame, k: int, payload: list[str] | None = None, cell_rows: int = CELL_ROWS, probes: int | None = None
+) -> DataFrame:
     """The ``k`` nearest base rows of every query row, nearest first, ties by base key.
 
-    Both frames have ``row_key`` and ``vec`` (array of numbers); a base row with the
+    Both frames have ``row_key`` (unique) and ``vec`` (array of numbers); a base row with the
     query's own key is skipped. Result: ``row_key, rank, neighbor_key, distance,
-    neighbor_vec`` and the payload columns of the neighbour as ``neighbor_<name>``.
+    neighbor_vec`` and the payload columns of the neighbour as ``neighbor_<name>``. Exact, unless
+    ``probes`` limits the cells searched per row (its own and the nearest others).
     """
     payload = payload or []
-    key_type = base.schema["row_key"].dataType
-    spark = base.sparkSession
+    key_type, query_type = base.schema["row_key"].dataType, queries.schema["row_key"].dataType
     vec = F.transform("vec", lambda x: x.cast("double"))
-    base = base.select("row_key", vec.alias("vec"), *payload)
+    whole = base.select("row_key", vec.alias("vec"), *payload)
     queries = queries.select("row_key", vec.alias("vec"))
 
     # Copies beyond the k + 1 smallest keys can never be among k neighbours. The rank
     # filter is applied before the shuffle as well, so copies do not pile up in a task.
     copies = Window.partitionBy("vec").orderBy("row_key")
-    base = base.withColumn("copy_no", F.row_number().over(copies)).filter(F.col("copy_no") <= k + 1).drop("copy_no")
-    base = cut_lineage(base)
+    base = cut_lineage(whole.select("row_key", "vec").withColumn("copy_no", F.row_number().over(copies)).filter(F.col("copy_no") <= k + 1).drop("copy_no"))
     n_base = base.count()
     if n_base == 0:
         raise ValueError("no rows to be neighbours")
-
-    wanted = n_pivots or max(1, min(MAX_PIVOTS, math.isqrt(n_base) // 2))
-    pivot_rows = random_sample(base, "row_key", n=wanted, seed="pivots").select("vec").collect()
-    pivots = np.array([r["vec"] for r in pivot_rows], dtype="float64")
-    between = _distances(pivots, pivots)
-
-    placed_base = _assign(base, pivots)
-    placed_queries = _assign(queries, pivots)
-    cells = placed_queries.groupBy("cell").agg(F.max("away").alias("radius"), F.count("*").alias("n")).collect()
-    radius = {r["cell"]: r["radius"] for r in cells}
-    n_queries = {r["cell"]: r["n"] for r in cells}
-
-    # The k + 1 base rows nearest to each pivot bound the k-th neighbour of every cell.
-    closest = Window.partitionBy("cell").orderBy("away", "row_key")
-    near = placed_base.withColumn("nth", F.row_number().over(closest)).filter(F.col("nth") <= k + 1).select("cell", "away").collect()
-    near_cell = np.array([r["cell"] for r in near])
-    near_away = np.array([r["away"] for r in near])
-    reach = np.full(len(pivots), -1.0)
-    for cell, r in radius.items():
-        upper = r + between[cell, near_cell] + near_away
-        kth = np.partition(upper, k)[k] if len(upper) > k else math.inf
-        reach[cell] = (r + kth) * (1 + SLACK) + SLACK
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def cells_for(vectors: pd.Series) -> pd.Series:
-        if not len(vectors):
-            return pd.Series([], dtype="object")
-        inside = _distances(_matrix(vectors), pivots) <= reach[None, :]
-        return pd.Series([np.flatnonzero(row).astype("int32").tolist() for row in inside])
-
-    sent = base.withColumn("cell", F.explode(cells_for("vec")))
-    n_sent = {r["cell"]: r["n"] for r in sent.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-
-    # Blocks: a cell's queries and candidates are cut by a hash of their key.
-    sizes = [(c, max(1, math.ceil(n_queries[c] / block)), max(1, math.ceil(n_sent.get(c, 0) / block))) for c in n_queries]
-    # One row per pivot, of which there are at most MAX_PIVOTS.
-    layout = F.broadcast(spark.createDataFrame(sizes, "cell int, q_blocks int, b_blocks int"))
-    own = F.pmod(F.xxhash64(F.col("row_key")), F.lit(1 << 30))
-    q_side = (
-        placed_queries.select("row_key", "vec", "cell")
-        .join(layout, "cell")
-        .withColumn("q_block", (own % F.col("q_blocks")).cast("int"))
-        .withColumn("b_block", F.explode(F.sequence(F.lit(0), F.col("b_blocks") - 1)))
-        .select(*[F.col(c).alias(f"q_{c}") for c in ("cell", "row_key", "vec")], "q_block", F.col("b_block").alias("q_b_block"))
-    )
-    b_side = (
-        sent.join(layout, "cell")
-        .withColumn("b_block", (own % F.col("b_blocks")).cast("int"))
-        .withColumn("for_block", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)))
-        .select("cell", "for_block", "b_block", "row_key", "vec", *payload)
-    )
-
-    out_schema = T.StructType(
-        [
-            T.StructField("row_key", queries.schema["row_key"].dataType),
-            T.StructField("neighbor_key", key_type),
-            T.StructField("distance", T.DoubleType()),
-            T.StructField("neighbor_vec", T.ArrayType(T.DoubleType())),
-            *[T.StructField(f"neighbor_{p}", base.schema[p].dataType) for p in payload],
-        ]
-    )
-
-    def block_join(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = [f.name for f in out_schema.fields]
-        if left.empty or right.empty:
-            return pd.DataFrame({n: pd.Series([], dtype="object") for n in names})
-        right = right.sort_values("row_key", kind="stable").reset_index(drop=True)
-        d = _distances(_matrix(left["q_vec"]), _matrix(right["vec"]))
-        d[left["q_row_key"].to_numpy()[:, None] == right["row_key"].to_numpy()[None, :]] = np.inf
-        take = min(k, len(right))
-        # Stable sort: of equal distances the smaller key comes first.
-        order = np.argsort(d, axis=1, kind="stable")[:, :take]
-        picked = np.take_along_axis(d, order, axis=1).ravel()
-        right_at = order.ravel()
-        frame = pd.DataFrame(
-            {
-                "row_key": np.repeat(left["q_row_key"].to_numpy(), take),
-                "neighbor_key": right["row_key"].to_numpy()[right_at],
-                "distance": picked,
-                "neighbor_vec": right["vec"].to_numpy()[right_at],
-                **{f"neighbor_{p}": right[p].to_numpy()[right_at] for p in payload},
-            }
-        )
-        return frame[np.isfinite(frame["distance"])]
-
-    q_blocks, b_blocks = q_side.groupBy("q_cell", "q_block", "q_b_block"), b_side.groupBy("cell", "for_block", "b_block")
-    candidates = q_blocks.cogroup(b_blocks).applyInPandas(block_join, out_schema)
-    merged = Window.partitionBy("row_key").orderBy("distance", "neighbor_key")
-    return candidates.withColumn("rank", F.row_number().over(merged)).filter(F.col("rank") <= k)
+    tree, placed, blocks = cell_tree(base, n_base, cell_rows)
+
+    at_home = cut_lineage(_in_cells(queries, tree))
+    first = cut_lineage(_candidates(at_home, placed, blocks, k, key_type, query_type))
+    found = first
+    if tree.n_cells > 1 and (probes is None or probes > 1):
+        # A row that met fewer than k others has no bound yet.
+        bounds = first.groupBy("row_key").agg(F.max(F.when(F.col("rank") == k, F.col("distance"))).alias("bound"))
+        sent = cut_lineage(cells_to_search(at_home.join(bounds, "row_key", "left"), tree, probes))
+        more = _candidates(sent, placed, blocks, k, key_type, query_type)
+        merged = Window.partitionBy("row_key").orderBy("distance", "neighbor_key")
+        both = first.drop("rank").unionByName(more.drop("rank"))
+        found = both.withColumn("rank", F.row_number().over(merged)).filter(F.col("rank") <= k)
+    names = {"row_key": "neighbor_key", "vec": "neighbor_vec", **{p: f"neighbor_{p}" for p in payload}}
+    side = whole.select(*[F.col(c).alias(n) for c, n in names.items()])
+    return found.join(side, "neighbor_key").select("row_key", "rank", "neighbor_key", "distance", "neighbor_vec", *[f"neighbor_{p}" for p in payload])
 
 
 def tomek_links(rows: DataFrame, label: str, **options) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,13 +218,14 @@ def brute(points, k):
     return out
 
 
-@pytest.mark.parametrize("block,n_pivots", [(16, 7), (2048, 1), (5, 40)])
-def test_neighbours_equal_brute_force(spark, block, n_pivots):
+@pytest.mark.parametrize("block,cell_rows", [(16, 30), (2048, 1000), (5, 6)])
+def test_neighbours_equal_brute_force(spark, monkeypatch, block, cell_rows):
+    monkeypatch.setattr(neighbors, "BLOCK", block)
     # A third of the points are copies of one point, the others lie on a coarse grid with ties.
     points = [(i, [0.0, 0.0] if i % 3 == 0 else [float(i * 13 % 17), float(i * 7 % 11)], i % 2) for i in range(240)]
     df = spark.createDataFrame(points, "row_key long, vec array<double>, label int")
     got: dict[int, list] = {}
-    for r in neighbors.nearest(df, df, 4, ["label"], block=block, n_pivots=n_pivots).orderBy("row_key", "rank").collect():
+    for r in neighbors.nearest(df, df, 4, ["label"], cell_rows=cell_rows).orderBy("row_key", "rank").collect():
         assert r["neighbor_label"] == r["neighbor_key"] % 2
         got.setdefault(r["row_key"], []).append((r["distance"], r["neighbor_key"]))
     expected = brute(points, 4)
@@ -233,6 +235,32 @@ def test_neighbours_equal_brute_force(spark, block, n_pivots):
         assert [d for d, _ in got[key]] == pytest.approx([d for d, _ in expected[key]])
 
 
+def cloud(spark, n, dims, seed=1):
+    rng = np.random.default_rng(seed)
+    points = rng.random((n, dims))
+    points[0] = 100.0  # one far outlier
+    return spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "row_key long, vec array<double>")
+
+
+@pytest.mark.parametrize("dims,most", [(2, 0.06), (4, 0.3)])
+def test_rows_are_sent_to_few_cells(spark, dims, most):
+    df = cloud(spark, 4_000, dims)
+    tree, placed, blocks = neighbors.cell_tree(df, 4_000, 40)
+    home = neighbors._in_cells(df, tree)
+    kind = df.schema["row_key"].dataType
+    first = neighbors._candidates(home, placed, blocks, 3, kind, kind)
+    bounds = first.groupBy("row_key").agg(F.max(F.when(F.col("rank") == 3, F.col("distance"))).alias("bound"))
+    sent = neighbors.cells_to_search(home.join(bounds, "row_key", "left"), tree).where("row_key <> 0")
+    assert tree.n_cells >= 90 and sent.count() <= most * tree.n_cells * 4_000
+
+
+def test_probes_trade_recall_for_cells(spark):
+    df = cloud(spark, 1_500, 16)
+    exact, one, some = ({(r["row_key"], r["neighbor_key"]) for r in neighbors.nearest(df, df, 5, cell_rows=50, probes=p).collect()} for p in (None, 1, 12))
+    recall = [len(exact & x) / len(exact) for x in (one, some)]
+    assert 0.1 < recall[0] < recall[1] and recall[1] > 0.75
+
+
 def test_smote_reaches_the_ratio_and_stays_on_segments(spark):
     points = [(i, [float(i), float(i)], 1 if i < 6 else 0) for i in range(106)]
     df = spark.createDataFrame(points, "row_key long, vec array<double>, label int")
