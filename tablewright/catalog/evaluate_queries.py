@@ -320,20 +320,25 @@ def u_sql(key: str, seed: str) -> str:
     return f"('0x' || substr(md5({key} || ':{seed}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
 
 
+SMOTE_CTES = dict(
+    pairs=f"SELECT a.vec_id AS row_key, b.vec_id AS neighbor_key, b.embedding::DOUBLE[] AS nv, {DISTANCE} AS distance "
+    "FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.label = 3 AND b.label = 3",
+    nn="SELECT row_key, list(nv ORDER BY rank) AS others FROM (SELECT *, row_number() OVER (PARTITION BY row_key ORDER BY distance, neighbor_key) AS rank FROM pairs "
+    "QUALIFY rank <= 5) GROUP BY row_key",
+    sizes="SELECT count(*) FILTER (label = 3) AS n_minor, CAST(floor(count(*) FILTER (label <> 3) * 0.5) AS BIGINT) - count(*) FILTER (label = 3) AS n_new FROM embeddings",
+    counted="SELECT vec_id, embedding::DOUBLE[] AS v, n_new // n_minor + CASE WHEN row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR) || ':0:extra'), vec_id) <= n_new % n_minor "
+    "THEN 1 ELSE 0 END AS n_copies FROM embeddings, sizes WHERE label = 3",
+    copies="SELECT v, others, CAST(vec_id AS VARCHAR) || '#' || CAST(c AS VARCHAR) AS new_key FROM (SELECT *, unnest(range(1, n_copies + 1)) AS c FROM counted) JOIN nn ON row_key = vec_id",
+    drawn=f"SELECT new_key, v, {u_sql('new_key', '0:gap')} AS gap, others[1 + CAST(floor({u_sql('new_key', '0:pick')} * len(others)) AS INT)] AS o FROM copies",
+)
+
+
 @query(
     "smote",
     with_sql(
         "SELECT CAST(vec_id AS VARCHAR) AS row_key, label, round(embedding[1]::DOUBLE, 6) AS x0, round(embedding[2]::DOUBLE, 6) AS x1 FROM embeddings UNION ALL "
-        "SELECT new_key, CAST(3 AS INT), round(v[1] + gap * (o[1] - v[1]), 6), round(v[2] + gap * (o[2] - v[2]), 6) FROM "
-        f"(SELECT new_key, v, {u_sql('new_key', '0:gap')} AS gap, others[1 + CAST(floor({u_sql('new_key', '0:pick')} * len(others)) AS INT)] AS o FROM copies)",
-        pairs=f"SELECT a.vec_id AS row_key, b.vec_id AS neighbor_key, b.embedding::DOUBLE[] AS nv, {DISTANCE} AS distance "
-        "FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.label = 3 AND b.label = 3",
-        nn="SELECT row_key, list(nv ORDER BY rank) AS others FROM (SELECT *, row_number() OVER (PARTITION BY row_key ORDER BY distance, neighbor_key) AS rank FROM pairs "
-        "QUALIFY rank <= 5) GROUP BY row_key",
-        sizes="SELECT count(*) FILTER (label = 3) AS n_minor, CAST(floor(count(*) FILTER (label <> 3) * 0.5) AS BIGINT) - count(*) FILTER (label = 3) AS n_new FROM embeddings",
-        counted="SELECT vec_id, embedding::DOUBLE[] AS v, n_new // n_minor + CASE WHEN row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR) || ':0:extra'), vec_id) <= n_new % n_minor "
-        "THEN 1 ELSE 0 END AS n_copies FROM embeddings, sizes WHERE label = 3",
-        copies="SELECT v, others, CAST(vec_id AS VARCHAR) || '#' || CAST(c AS VARCHAR) AS new_key FROM (SELECT *, unnest(range(1, n_copies + 1)) AS c FROM counted) JOIN nn ON row_key = vec_id",
+        "SELECT new_key, CAST(3 AS INT), round(v[1] + gap * (o[1] - v[1]), 6), round(v[2] + gap * (o[2] - v[2]), 6) FROM drawn",
+        **SMOTE_CTES,
     ),
 )
 def smote(spark, sf):
@@ -341,7 +346,20 @@ def smote(spark, sf):
     return out.select("row_key", "label", F.round(F.col("vec")[0], 6).alias("x0"), F.round(F.col("vec")[1], 6).alias("x1"))
 
 
-@query("smote_tomek")
+@query(
+    "smote_tomek",
+    with_sql(
+        "SELECT label, count(*) AS n FROM grown WHERE row_key NOT IN (SELECT x.row_key FROM one x JOIN one y ON x.row_key = y.other AND x.other = y.row_key WHERE x.label <> x.other_label) GROUP BY label",
+        **{
+            **SMOTE_CTES,
+            "grown": "SELECT CAST(vec_id AS VARCHAR) AS row_key, label, embedding::DOUBLE[] AS v FROM embeddings UNION ALL "
+            "SELECT new_key, CAST(3 AS INT), list_transform(list_zip(v, o), lambda p: p[1] + gap * (p[2] - p[1])) FROM drawn",
+            "grown_pairs": "SELECT a.row_key, b.row_key AS other, a.label, b.label AS other_label, "
+            "list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM grown a JOIN grown b ON a.row_key <> b.row_key",
+            "one": "SELECT * FROM grown_pairs QUALIFY row_number() OVER (PARTITION BY row_key ORDER BY sqrt(d), other) = 1",
+        },
+    ),
+)
 def smote_tomek(spark, sf):
     out = neighbors.smote_tomek(vectors(spark, sf), "label", 3, ratio=0.5)
     return out.groupBy("label").agg(F.count("*").alias("n"))

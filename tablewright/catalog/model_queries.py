@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.catalog.claims import claims, on_split, split_claims
-
+from tablewright.catalog.claims import claims, on_claims, on_split, split_claims
 from tablewright.catalog.prepare_queries import FENCES, modes_sql, target_encoding_sql
-from tablewright.catalog.registry import query, table
+from tablewright.catalog.registry import query
 from tablewright.operators import cascade, features, impute, metrics, models, outliers, rules, sample
 from tablewright.operators.clean import class_list, null_sentinels
 from tablewright.operators.encode import FrequencyEncoder, TargetEncoder
@@ -68,30 +67,43 @@ def prepared_class_summary(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-@query("prepared_claims")
+# What random fills, trees and cascades give has no SQL twin. These queries return what must hold of
+# the results, next to the counts that SQL can state.
+
+
+@query(
+    "prepared_claims",
+    on_split("SELECT count(*) AS n_val, 0::BIGINT AS n_repeated, 0::BIGINT AS n_foreign, 0::BIGINT AS n_moved, 0::BIGINT AS n_missing FROM split_claims WHERE split = 'val'"),
+)
 def prepared_claims(spark, sf):
-    """All five pipelines; rows, nulls and a few means per split."""
-    _, rows = Preparation.fit(claims(spark, sf), "claim_type", "claim_id", COVID_START)
-    return rows.groupBy("split").agg(
-        F.count("*").alias("n_rows"),
-        F.count_if(F.col("age").isNull()).alias("age_missing"),
-        F.avg("wage_imputed_log").alias("mean_wage_log"),
-        F.avg("days_to_c2_log").alias("mean_days_log"),
+    """All five pipelines: validation rows are never dropped, keys stay unique and in their split, and few cells stay empty."""
+    raw = split_claims(spark, sf).select("claim_id", F.col("split").alias("first_split"))
+    fitted, rows = Preparation.fit(claims(spark, sf), "claim_type", "claim_id", COVID_START)
+    joined = rows.join(raw, "claim_id", "left")
+    # Dates of claims without any date stay null; every other feature is filled.
+    always = [c for c in numeric_features(fitted.classes) if not c.startswith(("days_to", "accident_date", "age"))]
+    empty = F.exists(F.array(*[F.col(c).cast("double") for c in always]), lambda x: x.isNull())
+    return joined.agg(
+        F.count_if(F.col("split") == "val").alias("n_val"),
+        (F.count("*") - F.count_distinct("claim_id")).alias("n_repeated"),
+        F.count_if(F.col("first_split").isNull()).alias("n_foreign"),
+        F.count_if(F.col("first_split") != F.col("split")).alias("n_moved"),
+        F.count_if(empty).alias("n_missing"),
     )
 
 
-@query("saved_pipelines", "SELECT CAST(0 AS BIGINT) AS n_different")
+@query("saved_pipelines", "SELECT CAST(0 AS BIGINT) AS n_lost, CAST(0 AS BIGINT) AS n_new, true AS same_classes")
 def saved_pipelines(spark, sf):
-    """Save, load, and count the rows on which the loaded pipelines differ (none)."""
+    """Save, load, and count the rows on which the loaded pipelines differ, either way (none)."""
     path = scratch_path(spark, "pipelines")
     raw = claims(spark, sf)
     fitted, _ = Preparation.fit(raw, "claim_type", "claim_id", COVID_START)
     fitted.save(path)
-    loaded = Preparation.load(path, fitted.classes)
-    first = fitted.transform(raw).select("claim_id", *numeric_features(fitted.classes))
-    second = loaded.transform(raw).select("claim_id", *numeric_features(fitted.classes))
-    different = first.exceptAll(second).agg(F.count("*").alias("n_different"))
-    return different
+    loaded = Preparation.load(path)
+    first = cut_lineage(fitted.transform(raw).select("claim_id", *numeric_features(fitted.classes)))
+    second = cut_lineage(loaded.transform(raw).select("claim_id", *numeric_features(loaded.classes)))
+    lost, new = (a.exceptAll(b).count() for a, b in ((first, second), (second, first)))
+    return spark.createDataFrame([(lost, new, loaded.classes == fitted.classes)], "n_lost long, n_new long, same_classes boolean")
 
 
 # Models. A plain numeric view of the claims keeps these queries about the models.
@@ -118,83 +130,195 @@ def train_val(spark, sf):
     return rows.filter("split = 'train'"), rows.filter("split = 'val'")
 
 
-FAST = {"numTrees": 20, "maxDepth": 6}
+MODELS = ["logistic", "forest", "tree", "naive_bayes", "mlp", "ridge", "boosted"]
+N_VAL = "(SELECT count(*) FROM split_claims WHERE split = 'val')"
 
 
-@query("model_sweep")
+def values_sql(names: list[str], column: str) -> str:
+    return "(VALUES " + ", ".join(f"('{n}')" for n in names) + f") t({column})"
+
+
+@query("model_sweep", on_split(f"SELECT model, {N_VAL} AS n_rows, true AS in_range FROM {values_sql(MODELS, 'model')}"))
 def model_sweep(spark, sf):
     train, val = train_val(spark, sf)
-    sweep = {
-        "logistic": {"maxIter": 30}, "forest": FAST, "tree": {"maxDepth": 6}, "naive_bayes": {}, "mlp": {"maxIter": 30},
-        "ridge": {}, "boosted": {"maxIter": 5, "maxDepth": 3},
-    }
-    return models.model_sweep(train, val, sweep, FEATURES, "claim_type", "claim_id")
+    swept = models.model_sweep(train, val, {name: {} for name in MODELS}, FEATURES, "claim_type", "claim_id")
+    return swept.select("model", "n_rows", (F.col("accuracy").between(0, 1) & F.col("macro_f1").between(0, 1)).alias("in_range"))
+
+
+MODEL_ROWS_SQL = (
+    "SELECT claim_id, claim_type, split, [coalesce(age, 45)::DOUBLE, ln(coalesce(wage, 0.0) + 2), dependents::DOUBLE, coalesce(ime4_count, 0)::DOUBLE, "
+    "(covid_flag = 'Y')::INT::DOUBLE, (attorney_flag = 'Y')::INT::DOUBLE, coalesce(datediff('day', accident_date, assembly_date), 0)::DOUBLE, (c2_date IS NULL)::INT::DOUBLE] AS x FROM split_claims"
+)
 
 
-@query("knn_classifier")
+@query(
+    "knn_classifier",
+    on_split(
+        "SELECT claim_type AS class, count(*) AS support, count(*) FILTER (prediction = claim_type) AS hits FROM picked GROUP BY claim_type",
+        m=MODEL_ROWS_SQL,
+        pairs="SELECT v.claim_id, v.claim_type, t.claim_id AS other, t.claim_type AS cls, "
+        + " + ".join(f"(v.x[{i}] - t.x[{i}]) * (v.x[{i}] - t.x[{i}])" for i in range(1, 9))
+        + " AS d FROM m v JOIN m t ON v.split = 'val' AND t.split = 'train'",
+        near="SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY sqrt(d), other) AS r FROM pairs QUALIFY r <= 5",
+        picked="SELECT claim_id, claim_type, cls AS prediction FROM (SELECT claim_id, claim_type, cls, count(*) AS n FROM near GROUP BY ALL) "
+        "QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY n DESC, cls) = 1",
+    ),
+)
 def knn_classifier(spark, sf):
     train, val = train_val(spark, sf)
     predicted = models.fit_predict(train, val, "knn", FEATURES, "claim_type", "claim_id", k=5)
-    return metrics.class_scores(predicted, "claim_type", "prediction")
+    return metrics.class_scores(predicted, "claim_type", "prediction").filter("support > 0").select("class", "support", "hits")
+
+
+REPORT_SQL = on_split("SELECT claim_type AS class, count(*) AS support, true AS holds FROM split_claims WHERE split = 'val' GROUP BY claim_type")
+
 
+def report_holds(predicted: DataFrame) -> DataFrame:
+    """Classes with their support, and whether precision, recall and F1 are shares that fit together."""
+    report = metrics.classification_report(predicted, "claim_type", "prediction").filter("class not in ('accuracy', 'macro avg', 'weighted avg') and support > 0")
+    p, r = F.col("precision"), F.col("recall")
+    f1 = F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
+    return report.select("class", F.col("support").cast("long").alias("support"), (p.between(0, 1) & r.between(0, 1) & (F.abs(F.col("f1") - f1) < 1e-9)).alias("holds"))
 
-@query("weighted_multiclass")
+
+@query("weighted_multiclass", REPORT_SQL)
 def weighted_multiclass(spark, sf):
     """Undersample, weight, fit, report on the validation rows."""
     train, val = train_val(spark, sf)
     smaller = sample.undersample(train, "claim_type", "claim_id", {"2. NON-COMP": 2000, "3. MED ONLY": 1500})
     weighted = sample.class_weights(smaller, "claim_type", {"2. NON-COMP": 10.0, "4. TEMPORARY": 5.0})
-    predicted = models.fit_predict(weighted, val, "forest", FEATURES, "claim_type", "claim_id", weight="weight", **FAST)
-    return metrics.classification_report(predicted, "claim_type", "prediction")
+    return report_holds(models.fit_predict(weighted, val, "forest", FEATURES, "claim_type", "claim_id", weight="weight"))
 
 
-@query("probability_table")
-def probability_table(spark, sf):
+PROBABILITIES_SQL = on_split(
+    "SELECT claim_id, (SELECT count(DISTINCT claim_type) FROM train) AS n_classes, 1.0::DOUBLE AS total, true AS in_range FROM split_claims WHERE split = 'val'"
+)
+
+
+def probabilities_hold(spark, sf, model: str, **args) -> DataFrame:
     train, val = train_val(spark, sf)
     classes = class_list(train, "claim_type")
-    model = models.fit_classifier(train, "forest", FEATURES, "claim_type", classes, **FAST)
-    return models.probability_table(model, val, FEATURES, "claim_id", classes)
+    fitted = models.fit_classifier(train, model, FEATURES, "claim_type", classes, **args)
+    rows = models.probability_table(fitted, val, FEATURES, "claim_id", classes)
+    return rows.groupBy("claim_id").agg(
+        F.count_distinct("class").alias("n_classes"), F.round(F.sum("probability"), 6).alias("total"), F.every(F.col("probability").between(0, 1)).alias("in_range")
+    )
+
+
+@query("probability_table", PROBABILITIES_SQL)
+def probability_table(spark, sf):
+    return probabilities_hold(spark, sf, "forest")
+
+
+@query("probability_table_boosted", PROBABILITIES_SQL)
+def probability_table_boosted(spark, sf):
+    return probabilities_hold(spark, sf, "boosted")
 
 
-@query("forest_selection")
+SELECTION_SQL = "SELECT true AS some_selected, true AS known_features, true AS in_order, true AS reaches_share, true AS no_more_than_needed"
+
+
+def selection_holds(selected: DataFrame, share: float = 0.9) -> DataFrame:
+    """Of the cut by importance: descending, stopped at the first feature that reaches the share."""
+    rows = selected.agg(
+        (F.count("*") > 0).alias("some_selected"),
+        F.every(F.col("feature").isin(FEATURES)).alias("known_features"),
+        F.array_sort(F.collect_list(F.struct("position", F.col("importance").alias("importance")))).alias("listed"),
+        F.max("cumulative").alias("reached"),
+        F.max(F.struct("position", (F.col("cumulative") - F.col("importance")).alias("before"))).alias("last"),
+    )
+    falling = F.aggregate(F.zip_with("listed", F.slice("listed", 2, F.greatest(F.size("listed") - 1, F.lit(1))), lambda a, b: F.coalesce(a["importance"] >= b["importance"], F.lit(True))), F.lit(True), lambda a, x: a & x)
+    return rows.select(
+        "some_selected", "known_features", falling.alias("in_order"), (F.col("reached") >= share - 1e-9).alias("reaches_share"), (F.col("last.before") < share).alias("no_more_than_needed")
+    )
+
+
+@query("forest_selection", SELECTION_SQL)
 def forest_selection(spark, sf):
-    return models.importance_selection(train_val(spark, sf)[0], FEATURES, "claim_type", "forest", **FAST)
+    return selection_holds(models.importance_selection(train_val(spark, sf)[0], FEATURES, "claim_type", "forest"))
 
 
-@query("boosted_selection")
+@query("boosted_selection", SELECTION_SQL)
 def boosted_selection(spark, sf):
-    return models.importance_selection(train_val(spark, sf)[0], FEATURES, "claim_type", "boosted", maxIter=5, maxDepth=3)
+    return selection_holds(models.importance_selection(train_val(spark, sf)[0], FEATURES, "claim_type", "boosted"))
 
 
-@query("top_features")
+@query("top_features", "SELECT CAST(position AS INT) AS position, true AS known, true AS distinct_features FROM range(1, 6) t(position)")
 def top_features(spark, sf):
     train, _ = train_val(spark, sf)
-    found = models.top_features(train, FEATURES, "claim_type", n=5, sample_fraction=0.5, **FAST)
-    return spark.createDataFrame(list(enumerate(found, start=1)), "position int, feature string")
+    found = models.top_features(train, FEATURES, "claim_type", n=5, sample_fraction=0.5)
+    rows = [(i, f in FEATURES, len(set(found)) == len(found)) for i, f in enumerate(found, start=1)]
+    return spark.createDataFrame(rows, "position int, known boolean, distinct_features boolean")
 
 
 ALPHAS = [0.0001, 0.001, 0.01]
 
 
-@query("lasso_selection")
+def _moments(train: DataFrame):
+    """Means and covariances of the features and the class number over the training rows."""
+    rows = models.with_target(train, "claim_type", class_list(train, "claim_type"))
+    names = [*FEATURES, models.TARGET]
+    row = rows.agg(*[F.covar_samp(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names)]).first()
+    return np.array([[row[f"{i}_{j}"] for j in range(len(names))] for i in range(len(names))])
+
+
+def optimal(train: DataFrame, alphas: list[float], l1: bool) -> list[tuple[str, bool]]:
+    """Whether each coefficient of the chosen model meets the condition of the optimum.
+
+    With deviations s of feature and target, the covariance c of feature and residual satisfies
+    c = a * s_x^2 * b / s_y under an L2 penalty a, and under an L1 penalty c = a * s_x * sign(b), or
+    at most a * s_x in size where b is 0.
+    """
+    search = models.linear_search(train, FEATURES, "claim_type", "claim_id", alphas, l1=l1)
+    b = np.array(search.bestModel.coefficients.toArray())
+    cov = _moments(train)
+    s = np.sqrt(np.diag(cov))
+    left = cov[:-1, -1] - cov[:-1, :-1] @ b
+    a = search.bestModel.getOrDefault("regParam")
+    size = s[:-1] * s[-1]
+    if l1:
+        met = np.where(b != 0, np.abs(left - a * s[:-1] * np.sign(b)), np.maximum(np.abs(left) - a * s[:-1], 0)) <= 2e-3 * size
+    else:
+        met = np.abs(left - a * s[:-1] ** 2 * b / s[-1]) <= 2e-3 * size
+    return list(zip(FEATURES, met.tolist()))
+
+
+OPTIMAL_SQL = f"SELECT feature, true AS optimal, true AS listed_if_large FROM {values_sql(FEATURES, 'feature')}"
+
+
+def _selection_optimal(spark, train, selected: DataFrame, l1: bool, above: float) -> DataFrame:
+    listed = {r["feature"]: r["coefficient"] for r in selected.collect()}
+    rows = [(f, met, abs(listed.get(f, above + 1)) > above) for f, met in optimal(train, ALPHAS, l1)]
+    return spark.createDataFrame(rows, "feature string, optimal boolean, listed_if_large boolean")
+
+
+@query("lasso_selection", OPTIMAL_SQL)
 def lasso_selection(spark, sf):
-    return models.lasso_selection(train_val(spark, sf)[0], FEATURES, "claim_type", "claim_id", ALPHAS)
+    train = train_val(spark, sf)[0]
+    return _selection_optimal(spark, train, models.lasso_selection(train, FEATURES, "claim_type", "claim_id", ALPHAS), True, 0.0)
 
 
-@query("ridge_selection")
+@query("ridge_selection", OPTIMAL_SQL)
 def ridge_selection(spark, sf):
-    return models.ridge_selection(train_val(spark, sf)[0], FEATURES, "claim_type", "claim_id", ALPHAS, above=0.01)
+    train = train_val(spark, sf)[0]
+    return _selection_optimal(spark, train, models.ridge_selection(train, FEATURES, "claim_type", "claim_id", ALPHAS, above=0.01), False, 0.01)
 
 
-@query("grid_search")
+@query("grid_search", "SELECT alpha::DOUBLE AS alpha, true AS bounded FROM (VALUES (0.0001), (0.001), (0.01)) t(alpha)")
 def grid_search(spark, sf):
-    return models.grid_search(train_val(spark, sf)[0], FEATURES, "claim_type", "claim_id", ALPHAS)
+    """Errors over the folds are near or under the variance of the class number, which the mean alone would leave."""
+    train = train_val(spark, sf)[0]
+    variance = float(_moments(train)[-1, -1])
+    return models.grid_search(train, FEATURES, "claim_type", "claim_id", ALPHAS).select("alpha", F.col("mse").between(0, 1.5 * variance).alias("bounded"))
 
 
-@query("recursive_elimination")
+@query("recursive_elimination", "SELECT CAST(n AS INT) AS n_features, true AS known, true AS in_range, true AS dropped_once FROM range(1, 9) t(n)")
 def recursive_elimination(spark, sf):
     train, _ = train_val(spark, sf)
-    return models.recursive_elimination(train, FEATURES[:5], "claim_type", "claim_id", maxIter=10)
+    path = models.recursive_elimination(train, FEATURES, "claim_type", "claim_id").collect()
+    kept = models.features_after_elimination(spark.createDataFrame(path), 3)
+    once = len({r["dropped"] for r in path}) == len(path) and len(set(kept)) == 3
+    return spark.createDataFrame([(r["n_features"], r["dropped"] in FEATURES, 0 <= r["accuracy"] <= 1, once) for r in path], "n_features int, known boolean, in_range boolean, dropped_once boolean")
 
 
 # Cascade
@@ -202,37 +326,56 @@ def recursive_elimination(spark, sf):
 CASCADE_GROUPS = [["2. NON-COMP"], ["8. DEATH"]]
 
 
-def _cascade(features_used: list[str]) -> cascade.CascadeClassifier:
-    return cascade.CascadeClassifier(
-        groups=CASCADE_GROUPS, features=features_used, label="claim_type", key="claim_id", model="forest", model_args=FAST, importance_args=FAST,
-        thresholds=[0.5, 0.5], rest_model="forest", rest_args=FAST,
-    )
+def _cascade(features_used: list[str], **args) -> cascade.CascadeClassifier:
+    chosen = {"model": "forest", "rest_model": "forest", **args}
+    return cascade.CascadeClassifier(groups=CASCADE_GROUPS, features=features_used, label="claim_type", key="claim_id", thresholds=[0.5, 0.5], **chosen)
 
 
-@query("cascade_classifier")
+@query("cascade_classifier", REPORT_SQL)
 def cascade_classifier(spark, sf):
     train, val = train_val(spark, sf)
-    model = _cascade(FEATURES).fit(train)
-    return metrics.classification_report(model.transform(val), "claim_type", "prediction")
+    return report_holds(_cascade(FEATURES).fit(train).transform(val))
+
+
+@query(
+    "cascade_with_neighbours",
+    on_split("SELECT claim_id, true AS decided_by_scores, true AS in_range FROM split_claims WHERE split = 'val'"),
+)
+def cascade_with_neighbours(spark, sf):
+    """Stages by nearest neighbours; the decision is recomputed from the scores."""
+    train, val = train_val(spark, sf)
+    scored = _cascade(FEATURES, model="knn", smote_ratio=0.05).fit(train).transform(val)
+    again = F.when(F.col("stage_1") > 0.5, "2. NON-COMP").when(F.col("stage_2") > 0.5, "8. DEATH").otherwise(F.col("rest_label"))
+    return scored.select(
+        "claim_id", (F.col("prediction") == again).alias("decided_by_scores"), (F.col("stage_1").between(0, 1) & F.col("stage_2").between(0, 1)).alias("in_range")
+    )
 
 
-@query("two_stage_classifier")
+@query("two_stage_classifier", on_split(f"SELECT {N_VAL} AS n_rows, 1.0::DOUBLE AS total_share, true AS known"))
 def two_stage_classifier(spark, sf):
     """One binary stage, a multiclass model for its negatives."""
     train, val = train_val(spark, sf)
-    stage = cascade.CascadeClassifier(
-        groups=[["2. NON-COMP"]], features=FEATURES, label="claim_type", model="forest", model_args=FAST, importance_args=FAST, rest_model="forest", rest_args=FAST
-    )
+    stage = cascade.CascadeClassifier(groups=[["2. NON-COMP"]], features=FEATURES, label="claim_type", model="forest", rest_model="forest")
     predicted = stage.fit(train).with_thresholds([0.7]).transform(val)
-    return metrics.predicted_shares(predicted, "prediction")
+    shares = metrics.predicted_shares(predicted, "prediction")
+    known = F.every(F.col("prediction").isin(class_list(train, "claim_type")))
+    return shares.agg(F.sum("n").alias("n_rows"), F.round(F.sum("share"), 6).alias("total_share"), known.alias("known"))
 
 
-@query("cascade_stage_report")
+@query(
+    "cascade_stage_report",
+    on_split(
+        "SELECT stage, class, support, true AS in_range FROM ("
+        "SELECT 1 AS stage, CASE WHEN claim_type = '2. NON-COMP' THEN '1' ELSE '0' END AS class, count(*) AS support FROM split_claims WHERE split = 'val' GROUP BY ALL UNION ALL "
+        "SELECT 2, CASE WHEN claim_type = '8. DEATH' THEN '1' ELSE '0' END, count(*) FROM split_claims WHERE split = 'val' AND claim_type <> '2. NON-COMP' GROUP BY ALL)"
+    ),
+)
 def cascade_stage_report(spark, sf):
     train, val = train_val(spark, sf)
     model = _cascade(FEATURES).fit(train)
     plan = cascade.stage_plan(CASCADE_GROUPS, class_list(train, "claim_type"))
-    return cascade.stage_report(model.scores(val), "claim_type", plan, [0.5, 0.5])
+    report = cascade.stage_report(model.scores(val), "claim_type", plan, [0.5, 0.5]).filter("class in ('0', '1') and support > 0")
+    return report.select("stage", "class", F.col("support").cast("long").alias("support"), (F.col("precision").between(0, 1) & F.col("recall").between(0, 1)).alias("in_range"))
 
 
 # Streaming
@@ -243,17 +386,26 @@ ARRIVING = dict(
 )
 
 
-@query("streaming_scores")
+@query("streaming_scores", on_claims("SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_lost, CAST(0 AS BIGINT) AS n_new FROM claims"))
 def streaming_scores(spark, sf):
-    """Score the claims as a stream of orders and return what the sink received."""
+    """Score the claims as they arrive; what the sink received is what a batch gives, either way."""
     fitted, rows = Preparation.fit(claims(spark, sf), "claim_type", "claim_id", COVID_START)
     used = numeric_features(fitted.classes)
     model = _cascade(used).fit(rows.filter("split = 'train'"))
-    orders = table(spark, sf, "orders")
-    stream = spark.readStream.schema(orders.schema).parquet(f"{sf}/orders*.parquet")
-    arriving = claims(spark, sf, orders=stream).withColumn("split", F.lit("test"))
-    checked = rules.validate_record(arriving, **ARRIVING)
-    scored = score(checked, *fitted.models, model).select("claim_id", "stage_1", "stage_2", "prediction")
+    # The claims are prepared once; the stream reads them as files.
+    arrived = scratch_path(spark, "arriving")
+    claims(spark, sf).withColumn("split", F.lit("test")).write.parquet(arrived)
+    table_rows = spark.read.parquet(arrived)
+    stream = spark.readStream.schema(table_rows.schema).parquet(arrived)
+
+    def scores_of(records: DataFrame) -> DataFrame:
+        checked = rules.validate_record(records, **ARRIVING)
+        return score(checked, *fitted.models, model).select("claim_id", "stage_1", "stage_2", "prediction")
+
+    scored = scores_of(stream)
     path = scratch_path(spark, "scores")
     write_scores(scored, path, scratch_path(spark, "scores-progress")).awaitTermination()
-    return spark.read.schema(scored.schema).parquet(path)
+    received = spark.read.schema(scored.schema).parquet(path)
+    batch = cut_lineage(scores_of(table_rows))
+    counts = [(received.count(), batch.exceptAll(received).count(), received.exceptAll(batch).count())]
+    return spark.createDataFrame(counts, "n_rows long, n_lost long, n_new long")

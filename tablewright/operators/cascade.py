@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from tablewright.operators import metrics
 from tablewright.operators.clean import class_list
-from tablewright.operators.models import VECTOR, fit_classifier, top_features
+from tablewright.operators.base import FittedModel
+from tablewright.operators.models import VECTOR, KnnClassifier, RidgeClassifier, fit_classifier, top_features
 from tablewright.operators.neighbors import as_vectors, smote_tomek
 
 # Fixed values.
@@ -85,8 +86,10 @@ def broadcast_thresholds(thresholds: list[float], n_stages: int) -> list[float]:
 class CascadeClassifier(Estimator, DefaultParamsReadable, DefaultParamsWritable):
     """Fit one binary model per stage and, with ``rest_model``, a model for what is left.
 
-    A stage whose positives are rarer than ``RARE_BELOW`` is trained on its five most
-    important features after oversampling; any other stage on its ten most important.
+    A stage whose positives are rarer than ``rare_below`` is trained on its ``features_rare`` most
+    important features after oversampling to ``smote_ratio``; any other stage on its
+    ``features_common`` most important. Stages may be any model of ``MODEL_NAMES``; of ``knn`` and
+    ``ridge`` the share or scaled value of the positive class is the score.
     A stage emits the name of its first positive class, or with ``emit='group'`` the
     names joined by ``|``. ``thresholds`` may be changed on the fitted model.
     """
@@ -94,6 +97,7 @@ class CascadeClassifier(Estimator, DefaultParamsReadable, DefaultParamsWritable)
     defaults: dict[str, Any] = {
         "groups": [], "features": [], "label": None, "key": "claim_id", "model": "forest", "model_args": {}, "thresholds": [0.5],
         "rest_model": None, "rest_args": {}, "emit": "first", "importance_args": {}, "seed": 42,
+        "rare_below": RARE_BELOW, "smote_ratio": SMOTE_RATIO, "features_rare": FEATURES_RARE, "features_common": FEATURES_COMMON,
     }
 
     def __init__(self, **args: Any):
@@ -115,14 +119,14 @@ class CascadeClassifier(Estimator, DefaultParamsReadable, DefaultParamsWritable)
             share = rows.agg(F.avg("binary_target")).first()[0]
             if not share or share == 1:
                 raise ValueError(f"stage {positive} needs rows on both sides")
-            rare = share < RARE_BELOW
+            rare = share < a["rare_below"]
             chosen = top_features(
-                rows, a["features"], "binary_target", FEATURES_RARE if rare else FEATURES_COMMON, key=key, **a["importance_args"]
+                rows, a["features"], "binary_target", a["features_rare"] if rare else a["features_common"], key=key, **a["importance_args"]
             )
             if rare:
-                grown = smote_tomek(as_vectors(rows, key, chosen, "binary_target"), "binary_target", 1, SMOTE_RATIO, seed=a["seed"])
-                rows = grown.select("binary_target", *[F.col("vec")[i].alias(f) for i, f in enumerate(chosen)])
-            models.append(fit_classifier(rows, a["model"], chosen, "binary_target", [0, 1], **a["model_args"]))
+                grown = smote_tomek(as_vectors(rows, key, chosen, "binary_target"), "binary_target", 1, a["smote_ratio"], seed=a["seed"])
+                rows = grown.select(F.col("row_key").alias(key), "binary_target", *[F.col("vec")[i].alias(f) for i, f in enumerate(chosen)])
+            models.append(_fit_stage(rows, a["model"], chosen, key, a["model_args"]))
             name = positive[0] if a["emit"] == "first" else "|".join(positive)
             stages.append({"label": name, "positive": positive, "rest": rest, "features": chosen, "resampled": rare})
         rest_model = None
@@ -136,6 +140,16 @@ class CascadeClassifier(Estimator, DefaultParamsReadable, DefaultParamsWritable)
         return CascadeModel(state, models + ([rest_model] if rest_model else []))
 
 
+def _fit_stage(rows: DataFrame, name: str, features: list[str], key: str, args: dict[str, Any]) -> Model:
+    """A binary stage: an MLlib model, or an own one that writes ``own_stage_share``."""
+    own = {"ridge": RidgeClassifier, "knn": KnnClassifier}.get(name)
+    if own is None:
+        return fit_classifier(rows, name, features, "binary_target", [0, 1], **args)
+    named = {"key": key} if name == "knn" else {}
+    # Stages of a fit share their columns' names with the rows they score.
+    return own(features=features, label="binary_target", prediction="own_stage", share_of=1, **named, **args).fit(rows.drop("split"))
+
+
 class CascadeModel(Model, MLReadable, MLWritable):
     """Fitted cascade: ``stage_<i>`` probabilities and ``prediction``."""
 
@@ -166,10 +180,15 @@ class CascadeModel(Model, MLReadable, MLWritable):
             doubles = [F.col(f).cast("double").alias(f"input_{j}") for j, f in enumerate(stage["features"])]
             names = [f"input_{j}" for j in range(len(doubles))]
             wide = VectorAssembler(inputCols=names, outputCol=VECTOR, handleInvalid="keep").transform(out.select("*", *doubles))
-            wide = model.transform(wide)
-            if i <= n_binary:
+            if i <= n_binary and isinstance(model, FittedModel):
+                wide = model.transform(wide)
+                # Rows with a missing feature have no neighbours and count as negative.
+                result = F.coalesce("own_stage_share", F.lit(0.0)).alias(f"stage_{i}")
+            elif i <= n_binary:
+                wide = model.transform(wide)
                 result = vector_to_array("probability")[1].alias(f"stage_{i}")
             else:
+                wide = model.transform(wide)
                 labels = F.array(*[F.lit(c) for c in stage["positive"]])
                 result = F.element_at(labels, F.col("prediction").cast("int") + 1).alias("rest_label")
             out = wide.select(*kept, result)

@@ -62,9 +62,13 @@ def with_target(df: DataFrame, label: str, classes: list) -> DataFrame:
 
 
 class RidgeClassifier(FittedOperator):
-    """One ridge regression per class on +1 / -1 targets; the largest value wins."""
+    """One ridge regression per class on +1 / -1 targets; the largest value wins.
 
-    defaults = {"features": [], "label": None, "alpha": 1.0, "prediction": "prediction"}
+    ``share_of`` adds ``<prediction>_share``: that class's value brought from [-1, 1] to [0, 1], so the
+    class of two with the larger value is over one half.
+    """
+
+    defaults = {"features": [], "label": None, "alpha": 1.0, "prediction": "prediction", "share_of": None}
 
     def learn(self, train, args):
         classes = class_list(train, args["label"])
@@ -85,13 +89,20 @@ class RidgeClassifier(FittedOperator):
             for f, w in zip(args["features"], coefficients):
                 score = score + F.lit(w) * F.col(f).cast("double")
             scores.append(F.struct(score.alias("score"), F.lit(c).alias("class")))
-        return df.withColumn(args["prediction"], F.array_max(F.array(*scores))["class"])
+        out = df.withColumn(args["prediction"], F.array_max(F.array(*scores))["class"])
+        if args["share_of"] is not None:
+            own = scores[scalars["classes"].index(args["share_of"])]["score"]
+            out = out.withColumn(f"{args['prediction']}_share", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (own + 1) / 2)))
+        return out
 
 
 class KnnClassifier(FittedOperator):
-    """Majority class of the nearest training rows; the training rows are the model."""
+    """Majority class of the nearest training rows; the training rows are the model.
+
+    ``share_of`` adds ``<prediction>_share``: the share of the neighbours that have this class.
+    """
 
-    defaults = {"features": [], "label": None, "key": "claim_id", "k": 5, "prediction": "prediction"}
+    defaults = {"features": [], "label": None, "key": "claim_id", "k": 5, "prediction": "prediction", "share_of": None}
 
     def learn(self, train, args):
         rows = train.filter(F.col(args["label"]).isNotNull()).select(args["key"], args["label"], *args["features"])
@@ -100,15 +111,18 @@ class KnnClassifier(FittedOperator):
     @staticmethod
     def apply(df, args, scalars, tables):
         base = as_vectors(tables["train"].df, args["key"], args["features"], args["label"])
-        votes = knn_vote(as_vectors(df, args["key"], args["features"]), base, args["label"], args["k"])
-        named = votes.select(F.col("row_key").alias(args["key"]), F.col("prediction").alias(args["prediction"]))
+        votes = knn_vote(as_vectors(df, args["key"], args["features"]), base, args["label"], args["k"], share_of=args["share_of"])
+        shares = [] if args["share_of"] is None else [F.col("share").alias(f"{args['prediction']}_share")]
+        named = votes.select(F.col("row_key").alias(args["key"]), F.col("prediction").alias(args["prediction"]), *shares)
         return df.join(named, args["key"], "left")
 
 
 def classifier(name: str, n_classes: int = 2, n_features: int = 0, weight: str | None = None, seed: int = 42, **args: Any) -> Estimator:
     """An MLlib estimator on ``features`` / ``target``; ``ridge`` and ``knn`` are own classes."""
     common: dict[str, Any] = {"featuresCol": VECTOR, "labelCol": TARGET}
-    if weight and name != "mlp":
+    if weight and name == "mlp":
+        raise ValueError("a multilayer perceptron takes no weights")
+    if weight:
         common["weightCol"] = weight
     if name == "logistic":
         return LogisticRegression(**common, **{"maxIter": 100, **args})
@@ -119,7 +133,7 @@ def classifier(name: str, n_classes: int = 2, n_features: int = 0, weight: str |
         if n_classes == 2:
             return boosted
         rest = {"weightCol": weight} if weight else {}
-        return OneVsRest(classifier=boosted, featuresCol=VECTOR, labelCol=TARGET, parallelism=min(n_classes, 4), **rest)
+        return OneVsRest(classifier=boosted, featuresCol=VECTOR, labelCol=TARGET, parallelism=min(n_classes, 8), **rest)
     if name == "tree":
         return DecisionTreeClassifier(**common, seed=seed, **args)
     if name == "naive_bayes":
@@ -153,13 +167,14 @@ def fit_classifier(train: DataFrame, name: str, features: list[str], label: str,
 
 
 def model_sweep(train: DataFrame, rows: DataFrame, models: dict[str, dict[str, Any]], features: list[str], label: str, key: str) -> DataFrame:
-    """Accuracy and macro F1 of each model: one row per model."""
+    """Scored rows, accuracy and macro F1 of each model: one row per model."""
     out = None
     for name, args in models.items():
         predicted = fit_predict(train, rows, name, features, label, key, **args)
         scores = metrics.class_scores(predicted, label, "prediction")
         row = scores.agg(
             F.lit(name).alias("model"),
+            F.sum("support").cast("long").alias("n_rows"),
             F.try_divide(F.sum("hits"), F.sum("support")).alias("accuracy"),
             F.avg("f1").alias("macro_f1"),
         )
@@ -167,10 +182,28 @@ def model_sweep(train: DataFrame, rows: DataFrame, models: dict[str, dict[str, A
     return out
 
 
+def with_probabilities(model: Model, rows: DataFrame, into: str = "probabilities") -> DataFrame:
+    """Add an array of class probabilities that sum to 1.
+
+    One-against-rest models have one binary model per class; their positive probabilities are
+    divided by their sum (equal shares where all are 0).
+    """
+    if not hasattr(model, "models"):
+        return model.transform(rows).withColumn(into, vector_to_array("probability"))
+    out, own = rows, rows.columns
+    for i, part in enumerate(model.models):
+        # Only the positive probability of each part is carried on.
+        out = part.transform(out).select(*own, *[f"against_{j}" for j in range(i)], vector_to_array("probability")[1].alias(f"against_{i}"))
+    names = [f"against_{i}" for i in range(len(model.models))]
+    total = sum((F.col(n) for n in names), F.lit(0.0))
+    shares = F.array(*[F.coalesce(F.try_divide(F.col(n), total), F.lit(1.0 / len(names))) for n in names])
+    return out.withColumn(into, shares).drop(*names)
+
+
 def probability_table(model: Model, rows: DataFrame, features: list[str], key: str, classes: list) -> DataFrame:
     """One row per record and class with the model's probability."""
-    scored = model.transform(assembled(rows, features, key))
-    values = vector_to_array("probability")
+    scored = with_probabilities(model, assembled(rows, features, key))
+    values = F.col("probabilities")
     pairs = F.array(*[F.struct(F.lit(c).alias("class"), values[i].alias("probability")) for i, c in enumerate(classes)])
     return scored.select(key, F.inline(pairs))
 

@@ -329,8 +329,9 @@ def smote_tomek(rows: DataFrame, label: str, minority, ratio: float | None = Non
     return remove_tomek_links(grown, label, **options)
 
 
-def knn_vote(queries: DataFrame, base: DataFrame, label: str, k: int = 5, **options) -> DataFrame:
-    """Majority class of the k nearest base rows; a tie goes to the smaller class."""
+def knn_vote(queries: DataFrame, base: DataFrame, label: str, k: int = 5, share_of=None, **options) -> DataFrame:
+    """Majority class of the k nearest base rows; a tie goes to the smaller class. With ``share_of`` also its share."""
     found = nearest(queries, base, k, [label], **options)
     votes = found.groupBy("row_key", F.col(f"neighbor_{label}").alias("prediction")).agg(F.count("*").alias("n"))
-    return votes.groupBy("row_key").agg(F.min_by("prediction", F.struct(-F.col("n"), F.col("prediction"))).alias("prediction"))
+    share = [] if share_of is None else [(F.sum(F.when(F.col("prediction") == share_of, F.col("n")).otherwise(0)) / F.sum("n")).alias("share")]
+    return votes.groupBy("row_key").agg(F.min_by("prediction", F.struct(-F.col("n"), F.col("prediction"))).alias("prediction"), *share)

@@ -7,7 +7,7 @@ training rows only; all four pipelines can be saved and used on a stream.
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.operators import clean, encode, features, impute, outliers, rules, scale  # noqa: F401  (registers the steps)
@@ -159,9 +159,13 @@ class Preparation:
         return rows
 
     def save(self, path: str) -> None:
+        """The pipelines, and the classes in their order, under one path."""
         for i, model in enumerate(self.models):
             model.write().overwrite().save(f"{path}/pipeline_{i}")
+        spark = SparkSession.getActiveSession()
+        spark.createDataFrame([(len(self.models), self.classes)], "n_pipelines int, classes array<string>").write.mode("overwrite").parquet(f"{path}/classes")
 
     @classmethod
-    def load(cls, path: str, classes: list[str], n_pipelines: int = 5) -> "Preparation":
-        return cls([PipelineModel.load(f"{path}/pipeline_{i}") for i in range(n_pipelines)], classes)
+    def load(cls, path: str) -> "Preparation":
+        about = SparkSession.getActiveSession().read.parquet(f"{path}/classes").first()
+        return cls([PipelineModel.load(f"{path}/pipeline_{i}") for i in range(about["n_pipelines"])], list(about["classes"]))
