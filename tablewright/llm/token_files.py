@@ -178,8 +178,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
             yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [name], "n_docs": [len(writer.doc_ids)], "n_ids": [writer.n_ids]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    tie = F.xxhash64("text")
-    ordered = rows.repartitionByRange(F.col("id").asc_nulls_first(), tie).sortWithinPartitions(F.col("id").asc_nulls_first(), tie)
+    # Bounds come from the ids alone, so the sampling pass reads no text.
+    first = F.col("id").asc_nulls_first()
+    ordered = rows.repartitionByRange(first).sortWithinPartitions(first, F.xxhash64("text"))
     manifest_path = f"{folder}/_manifest"
     ordered.mapInArrow(write, "shard long, file string, n_docs long, n_ids long").write.parquet(manifest_path)
 

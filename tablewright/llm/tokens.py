@@ -47,20 +47,25 @@ class _Words(dict):
         plain = [*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0xC0, 0x100)]
         self.letters = str.maketrans({i: "".join(letters[b] for b in chr(i).lower().encode()) for i in plain})
 
+    def piece_ids(self, letters: str) -> bytes:
+        ids = self.id_bytes
+        return b"".join([ids[t.id] for t in self.piece(letters)])
+
     def __missing__(self, word: str) -> bytes:
         out = self.old.pop(word, None)
         if out is None:
-            plain = _PLAIN(word)
-            if plain is None:
+            if word.isascii() and word.isalpha():
+                out = self.piece_ids(word.lower())
+            elif (plain := _PLAIN(word)) is None:
                 out = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
             else:
                 stem, marks = plain.groups()
                 if marks:
                     if marks not in self.marks:
-                        self.marks[marks] = b"".join([self.id_bytes[t.id] for t in self.piece(marks)])
+                        self.marks[marks] = self.piece_ids(marks)
                     out = self[stem] + self.marks[marks]
                 else:
-                    out = b"".join([self.id_bytes[t.id] for t in self.piece(stem.translate(self.letters))])
+                    out = self.piece_ids(stem.translate(self.letters))
         if len(self) >= CACHED_WORDS:
             self.old = dict(self)
             self.clear()
