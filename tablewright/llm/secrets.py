@@ -55,8 +55,9 @@ def _hits(text: Column, kind: str, pattern: str, strong: Column | None = None) -
             ok = F.lit(True)
         return F.struct(F.lit(kind).alias("kind"), i.alias("no"), F.length(p["gap"]).alias("gap"), F.length(hit).alias("len"), ok.alias("ok"))
 
-    # The last gap has no match after it.
-    return F.transform(F.slice(parts, 1, F.size(hits)), row)
+    # The last gap has no match after it. Most texts have no match: one search tells, and nothing is cut.
+    found = F.transform(F.slice(parts, 1, F.size(hits)), row)
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<kind:string,no:int,gap:int,len:int,ok:boolean>>"))
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
