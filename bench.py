@@ -15,7 +15,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tablewright.catalog import QUERIES  # noqa: E402
-from tablewright.session import build_session  # noqa: E402
+from tablewright.session import build_session, clear_scratch  # noqa: E402
 
 HEADLINE = [
     "missing_report", "numeric_summary_lineitem", "categorical_summary", "association_report", "nullity_correlation", "drop_duplicate_rows",
@@ -48,6 +48,7 @@ def main() -> None:
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - started, 3)
         print(f"{seconds[name]:8.2f}s {name}", file=sys.stderr, flush=True)
+    clear_scratch(spark)
     print(json.dumps({"metric": "headline_total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": sf_dir.rsplit("sf", 1)[-1]}))
 
 

@@ -69,9 +69,28 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_scratch: dict[str, list[str]] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder; ``clear_scratch`` deletes what was written to it."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _scratch.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete this application's intermediate tables; results that still read them become unusable.
+
+    Call it when the results are written. Returns how many paths were deleted.
+    """
+    paths = _scratch.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    deleted = 0
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        deleted += place.getFileSystem(conf).delete(place, True)
+    return deleted
 
 
 def cut_lineage(df: DataFrame, part: str | None = None) -> DataFrame:

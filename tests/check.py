@@ -16,7 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import __spark_entry__ as entry_module  # noqa: E402
 from oracle import compare, connect  # noqa: E402
 
-from tablewright.session import build_session  # noqa: E402
+from tablewright.session import build_session, clear_scratch  # noqa: E402
 
 
 def main(sf: str, parts: list[str]) -> int:
@@ -51,6 +51,7 @@ def main(sf: str, parts: list[str]) -> int:
         if problem:
             failed.append(name)
         print(f"{'FAIL' if problem else 'ok  '} {time.time() - t:6.2f}s {name} {note}", flush=True)
+    clear_scratch(spark)
     print(f"{len(failed)} failed in {time.time() - started:.0f}s: {failed}")
     return 1 if failed else 0
 

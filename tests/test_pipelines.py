@@ -84,3 +84,15 @@ def test_stream_equals_batch(spark, sf_dir, prepared):
     received = spark.read.schema(batch.schema).parquet(path)
     assert received.count() == batch.count() > 0
     assert received.exceptAll(batch).count() == 0
+
+
+def test_scratch_is_deleted_when_asked(spark, monkeypatch):
+    from tablewright import session
+
+    monkeypatch.setattr(session, "_scratch", {})
+    kept = session.cut_lineage(spark.range(5))
+    assert kept.count() == 5
+    (path,) = session._scratch[spark.sparkContext.applicationId]
+    assert session.clear_scratch(spark) == 1 and session.clear_scratch(spark) == 0
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    assert not files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(files)
