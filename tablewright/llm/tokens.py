@@ -14,8 +14,10 @@ import re
 
 import numpy as np
 
-#: Words kept in each of the two generations of the cache; it bounds a worker's memory.
-CACHED_WORDS = 250_000
+#: Words that the cache keeps, which bounds a worker's memory. The first so many stay: frequent words come
+#: early. Once it is full, so many misses per kept word empty it, for texts that have become others.
+CACHED_WORDS = 500_000
+MISSES_PER_WORD = 20
 
 # The normaliser and splitter of the word-level file, under which words are independent.
 _WORD_NORMALIZER = ["NFC", "Replace", "Lowercase"]
@@ -39,7 +41,7 @@ class _Words(dict):
     def __init__(self, tokenizer):
         super().__init__()
         letters = _byte_letters()
-        self.old: dict[str, bytes] = {}
+        self.missed = 0
         self.marks: dict[str, bytes] = {}
         self.tokenizer = tokenizer
         self.piece = tokenizer.model.tokenize
@@ -52,26 +54,27 @@ class _Words(dict):
         return b"".join([ids[t.id] for t in self.piece(letters)])
 
     def __missing__(self, word: str) -> bytes:
-        out = self.old.pop(word, None)
-        if out is None:
-            if word.isascii() and word.isalpha():
-                out = self.piece_ids(word.lower())
-            elif (plain := _PLAIN(word)) is None:
-                out = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if word.isascii() and word.isalpha():
+            out = self.piece_ids(word.lower())
+        elif (plain := _PLAIN(word)) is None:
+            out = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        else:
+            stem, marks = plain.groups()
+            if marks:
+                if len(self.marks) >= CACHED_WORDS:
+                    self.marks.clear()
+                if marks not in self.marks:
+                    self.marks[marks] = self.piece_ids(marks)
+                out = self[stem] + self.marks[marks]
             else:
-                stem, marks = plain.groups()
-                if marks:
-                    if marks not in self.marks:
-                        self.marks[marks] = self.piece_ids(marks)
-                    out = self[stem] + self.marks[marks]
-                else:
-                    out = self.piece_ids(stem.translate(self.letters))
-        if len(self) >= CACHED_WORDS:
-            self.old = dict(self)
-            self.clear()
-        if len(self.marks) >= CACHED_WORDS:
-            self.marks.clear()
-        self[word] = out
+                out = self.piece_ids(stem.translate(self.letters))
+        if len(self) < CACHED_WORDS:
+            self[word] = out
+        else:
+            self.missed += 1
+            if self.missed > MISSES_PER_WORD * CACHED_WORDS:
+                self.missed = 0
+                self.clear()
         return out
 
 
