@@ -5,7 +5,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from tablewright.catalog.claims import claims
-from tablewright.catalog.model_queries import CASCADE_GROUPS, COVID_START, FAST, FEATURES, train_val
+from tablewright.catalog.model_queries import CASCADE_GROUPS, COVID_START, FEATURES, train_val
 from tablewright.operators import cascade, impute, metrics
 from tablewright.operators.base import Step
 from tablewright.operators.encode import TargetEncoder
@@ -13,6 +13,9 @@ from tablewright.plans.preparation import Preparation, numeric_features
 from tablewright.session import scratch_path
 from tablewright.streaming.scoring import score, write_scores
 
+# Small forests: these tests are about the pipelines around them.
+FAST = {"numTrees": 20, "maxDepth": 6}
+
 
 @pytest.fixture(scope="module")
 def prepared(spark, sf_dir):
@@ -96,3 +99,35 @@ def test_scratch_is_deleted_when_asked(spark, monkeypatch):
     assert session.clear_scratch(spark) == 1 and session.clear_scratch(spark) == 0
     files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     assert not files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(files)
+
+
+@pytest.mark.parametrize("model", ["knn", "ridge"])
+def test_cascade_with_own_models_saves_and_loads(spark, tmp_path, model):
+    rows = [(i, float(i % 10), float(i % 7), "a" if i % 10 > 6 else "b" if i % 7 > 3 else "c", "train" if i % 4 else "val") for i in range(300)]
+    df = spark.createDataFrame(rows, "claim_id long, x double, z double, y string, split string")
+    fitted = cascade.CascadeClassifier(groups=[["a"]], features=["x", "z"], label="y", model=model, importance_args=FAST, rest_model="tree").fit(df)
+    val = df.filter("split = 'val'")
+    out = fitted.transform(val).cache()
+    assert out.filter("stage_1 not between 0 and 1").count() == 0
+    assert out.filter("(prediction = 'a') <> (stage_1 > 0.5)").count() == 0
+    assert out.filter("prediction = y").count() > 0.7 * out.count()
+    fitted.write().save(str(tmp_path / "cascade"))
+    again = cascade.CascadeModel.load(str(tmp_path / "cascade")).transform(val)
+    assert out.select("claim_id", "prediction").exceptAll(again.select("claim_id", "prediction")).count() == 0
+
+
+def test_boosted_probabilities_sum_to_one(spark):
+    from tablewright.operators import models
+
+    rows = [(i, float(i % 9), float(i % 5), "abc"[i % 3]) for i in range(90)]
+    df = spark.createDataFrame(rows, "claim_id long, x double, z double, y string")
+    model = models.fit_classifier(df, "boosted", ["x", "z"], "y", ["a", "b", "c"], maxIter=2, maxDepth=2)
+    sums = models.probability_table(model, df, ["x", "z"], "claim_id", ["a", "b", "c"]).groupBy("claim_id").agg(F.sum("probability").alias("s")).collect()
+    assert len(sums) == 90 and all(r["s"] == pytest.approx(1) for r in sums)
+
+
+def test_a_perceptron_refuses_weights():
+    from tablewright.operators import models
+
+    with pytest.raises(ValueError):
+        models.classifier("mlp", 2, 3, weight="w")
