@@ -5,24 +5,31 @@ in the slots from floor(k / w) to ceil((k + 1) / w); among the blocks whose time
 one with the earliest deadline takes the next slot. All deadlines are met, so at every slot each
 source has had its weight times the slots so far, give or take less than one block.
 
-Weights are whole shares of a round of slots, so the schedule repeats with every round: only one
-round is ever laid out on the driver, whatever the volume. When a source has run out, the others
-go on with their weights scaled up, in a new phase. Every document is placed exactly once.
+Weights are taken exactly, as fractions, so the deviation does not grow with the slots. When a
+source has run out its share goes to the others: the target at a slot is what all sources
+would have if they were poured in at their weights, each up to its volume. The slots are laid
+out one after another by one task, which holds a block of every source and writes the places
+as it goes; the driver holds none of them. Every document is placed exactly once.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
+from itertools import islice
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.session import cut_lineage
 
 BLOCK_CHARS = 65_536
-#: Slots of a round, and sources scheduled by themselves; the smallest beyond that many share one schedule.
+#: Slots that are written together, and sources scheduled by themselves; the smallest beyond that many share one schedule.
 ROUND_SLOTS = 1_024
 MAX_SOURCES = 512
 #: Default weights are volumes to this power, so small sources come up more often than their volume says.
@@ -31,6 +38,49 @@ ADDED = ["mix_block", "mix_slot", "mix_start"]
 ROWS_PER_BUCKET = 1_000
 
 
+def schedule(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[tuple[int, str, int]]:
+    """(slot, source, block) for every block: at each slot every source is within one block of its weight.
+
+    While no source is used up, block k of a source of weight w of all is due in the slots from floor(k / w)
+    to ceil((k + 1) / w). A weight of zero is taken as less than all others.
+    """
+    names = sorted(s for s, n in blocks.items() if n)
+    if not names:
+        return
+    exact = {s: Fraction(weights[s]) for s in names}
+    least = min((x for x in exact.values() if x > 0), default=Fraction(1)) / 2**60
+    exact = {s: max(x, least) for s, x in exact.items()}
+    scale = math.lcm(*(x.denominator for x in exact.values()))
+    whole = {s: int(x * scale) for s, x in exact.items()}
+    # When level v is reached, a source has had min(blocks, weight * v). Levels at which sources end, as whole
+    # numbers that keep their order, and before each the blocks of those that ended and the weight of the others.
+    shift = 2 * max(whole.values()).bit_length() + 1
+    ending = sorted(names, key=lambda s: ((blocks[s] << shift) // whole[s], s))
+    levels = [(blocks[s] << shift) // whole[s] for s in ending]
+    ended, others = [0], [sum(whole.values())]
+    for s in ending:
+        ended.append(ended[-1] + blocks[s])
+        others.append(others[-1] - whole[s])
+
+    def time(s: str, k: int) -> tuple[int, int]:
+        """When the source has had k blocks: rounded down and up."""
+        piece = bisect_left(levels, (k << shift) // whole[s])
+        down, rest = divmod(others[piece] * k, whole[s])
+        return ended[piece] + down, ended[piece] + down + (rest > 0)
+
+    waiting = [(0, s, 0) for s in names]  # release, source, block
+    ready: list[tuple[int, str, int, int]] = []  # deadline, source, block, release of the next
+    for slot in range(sum(blocks[s] for s in names)):
+        while waiting and waiting[0][0] <= slot:
+            _, s, k = heapq.heappop(waiting)
+            after, deadline = time(s, k + 1)
+            heapq.heappush(ready, (deadline, s, k, after))
+        _, s, k, after = heapq.heappop(ready)
+        yield slot, s, k
+        if k + 1 < blocks[s]:
+            heapq.heappush(waiting, (after, s, k + 1))
+
+
 @dataclass
 class Phase:
     """One source's blocks from ``first`` on: ``slots[k]`` is the place of its k-th block in a round that began at ``start``."""
@@ -54,20 +104,7 @@ def whole_shares(weights: dict[str, float], slots: int) -> dict[str, int]:
 
 def schedule_round(shares: dict[str, int]) -> list[str]:
     """Earliest deadline first over one round: the source of each slot."""
-    slots = sum(shares.values())
-    waiting = [(0, s, 0) for s in sorted(shares)]  # release, source, block
-    heapq.heapify(waiting)
-    ready: list[tuple[int, str, int]] = []  # deadline, source, block
-    order = []
-    for slot in range(slots):
-        while waiting and waiting[0][0] <= slot:
-            _, s, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(k + 1) * slots // shares[s]), s, k))
-        _, s, k = heapq.heappop(ready)
-        order.append(s)
-        if k + 1 < shares[s]:
-            heapq.heappush(waiting, ((k + 1) * slots // shares[s], s, k + 1))
-    return order
+    return [s for _, s, _ in schedule(shares, shares)]
 
 
 def round_length(blocks: dict[str, int], slots: int) -> int:
@@ -76,7 +113,10 @@ def round_length(blocks: dict[str, int], slots: int) -> int:
 
 
 def plan_phases(blocks: dict[str, int], weights: dict[str, float], slots: int = ROUND_SLOTS) -> dict[str, list[Phase]]:
-    """The phases of every source until all of its blocks are placed."""
+    """The phases of every source until all of its blocks are placed, by whole shares of a round.
+
+    Shares are rounded, so long runs drift from the weights; the queries use ``schedule``.
+    """
     slots = round_length(blocks, slots)
     left = {s: n for s, n in blocks.items() if n}
     done = dict.fromkeys(left, 0)
@@ -140,6 +180,22 @@ def _places(docs: DataFrame) -> dict[str, str]:
     return {c: f"c{i}" for i, c in enumerate(docs.columns)}
 
 
+def _lay_out(volumes: DataFrame, given: dict[str, float], alpha: float, block_chars: int, round_slots: int) -> DataFrame:
+    """(source, block, slot) of every block, from (source, chars): one task goes through the slots and writes them as it goes."""
+
+    def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chars = {s: c for batch in batches for s, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if c}
+        natural = {s: c**alpha for s, c in chars.items()}
+        named = sorted(s for s in natural if s in given)
+        scale = math.fsum(given[s] for s in named) / math.fsum(natural[s] for s in named) if named else 1
+        places = schedule({s: -(-c // block_chars) for s, c in chars.items()}, {s: given.get(s, scale * w) for s, w in natural.items()})
+        while together := list(islice(places, round_slots)):
+            slots, sources, blocks = zip(*together)
+            yield pa.RecordBatch.from_arrays([pa.array(sources, pa.string()), pa.array(blocks, pa.int64()), pa.array(slots, pa.int64())], ["source", "block", "slot"])
+
+    return cut_lineage(volumes.coalesce(1).mapInArrow(lay_out, "source string, block long, slot long"))
+
+
 def _scheduled(docs: DataFrame, weights, alpha: float, block_chars: int, round_slots: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
     docs = docs.toDF(*_places(docs).values())
     prefix = "mix_"
@@ -162,31 +218,29 @@ def _scheduled(docs: DataFrame, weights, alpha: float, block_chars: int, round_s
     whole = per_source.agg(F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).collect()[0]
     volumes = {s: c for s, c in {**own, "rest": whole["chars"] - sum(own.values())}.items() if c}
 
-    natural = {s: c**alpha for s, c in volumes.items()}
-    named = [s for s in natural if s in given]
-    scale = sum(given[s] for s in named) / sum(natural[s] for s in named) if named else 1
-    blocks = {s: math.ceil(c / block_chars) for s, c in volumes.items()}
-    phases = plan_phases(blocks, {s: given.get(s, scale * w) for s, w in natural.items()}, round_slots)
-    slots = round_length(blocks, round_slots)
-    plan_rows = [(s, blocks[s], [(p.first, p.start, p.slots) for p in ps]) for s, ps in phases.items()]
-    plan = spark.createDataFrame(plan_rows, f"`{group}` string, `{prefix}n_blocks` long, `{prefix}phases` array<struct<first:long,start:long,slots:array<int>>>")
     groups = spark.createDataFrame([(s, s) for s in own], f"`{key}` string, `{group}` string")
+    plan = _lay_out(spark.createDataFrame(list(volumes.items()), "source string, chars long"), given, alpha, block_chars, round_slots)
 
     buckets = max(1, math.ceil(whole["n"] / ROWS_PER_BUCKET))
     rows = rows.join(F.broadcast(groups), key, "left").withColumns({group: F.coalesce(group, F.lit("rest")), bucket: F.pmod(F.col(at), F.lit(buckets))})
-    # Where each bucket begins in its group: a few rows per group, however large the group.
+    # Where each bucket begins in its group, and the slots of the blocks it reaches: a few rows per group, however large the group.
     totals = rows.groupBy(group, bucket).agg(F.sum(volume).alias("chars"))
     before = Window.partitionBy(group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(group, bucket, F.coalesce(F.sum("chars").over(before), F.lit(0)).alias(offset))
+    last = F.ceil(F.sum("chars").over(Window.partitionBy(group)) / block_chars) - 1
+    reached = totals.select(group, bucket, "chars", F.coalesce(F.sum("chars").over(before), F.lit(0)).alias(offset), last.alias("last"))
+    bounds = [F.least(F.floor(x / block_chars), F.col("last")) for x in (F.col(offset), F.col(offset) + F.col("chars"))]
+    reached = reached.withColumn("block", F.explode_outer(F.when(F.col("last") >= 0, F.sequence(*bounds))))
+    reached = reached.join(plan.withColumnRenamed("source", group), [group, "block"], "left")
+    offsets = reached.groupBy(group, bucket).agg(
+        F.max(offset).alias(offset),
+        F.max("last").alias(f"{prefix}last"),
+        F.min("block").alias(f"{prefix}first"),
+        F.array_sort(F.collect_list("slot")).alias(f"{prefix}slots"),  # a source's slots rise with its blocks
+    )
     inside = Window.partitionBy(group, bucket).orderBy(at, id_col, volume).rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.join(offsets, [group, bucket]).withColumn(f"{prefix}start", F.col(offset) + F.coalesce(F.sum(volume).over(inside), F.lit(0)))
-    placed = placed.join(F.broadcast(plan), group, "left")
-    block = F.least(F.floor(F.col(f"{prefix}start") / block_chars), F.col(f"{prefix}n_blocks") - 1)
-    placed = placed.withColumn(f"{prefix}block", F.coalesce(block, F.lit(0)).cast("long"))
-    phase = F.element_at(F.filter(f"{prefix}phases", lambda p: p["first"] <= F.col(f"{prefix}block")), -1)
-    placed = placed.withColumn(f"{prefix}phase", phase)
-    nth = F.col(f"{prefix}block") - F.col(f"{prefix}phase.first")
-    share = F.size(f"{prefix}phase.slots")
-    slot = F.col(f"{prefix}phase.start") + F.floor(nth / share) * slots + F.get(f"{prefix}phase.slots", (nth % share).cast("int"))
+    block = F.least(F.floor(F.col(f"{prefix}start") / block_chars), F.col(f"{prefix}last"))
+    placed = placed.withColumn(f"{prefix}block", F.greatest(block, F.lit(0)).cast("long"))
+    slot = F.get(f"{prefix}slots", (F.col(f"{prefix}block") - F.col(f"{prefix}first")).cast("int"))
     placed = placed.withColumn(f"{prefix}slot", F.coalesce(slot, F.lit(0)).cast("long"))
     return placed.select(*docs.columns, f"{prefix}block", f"{prefix}slot", f"{prefix}start")

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -322,3 +323,51 @@ def test_small_sources_share_a_schedule(spark, monkeypatch):
     docs = frame(spark, [(i, "x" * 50, f"s{i % 5}") for i in range(100)])
     rows = mixing.mix_sources(docs, block_chars=50).collect()
     assert len(rows) == 100 and len({(r["mix_slot"], r["mix_start"] % 50) for r in rows}) == 100
+
+
+def deviations(blocks, weights):
+    """Per slot and source: blocks placed so far less those of its exact weight, with the weight of used up sources passed on."""
+    weight = {s: Fraction(w) for s, w in weights.items()}
+    seen, over = dict.fromkeys(blocks, 0), {}
+    for slot, s, k in mixing.schedule(blocks, weights):
+        assert k == seen[s]
+        seen[s] += 1
+        while True:
+            live = [s for s in blocks if s not in over]
+            level = Fraction(slot + 1 - sum(blocks[s] for s in over)) / (sum(weight[s] for s in live) or 1)
+            ends = {s for s in live if weight[s] * level >= blocks[s]}
+            if not ends:
+                break
+            over.update(dict.fromkeys(ends))
+        yield max(abs(n - (blocks[s] if s in over else weight[s] * level)) for s, n in seen.items())
+    assert seen == blocks
+
+
+def test_schedule_stays_within_one_block_of_the_given_weights():
+    hot = {"hot": 10.0, **{f"s{i}": 20 / 19 for i in range(19)}}
+    half = {"hot": 99.0, **{f"s{i}": 1.0 for i in range(99)}}
+    light = {"a": 5_000.0, "b": 1.0}
+    for blocks, weights in (
+        ({s: 1_500 if s == "hot" else 200 for s in hot}, hot),
+        ({s: 2_000 if s == "hot" else 15 for s in half}, half),
+        ({"a": 6_000, "b": 2}, light),
+        ({"a": 300, "b": 40, "c": 7, "d": 1}, {"a": 3.0, "b": 2.0, "c": 1.0, "d": 0.2}),
+        ({"a": 4, "b": 4}, {"a": 1, "b": 0}),
+    ):
+        if 0 in weights.values():
+            assert [s for _, s, _ in mixing.schedule(blocks, weights)] == ["a"] * 4 + ["b"] * 4
+        else:
+            assert all(d < 1 for d in deviations(blocks, weights))
+
+
+def test_mixed_documents_follow_the_given_weights(spark):
+    """Over many rounds of slots; the whole shares of a round drift away from such weights."""
+    sources = ["a"] * 2_000 + ["b"] * 1_000
+    docs = frame(spark, [(i, "x" * 10, s) for i, s in enumerate(sources)])
+    rows = mixing.mix_sources(docs, weights={"a": 0.99, "b": 0.333}, block_chars=10, round_slots=16).collect()
+    order = [r["source"] for r in sorted(rows, key=lambda r: r["mix_slot"])]
+    assert sorted(r["mix_slot"] for r in rows) == list(range(3_000))
+    seen = 0
+    for n, s in enumerate(order[:2_600], 1):
+        seen += s == "a"
+        assert abs(seen - min(2_000, n * 0.99 / 1.323)) < 1 + 1e-9
