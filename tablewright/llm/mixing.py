@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from tablewright.session import cut_lineage
 
 BLOCK_CHARS = 65_536
-#: Slots that are written together, and sources scheduled by themselves; the smallest beyond that many share one schedule.
+#: Slots that are written together.
 ROUND_SLOTS = 1_024
+#: Without effect: every source has a schedule of its own, however many there are.
 MAX_SOURCES = 512
 #: Default weights are volumes to this power, so small sources come up more often than their volume says.
 ALPHA = 0.5
@@ -199,8 +200,7 @@ def _lay_out(volumes: DataFrame, given: dict[str, float], alpha: float, block_ch
 def _scheduled(docs: DataFrame, weights, alpha: float, block_chars: int, round_slots: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
     docs = docs.toDF(*_places(docs).values())
     prefix = "mix_"
-    spark = docs.sparkSession
-    key, at, volume, bucket, group, offset = (f"{prefix}{x}" for x in ("key", "hash", "size", "bucket", "group", "offset"))
+    key, at, volume, bucket, offset = (f"{prefix}{x}" for x in ("key", "hash", "size", "bucket", "offset"))
     given = {("null" if s is None else f"={s}"): float(w) for s, w in (weights or {}).items()}
 
     hashed = F.xxhash64(F.col(id_col), F.col(text_col), F.lit("mix"))
@@ -212,33 +212,27 @@ def _scheduled(docs: DataFrame, weights, alpha: float, block_chars: int, round_s
         }
     )
     per_source = cut_lineage(rows.groupBy(key).agg(F.sum(volume).alias("chars"), F.count("*").alias("n")))
-    wanted_first = F.col(key).isin(list(given)) if given else F.lit(False)
-    # The sources scheduled by themselves: a bounded number.
-    own = {r[key]: r["chars"] for r in per_source.orderBy(F.desc(wanted_first), F.desc("chars"), key).limit(max(MAX_SOURCES, len(given))).collect()}
-    whole = per_source.agg(F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).collect()[0]
-    volumes = {s: c for s, c in {**own, "rest": whole["chars"] - sum(own.values())}.items() if c}
-
-    groups = spark.createDataFrame([(s, s) for s in own], f"`{key}` string, `{group}` string")
-    plan = _lay_out(spark.createDataFrame(list(volumes.items()), "source string, chars long"), given, alpha, block_chars, round_slots)
-
-    buckets = max(1, math.ceil(whole["n"] / ROWS_PER_BUCKET))
-    rows = rows.join(F.broadcast(groups), key, "left").withColumns({group: F.coalesce(group, F.lit("rest")), bucket: F.pmod(F.col(at), F.lit(buckets))})
-    # Where each bucket begins in its group, and the slots of the blocks it reaches: a few rows per group, however large the group.
-    totals = rows.groupBy(group, bucket).agg(F.sum(volume).alias("chars"))
-    before = Window.partitionBy(group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    last = F.ceil(F.sum("chars").over(Window.partitionBy(group)) / block_chars) - 1
-    reached = totals.select(group, bucket, "chars", F.coalesce(F.sum("chars").over(before), F.lit(0)).alias(offset), last.alias("last"))
+    plan = _lay_out(per_source.select(F.col(key).alias("source"), "chars"), given, alpha, block_chars, round_slots)
+
+    n_rows = per_source.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).collect()[0]["n"]
+    buckets = max(1, math.ceil(n_rows / ROWS_PER_BUCKET))
+    rows = rows.withColumn(bucket, F.pmod(F.col(at), F.lit(buckets)))
+    # Where each bucket begins in its source, and the slots of the blocks it reaches: a few rows per source, however large the source.
+    totals = rows.groupBy(key, bucket).agg(F.sum(volume).alias("chars"))
+    before = Window.partitionBy(key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    last = F.ceil(F.sum("chars").over(Window.partitionBy(key)) / block_chars) - 1
+    reached = totals.select(key, bucket, "chars", F.coalesce(F.sum("chars").over(before), F.lit(0)).alias(offset), last.alias("last"))
     bounds = [F.least(F.floor(x / block_chars), F.col("last")) for x in (F.col(offset), F.col(offset) + F.col("chars"))]
     reached = reached.withColumn("block", F.explode_outer(F.when(F.col("last") >= 0, F.sequence(*bounds))))
-    reached = reached.join(plan.withColumnRenamed("source", group), [group, "block"], "left")
-    offsets = reached.groupBy(group, bucket).agg(
+    reached = reached.join(plan.withColumnRenamed("source", key), [key, "block"], "left")
+    offsets = reached.groupBy(key, bucket).agg(
         F.max(offset).alias(offset),
         F.max("last").alias(f"{prefix}last"),
         F.min("block").alias(f"{prefix}first"),
         F.array_sort(F.collect_list("slot")).alias(f"{prefix}slots"),  # a source's slots rise with its blocks
     )
-    inside = Window.partitionBy(group, bucket).orderBy(at, id_col, volume).rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.join(offsets, [group, bucket]).withColumn(f"{prefix}start", F.col(offset) + F.coalesce(F.sum(volume).over(inside), F.lit(0)))
+    inside = Window.partitionBy(key, bucket).orderBy(at, id_col, volume).rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.join(offsets, [key, bucket]).withColumn(f"{prefix}start", F.col(offset) + F.coalesce(F.sum(volume).over(inside), F.lit(0)))
     block = F.least(F.floor(F.col(f"{prefix}start") / block_chars), F.col(f"{prefix}last"))
     placed = placed.withColumn(f"{prefix}block", F.greatest(block, F.lit(0)).cast("long"))
     slot = F.get(f"{prefix}slots", (F.col(f"{prefix}block") - F.col(f"{prefix}first")).cast("int"))

@@ -371,3 +371,20 @@ def test_mixed_documents_follow_the_given_weights(spark):
     for n, s in enumerate(order[:2_600], 1):
         seen += s == "a"
         assert abs(seen - min(2_000, n * 0.99 / 1.323)) < 1 + 1e-9
+
+
+def test_every_source_keeps_its_weight_whatever_their_number(spark):
+    """1,500 sources of equal volume, two blocks each: all have had one before any has its second."""
+    docs = spark.range(3_000).selectExpr("id AS doc_id", "repeat('x', 10) AS text", "concat('s', id % 1500) AS source")
+    rows = sorted(mixing.mix_sources(docs, block_chars=10).collect(), key=lambda r: r["mix_slot"])
+    assert [r["mix_slot"] for r in rows] == list(range(3_000))
+    assert len({r["source"] for r in rows[:1_500]}) == 1_500
+
+    # A hot source among many small ones has its own share, and leaves theirs to the others.
+    sizes = spark.range(4_000).selectExpr("id AS doc_id", "repeat('x', 10) AS text", "if(id < 2000, 'hot', concat('s', id % 1000)) AS source")
+    rows = sorted(mixing.mix_sources(sizes, block_chars=10).collect(), key=lambda r: r["mix_slot"])
+    weight = {s: (2_000 if s == "hot" else 2) ** 0.5 for s in {r["source"] for r in rows}}
+    seen = dict.fromkeys(weight, 0)
+    for n, r in enumerate(rows[:1_000], 1):
+        seen[r["source"]] += 1
+        assert n % 100 or all(abs(seen[s] - n * w / sum(weight.values())) < 1 for s, w in weight.items())
