@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.llm import chat, components, jaccard_join, neighbours, packing, token_files
+from tablewright.llm import chat, components, jaccard_join, mixing, neighbours, packing, token_files
 from tablewright.llm.queries import word_tokenizer
 from tablewright.llm.tokens import TextEncoder, encoder
 from tablewright.session import scratch_path
@@ -413,3 +413,34 @@ def test_neighbours_with_copies_and_bad_vectors(spark):
     assert neighbours.nearest_by_rule(df.limit(0)).count() == 0
     two = spark.createDataFrame([(0, [1.0, 0.0]), (7, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r["query_id"], r["vec_id"], r["rank"]) for r in neighbours.nearest_by_rule(two).collect()] == [(0, 7, 1)]
+
+
+def test_sequences_follow_the_mixing_schedule_after_a_reread(spark, uncoalesced, monkeypatch):
+    """The longest texts come last, so readers, who take large files first, change the order of the files."""
+    monkeypatch.setattr(packing, "STRETCH_TOKENS", 4_096)
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{rng.randrange(900)}" for _ in range(4 + i % 97 + i // 20)), rng.choice("aaab") if i < 1_500 else "ccd"[i % 3]) for i in range(3_000)]
+    path = scratch_path(spark, "mixed")
+    options = {"block_chars": 200, "weights": {"a": 6, "b": 3, "c": 0.2, "d": 0.1}}
+    docs = frame(spark, rows)
+    mixing.in_mixed_order(docs, **options).write.parquet(path)
+    reread = spark.read.parquet(path)
+    order = [r["doc_id"] for r in sorted(mixing.mix_sources(docs, **options).collect(), key=lambda r: (r["mix_slot"], r["mix_start"], r["doc_id"]))]
+    assert len(reread.inputFiles()) > 1 and [r["doc_id"] for r in reread.collect()] != order
+
+    packed = packing.pack_documents(reread, word_tokenizer(), in_order=True, lookahead=50).collect()
+    check_sequences(packed, 2048)
+    assert sorted((r["doc_id"], r["piece"]) for r in packed) == [(i, 0) for i in range(3_000)]
+    rank = {i: n for n, i in enumerate(order)}
+    by_sequence = {}
+    for r in packed:
+        by_sequence.setdefault(r["sequence_id"], []).append(r["doc_id"])
+    assert all(max(map(rank.get, ids)) - min(map(rank.get, ids)) < 50 for ids in by_sequence.values())
+    source, taken, due = {i: s for i, _, s in rows}, dict.fromkeys("abcd", 0), dict.fromkeys("abcd", 0)
+    n = 0
+    for _, ids in sorted(by_sequence.items()):
+        for i in ids:
+            taken[source[i]] += 1
+            due[source[order[n]]] += 1
+            n += 1
+        assert all(abs(taken[s] - due[s]) < 50 for s in taken)
