@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tablewright.llm.chat import transcript_table
+from tablewright.llm.collocations import collocations
 from tablewright.llm.fingerprints import fingerprint_table
+from tablewright.llm.hard_negatives import mine_embeddings
 from tablewright.llm.jaccard_join import similar_documents
 from tablewright.llm.line_dedup import dedup_lines
+from tablewright.llm.metric_tree import largest_products_by_rule
 from tablewright.llm.mixing import mix_sources
 from tablewright.llm.neighbours import nearest_by_rule
 from tablewright.llm.packing import pack_documents
@@ -163,3 +166,61 @@ FROM documents d
 @query("op2_jaccard_join", JACCARD_SQL)
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents"))
+
+
+METRIC_TREE_SQL = r"""
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+@query("op11_metric_tree", METRIC_TREE_SQL)
+def op11_metric_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return largest_products_by_rule(table(spark, sf_dir, "embeddings"))
+
+
+COLLOCATIONS_SQL = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+grams AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: w[i:i + m - 1])) AS g FROM w, range(1, 6) t(m) WHERE len(w) >= m),
+f AS (SELECT lang, m, g, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (SELECT lang, m, g, a, unnest(range(1, m)) AS k FROM f WHERE m >= 2),
+cut AS (SELECT c.lang, c.g, c.m, c.a, c.k, x.a AS l, y.a AS r, n, ((1000::HUGEINT * c.a * n) // (x.a::HUGEINT * y.a))::BIGINT AS score
+        FROM cuts c JOIN f x ON x.lang = c.lang AND x.g = c.g[1:c.k] JOIN f y ON y.lang = c.lang AND y.g = c.g[c.k + 1:c.m] JOIN totals t ON t.lang = c.lang),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+sub AS (SELECT lang, a AS longer, m, g, unnest(range(2, m)) AS size FROM f WHERE m >= 3),
+inner_part AS (SELECT lang, longer, unnest(list_transform(range(1, m - size + 2), lambda i: g[i:i + size - 1])) AS g FROM sub),
+gone AS (SELECT DISTINCT b.lang, b.g FROM best b JOIN inner_part i ON i.lang = b.lang AND i.g = b.g AND 100 * i.longer >= 100 * b.a),
+kept AS (SELECT b.*, array_to_string(b.g, ' ') AS phrase FROM best b ANTI JOIN gone ON gone.lang = b.lang AND gone.g = b.g),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::INTEGER AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+
+@query("op12_collocations", COLLOCATIONS_SQL)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+HARD_NEGATIVES_SQL = r"""
+WITH v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_sum(list_transform(list_zip(a.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
+      FROM v a JOIN v c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id AND len(a.e) = len(c.e)),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+r AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+        row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 100 * s.score BETWEEN 30 * p.score AND 90 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM r WHERE rank <= 10
+"""
+
+
+@query("op13_hard_negatives", HARD_NEGATIVES_SQL)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_embeddings(table(spark, sf_dir, "embeddings"))
