@@ -258,7 +258,7 @@ def _moments(train: DataFrame):
     """Means and covariances of the features and the class number over the training rows."""
     rows = models.with_target(train, "claim_type", class_list(train, "claim_type"))
     names = [*FEATURES, models.TARGET]
-    row = rows.agg(*[F.covar_samp(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names)]).first()
+    row = rows.agg(*[F.covar_pop(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names)]).first()
     return np.array([[row[f"{i}_{j}"] for j in range(len(names))] for i in range(len(names))])
 
 
@@ -270,16 +270,16 @@ def optimal(train: DataFrame, alphas: list[float], l1: bool) -> list[tuple[str,
     at most a * s_x in size where b is 0.
     """
     search = models.linear_search(train, FEATURES, "claim_type", "claim_id", alphas, l1=l1)
-    b = np.array(search.bestModel.coefficients.toArray())
+    b = search.coefficients
     cov = _moments(train)
     s = np.sqrt(np.diag(cov))
     left = cov[:-1, -1] - cov[:-1, :-1] @ b
-    a = search.bestModel.getOrDefault("regParam")
+    a = search.alpha
     size = s[:-1] * s[-1]
     if l1:
-        met = np.where(b != 0, np.abs(left - a * s[:-1] * np.sign(b)), np.maximum(np.abs(left) - a * s[:-1], 0)) <= 2e-3 * size
+        met = np.where(b != 0, np.abs(left - a * s[:-1] * np.sign(b)), np.maximum(np.abs(left) - a * s[:-1], 0)) <= 1e-6 * size
     else:
-        met = np.abs(left - a * s[:-1] ** 2 * b / s[-1]) <= 2e-3 * size
+        met = np.abs(left - a * s[:-1] ** 2 * b / s[-1]) <= 1e-6 * size
     return list(zip(FEATURES, met.tolist()))
 
 

@@ -170,38 +170,48 @@ def birth_year_by_medians(spark, sf):
     return _fitted(impute.BirthYearByMedians(), spark, sf, "claim_id", "birth_year")
 
 
-def bands_sql(column: str, top: int | None = None) -> dict[str, str]:
+def alias_sql(column: str, top: int | None = None) -> dict[str, str]:
+    """Equal cells of at most two values: light values are filled up from what heavy ones have over."""
     counts = f"SELECT {column} AS v, count(*) AS n FROM train WHERE {column} IS NOT NULL GROUP BY {column}"
     if top:
         counts += f" ORDER BY n DESC, v LIMIT {top}"
     return {
         "counts": counts,
-        "bands": "SELECT v, (upto - n) / total::DOUBLE AS low, upto / total::DOUBLE AS high FROM "
-        "(SELECT v, n, sum(n) OVER (ORDER BY n DESC, v) AS upto, sum(n) OVER () AS total FROM counts)",
+        "sized": "SELECT v, n * (SELECT count(*) FROM counts) AS w, (SELECT sum(n) FROM counts) AS t FROM counts",
+        "light": "SELECT v, w, t, row_number() OVER (ORDER BY v) AS i, sum(t - w) OVER (ORDER BY v) AS d FROM sized WHERE w < t",
+        "heavy": "SELECT v, w, t, row_number() OVER (ORDER BY v) AS j, sum(w - t) OVER (ORDER BY v) AS s FROM sized WHERE w >= t",
+        "cells": "SELECT i - 1 AS cell, v, (SELECT arg_min(h.v, h.j) FROM heavy h WHERE h.s >= l.d - (l.t - l.w)) AS other, w / t::DOUBLE AS share FROM light l UNION ALL "
+        "SELECT (SELECT count(*) FROM light) + j - 1, v, coalesce((SELECT arg_min(x.v, x.j) FROM heavy x WHERE x.j > h.j), v), "
+        "(t - coalesce((SELECT min(l.d) FROM light l WHERE l.d > h.s) - h.s, 0)) / t::DOUBLE FROM heavy h",
     }
 
 
 def draw_sql(column: str, into: str, seed: str = "0") -> str:
-    u = f"('0x' || substr(md5(CAST(claim_id AS VARCHAR) || ':{column}:{seed}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
-    return f"SELECT claim_id, coalesce({column}, v) AS {into} FROM (SELECT *, {u} AS u FROM split_claims) LEFT JOIN bands ON u >= low AND u < high"
+    def part(at: int) -> str:
+        return f"('0x' || substr(md5(CAST(claim_id AS VARCHAR) || ':{column}:{seed}'), {at}, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+
+    return (
+        f"SELECT claim_id, coalesce({column}, CASE WHEN p < share THEN v ELSE other END) AS {into} FROM (SELECT *, floor({part(1)} * (SELECT count(*) FROM counts)) AS c, {part(14)} AS p "
+        "FROM split_claims) LEFT JOIN cells ON c = cell"
+    )
 
 
-@query("proportional_fill", on_split(draw_sql("industry", "industry"), **bands_sql("industry")))
+@query("proportional_fill", on_split(draw_sql("industry", "industry"), **alias_sql("industry")))
 def proportional_fill(spark, sf):
     return _fitted(impute.ProportionalFill(column="industry"), spark, sf, "claim_id", "industry")
 
 
-@query("proportional_fill_code", on_split(draw_sql("body_code", "body_code_imputed", "3"), **bands_sql("body_code")))
+@query("proportional_fill_code", on_split(draw_sql("body_code", "body_code_imputed", "3"), **alias_sql("body_code")))
 def proportional_fill_code(spark, sf):
     return _fitted(impute.ProportionalFill(column="body_code", into="body_code_imputed", seed=3), spark, sf, "claim_id", "body_code_imputed")
 
 
-@query("proportional_fill_top", on_split(draw_sql("body_code", "body_code", "0"), **bands_sql("body_code", 10)))
+@query("proportional_fill_top", on_split(draw_sql("body_code", "body_code", "0"), **alias_sql("body_code", 10)))
 def proportional_fill_top(spark, sf):
     return _fitted(impute.ProportionalFill(column="body_code", top=10), spark, sf, "claim_id", "body_code")
 
 
-@query("proportional_fill_many_values", on_split(draw_sql("birth_year", "birth_year", "0"), **bands_sql("birth_year")))
+@query("proportional_fill_many_values", on_split(draw_sql("birth_year", "birth_year", "0"), **alias_sql("birth_year")))
 def proportional_fill_many_values(spark, sf):
     return _fitted(impute.ProportionalFill(column="birth_year"), spark, sf, "claim_id", "birth_year")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.expressions import all_of, holds, micros
-from tablewright.functions.hashing import hash_uniform
+from tablewright.functions.hashing import hash_uniform_pair
 from tablewright.operators.base import FittedOperator, step
 from tablewright.plans.lookup import WEIGHT, FittedTable, attach
 from tablewright.plans.prefix import running_sums
@@ -22,8 +22,8 @@ from tablewright.session import cut_lineage
 UNKNOWN_CODE = 100
 UNKNOWN_TEXT = "Unknown"
 
-#: So many values are written into the plan; the draws are the same either way.
-SHORT_LIST = 32
+#: Distributions of up to so many values are laid out on the driver; the cells are the same either way.
+SHORT_LIST = 10_000
 
 
 @step
@@ -53,64 +53,112 @@ class BirthYearByMedians(FittedOperator):
         return df.withColumn(b, F.coalesce(F.col(b).cast("double"), derived, F.lit(scalars["birth_year"])))
 
 
-def _bands(train: DataFrame, column: str, top: int | None) -> tuple[dict, dict]:
-    """Cumulative share of each value, commonest first and ties by value."""
-    counts = train.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    order = [F.desc("n"), F.asc("value")]
-    if top is not None:
-        counts = counts.orderBy(*order).limit(top)
+def _cells_on_driver(counts: list[tuple]) -> list[tuple]:
+    """``alias_cells`` of a short list, in one sweep over light and heavy values side by side."""
+    k, total = len(counts), sum(n for _, n in counts)
+    light = [(v, n * k) for v, n in counts if n * k < total]
+    heavy = [(v, n * k - total) for v, n in counts if n * k >= total]
+    out, j, spare = [], 0, heavy[0][1] if heavy else 0
+    for value, weight in light:
+        # The heavy values that gave more than they had over are filled up by the next one.
+        while spare < 0:
+            out.append((len(light) + j, heavy[j][0], heavy[j + 1][0], (total + spare) / total))
+            j, spare = j + 1, spare + heavy[j + 1][1]
+        out.append((len(out) - j, value, heavy[j][0], weight / total))
+        spare -= total - weight
+    while j < len(heavy):
+        over = min(spare, 0)
+        out.append((len(light) + j, heavy[j][0], heavy[min(j + 1, len(heavy) - 1)][0], (total + over) / total))
+        j += 1
+        spare = over + heavy[j][1] if j < len(heavy) else 0
+    return out
+
+
+def _cells_by_ranges(counts: DataFrame, k: int, total: int) -> DataFrame:
+    """``alias_cells`` of any number of values, from running sums.
+
+    Let D be the running sum of what light values lack of a cell and S that of what heavy ones have over. A light
+    value is filled up by the first heavy one whose S reaches the D before it; a heavy value lacks
+    what the first D beyond its S is more than that S.
+    """
+    wide = "decimal(38,0)"
+    weight = F.col("n").cast(wide) * F.lit(k).cast("decimal(18,0)")
+    one = F.lit(total).cast(wide)
+    sized = counts.withColumn("weight", weight.cast(wide)).withColumn("light", (F.col("weight") < one).cast("long"))
+    lacks = F.when(F.col("light") == 1, one - F.col("weight")).otherwise(F.lit(0)).cast(wide)
+    spare = F.when(F.col("light") == 0, F.col("weight") - one).otherwise(F.lit(0)).cast(wide)
+    summed = running_sums(sized.withColumns({"lacks": lacks, "spare": spare, "heavy": 1 - F.col("light")}), [F.asc("value")], ["lacks", "spare", "light", "heavy"])
+    is_light = F.col("light") == 1
+    # Both running sums in one order; equal sums of light values first.
+    placed = summed.select(
+        "value", "weight", "light", F.when(is_light, F.col("light_upto")).otherwise(F.col("heavy_upto")).alias("no"), F.when(is_light, F.col("lacks_upto")).otherwise(F.col("spare_upto")).alias("sum"), (1 - F.col("light")).alias("heavy"),
+    )
+    met = cut_lineage(running_sums(placed, [F.asc("sum"), F.desc("light"), F.asc("no")], ["light", "heavy"]))
+    lights, heavies = met.where("light = 1"), met.where("light = 0")
+    n_light = lights.count()
+    # The heavy values before the end of a light one tell which of them fills up the next light one.
+    giver = lights.select((F.col("no") + 1).alias("no"), (F.col("heavy_upto") + 1).alias("giver"))
+    named = heavies.select(F.col("no").alias("giver"), F.col("value").alias("other"))
+    light_cells = lights.join(giver, "no", "left").withColumn("giver", F.coalesce("giver", F.lit(1))).join(named, "giver", "left")
+    light_cells = light_cells.select((F.col("no") - 1).alias("cell"), "value", "other", (F.col("weight").cast("double") / total).alias("share"))
+    beyond = lights.select((F.col("no") - 1).alias("light_upto"), F.col("sum").alias("beyond"))
+    after = heavies.select((F.col("no") - 1).alias("no"), F.col("value").alias("after"))
+    heavy_cells = heavies.join(beyond, "light_upto", "left").join(after, "no", "left")
+    own = F.coalesce(one - (F.col("beyond") - F.col("sum")), one).cast("double") / total
+    heavy_cells = heavy_cells.select((F.col("no") - 1 + n_light).alias("cell"), "value", F.coalesce("after", "value").alias("other"), own.alias("share"))
+    return light_cells.unionByName(heavy_cells)
+
+
+def alias_cells(counts: DataFrame) -> tuple[int, FittedTable]:
+    """The distribution of ``value`` with counts ``n`` as equal cells, one per value: (number of cells, table).
+
+    A cell has a value, another one, and the share of the cell that is the first one's. To draw, a cell is
+    taken evenly and then one of its two values. Cells of light values come first; within the light and the heavy
+    ones, values ascend. Up to ``SHORT_LIST`` values the cells are made on the driver; they are the same either way.
+    """
     head = cut_lineage(counts)
-    n_values = head.count()
-    if n_values <= SHORT_LIST:
-        rows = sorted(((r["value"], r["n"]) for r in head.collect()), key=lambda vn: (-vn[1], vn[0]))
-        total, upto, out = sum(n for _, n in rows), 0, []
-        for value, n in rows:
-            out.append([value, upto / total, (upto + n) / total])
-            upto += n
-        return {"bands": out}, {}
-    # As many cells as values: a cell meets two bands on average, and no draw meets many.
-    grid = 1 << n_values.bit_length()
-    total = head.agg(F.sum("n")).first()[0]
-    summed = running_sums(head, order, ["n"])
-    low = (F.col("n_upto") - F.col("n")) / F.lit(float(total))
-    high = F.col("n_upto") / F.lit(float(total))
-    cells = F.sequence(F.floor(low * grid).cast("int"), F.least(F.ceil(high * grid).cast("int") - 1, F.lit(grid - 1)))
-    bands = summed.select("value", low.alias("low"), high.alias("high"), F.explode(cells).alias("cell"))
-    return {"grid": grid}, {"bands": FittedTable.of(bands)}
+    k, total = head.agg(F.count("*"), F.sum("n")).first()
+    if not k:
+        cells = head.select(F.lit(0).cast("long").alias("cell"), "value", F.col("value").alias("other"), F.lit(0.0).alias("share"))
+    elif k <= SHORT_LIST:
+        listed = _cells_on_driver([(r["value"], r["n"]) for r in head.orderBy("value").collect()])
+        kind = head.schema["value"].dataType
+        schema = T.StructType([T.StructField("cell", T.LongType()), T.StructField("value", kind), T.StructField("other", kind), T.StructField("share", T.DoubleType())])
+        cells = head.sparkSession.createDataFrame(listed, schema).coalesce(1)
+    else:
+        cells = _cells_by_ranges(head, k, int(total))
+    return k, FittedTable.of(cells.toDF("cell", "fitted_value", "fitted_other", "fitted_share"))
 
 
 class ProportionalFill(FittedOperator):
     """Nulls are drawn from the distribution of the training values.
 
-    The draw depends on the row key and a seed, so it can be repeated. ``top`` limits
+    The draw depends on the row key and a seed, so it can be repeated. It is an equality join to
+    a table of equal cells and a comparison, whatever the number of values. ``top`` limits
     the distribution to the commonest values and rescales their shares; ``into``
-    writes to a new column.
+    writes to a new column. Without a known training value nulls stay.
     """
 
     defaults = {"column": None, "key": "claim_id", "seed": 0, "top": None, "into": None}
 
     def learn(self, train, args):
-        return _bands(train, args["column"], args["top"])
+        c = F.col(args["column"])
+        counts = train.filter(c.isNotNull()).groupBy(c.alias("value")).agg(F.count("*").alias("n"))
+        if args["top"] is not None:
+            counts = counts.orderBy(F.desc("n"), F.asc("value")).limit(args["top"])
+        cells, table = alias_cells(counts)
+        return {"cells": cells}, {"cells": table}
 
     @staticmethod
     def apply(df, args, scalars, tables):
-        c, into = args["column"], args["into"] or args["column"]
-        u = hash_uniform(F.col(args["key"]), f"{c}:{args['seed']}")
-        if "bands" in scalars:
-            if not scalars["bands"]:
-                return df.withColumn(into, F.col(c))
-            draw = F.lit(scalars["bands"][-1][0])
-            for value, _, high in reversed(scalars["bands"][:-1]):
-                draw = F.when(F.col("draw") < high, F.lit(value)).otherwise(draw)
-            drawn = df.withColumn("draw", F.when(F.col(c).isNull(), u))
-            return drawn.withColumn(into, F.coalesce(F.col(c), draw.cast(df.schema[c].dataType))).drop("draw")
-        known = df.filter(F.col(c).isNotNull()).withColumn(into, F.col(c))
-        missing = df.filter(F.col(c).isNull()).withColumn("draw", u).withColumn("cell", F.floor(F.col("draw") * scalars["grid"]).cast("int"))
-        side = tables["bands"].df
-        # u is uniform over the grid cells, so no cell is hot.
-        hit = (missing["cell"] == side["cell"]) & (missing["draw"] >= side["low"]) & (missing["draw"] < side["high"])
-        filled = missing.join(side, hit, "left").drop(side["cell"]).withColumn(into, F.col("value").cast(df.schema[c].dataType))
-        return known.unionByName(filled.select(*known.columns))
+        c = args["column"]
+        place, part = hash_uniform_pair(F.col(args["key"]), f"{c}:{args['seed']}")
+        # Known rows have no cell and meet nothing. Cells are drawn evenly, so none is hot.
+        missing = F.col(c).isNull()
+        drawn = df.withColumns({"drawn_cell": F.when(missing, F.floor(place * scalars["cells"])), "drawn_part": F.when(missing, part)})
+        joined = attach(drawn, tables["cells"], {"drawn_cell": "cell"})
+        value = F.when(F.col("drawn_part") < F.col("fitted_share"), F.col("fitted_value")).otherwise(F.col("fitted_other")).cast(df.schema[c].dataType)
+        return joined.withColumn(args["into"] or c, F.coalesce(F.col(c), value)).drop("drawn_cell", "drawn_part", "fitted_value", "fitted_other", "fitted_share")
 
 
 @step

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import contextlib
+import functools
+import math
+import operator
 from collections.abc import Iterator
+from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (
@@ -17,11 +22,11 @@ from pyspark.ml.classification import (
     OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.stat import Summarizer
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,14 +76,20 @@ class RidgeClassifier(FittedOperator):
     defaults = {"features": [], "label": None, "alpha": 1.0, "prediction": "prediction", "share_of": None}
 
     def learn(self, train, args):
+        # The sums of each class give the targets of all regressions.
         classes = class_list(train, args["label"])
-        rows = assembled(train, args["features"], args["label"])
+        by_class = fold_sums(train.filter(F.col(args["label"]).isNotNull()), args["features"], args["label"])
+        if not by_class:
+            raise ValueError("no row has a label and all features")
+        total = functools.reduce(operator.add, by_class.values())
         fits = []
-        with kept(rows) as data:
-            for c in classes:
-                signed = data.withColumn(TARGET, F.when(F.col(args["label"]) == c, 1.0).otherwise(-1.0))
-                fit = LinearRegression(featuresCol=VECTOR, labelCol=TARGET, regParam=args["alpha"], elasticNetParam=0.0, solver="normal").fit(signed)
-                fits.append([fit.intercept, *[float(x) for x in fit.coefficients]])
+        for c in classes:
+            own = by_class.get(c, total - total)
+            target = 2 * own.first - total.first
+            products = np.block([[total.products, target[:, None]], [target[None, :], np.array([[total.n]])]])
+            signed = Sums(total.n, np.append(total.first, 2 * own.n - total.n), products, np.append(total.start, 0.0))
+            coefficients, intercept = penalised_fit(signed, args["alpha"], l1=False)
+            fits.append([intercept, *[float(x) for x in coefficients]])
         return {"classes": classes, "fits": fits}, {}
 
     @staticmethod
@@ -250,40 +261,160 @@ def _folds(df: DataFrame, key: str) -> DataFrame:
     )
 
 
-def linear_search(train: DataFrame, features: list[str], label: str, key: str, alphas: list[float], l1: bool, parallelism: int = 4):
-    """Penalised linear regression on the class number, the penalty chosen by five folds."""
-    classes = class_list(train, label)
-    rows = assembled(_folds(with_target(train, label, classes), key), features, TARGET, "fold")
-    regression = LinearRegression(featuresCol=VECTOR, labelCol=TARGET, elasticNetParam=1.0 if l1 else 0.0, maxIter=100)
-    grid = ParamGridBuilder().addGrid(regression.regParam, alphas).build()
-    search = CrossValidator(
-        estimator=regression, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol=TARGET, metricName="mse"),
-        numFolds=FOLDS, foldCol="fold", parallelism=parallelism,
-    )
-    with kept(rows) as data:
-        return search.fit(data)
+@dataclass
+class Sums:
+    """Sums over rows of 1, of each of the columns (the target last) and of the products of any two.
+
+    Columns count from ``start``, which keeps the digits of columns far from 0.
+    """
+
+    n: float
+    first: np.ndarray
+    products: np.ndarray
+    start: np.ndarray
+
+    def __add__(self, other: "Sums") -> "Sums":
+        return Sums(self.n + other.n, self.first + other.first, self.products + other.products, self.start)
+
+    def __sub__(self, other: "Sums") -> "Sums":
+        return Sums(self.n - other.n, self.first - other.first, self.products - other.products, self.start)
+
+    @property
+    def mean(self) -> np.ndarray:
+        return self.first / self.n
+
+    @property
+    def covariance(self) -> np.ndarray:
+        return self.products / self.n - np.outer(self.mean, self.mean)
+
+    def squared_error(self, coefficients: np.ndarray, intercept: float) -> float:
+        """Mean of (target - prediction)^2 over the rows."""
+        turn = np.append(-coefficients, 1.0)
+        shifted = intercept - turn @ self.start
+        return float(turn @ self.products @ turn - 2 * shifted * (turn @ self.first) + self.n * shifted**2) / self.n
+
+
+def fold_sums(rows: DataFrame, columns: list[str], fold: str) -> dict[Any, Sums]:
+    """The sums of every fold in one aggregation with map-side combining; rows with nulls are left out.
+
+    What comes to the driver is columns squared numbers per fold, and one row to count from.
+    """
+    known = rows.na.drop(subset=columns)
+    origin = known.select(*[F.col(c).cast("double").alias(c) for c in columns]).first()
+    if origin is None:
+        return {}
+    shifted = known.select(F.col(fold).alias("part"), *[(F.col(c).cast("double") - F.lit(x)).alias(f"x{i}") for i, (c, x) in enumerate(zip(columns, origin))])
+    size, out = len(columns), {}
+    wide = VectorAssembler(inputCols=[f"x{i}" for i in range(size)], outputCol=VECTOR).transform(shifted)
+    # All products of two columns: x0, x0 x0, x1, x0 x1, x1 x1, x2, ...
+    wide = PolynomialExpansion(degree=2, inputCol=VECTOR, outputCol="products").transform(wide)
+    summed = wide.groupBy("part").agg(Summarizer.metrics("sum", "count").summary(F.col("products")).alias("s"))
+    for r in summed.select("part", "s.sum", "s.count").collect():
+        values, at = r["sum"].toArray(), 0
+        first, products = np.zeros(size), np.zeros((size, size))
+        for i in range(size):
+            first[i] = values[at]
+            products[i, : i + 1] = products[: i + 1, i] = values[at + 1 : at + 2 + i]
+            at += 2 + i
+        out[r["part"]] = Sums(float(r["count"]), first, products, np.array(origin, float))
+    return out
+
+
+def penalised_fit(sums: Sums, alpha: float, l1: bool) -> tuple[np.ndarray, float]:
+    """Coefficients and intercept of the linear regression with a penalty on standardised coefficients, as MLlib has it.
+
+    L2 by Cholesky, L1 by coordinate descent on the correlations. Columns without variance get 0.
+    """
+    cov, mean = sums.covariance, sums.mean
+    scale = np.sqrt(np.maximum(np.diag(cov), 0.0))
+    # What rounding leaves of a constant column.
+    varies = scale > 1e-7 * np.sqrt(np.maximum(np.diag(sums.products) / sums.n, 0.0))
+    out = np.zeros(len(cov) - 1)
+    used = np.flatnonzero(varies[:-1])
+    if varies[-1] and len(used):
+        correlation = cov[np.ix_(used, used)] / np.outer(scale[used], scale[used])
+        with_target = cov[used, -1] / (scale[used] * scale[-1])
+        penalty = alpha / scale[-1]
+        if l1:
+            solved = _descend(correlation, with_target, penalty)
+        else:
+            ridge = correlation + penalty * np.eye(len(used))
+            try:
+                lower = np.linalg.cholesky(ridge)
+                solved = np.linalg.solve(lower.T, np.linalg.solve(lower, with_target))
+            except np.linalg.LinAlgError:
+                # Without a penalty, columns that follow from others: the solution of least length.
+                solved = np.linalg.lstsq(ridge, with_target, rcond=None)[0]
+        out[used] = solved * scale[-1] / scale[used]
+    level = mean + sums.start
+    return out, float(level[-1] - out @ level[:-1])
+
+
+def _descend(correlation: np.ndarray, with_target: np.ndarray, penalty: float, most: int = 100_000) -> np.ndarray:
+    """Minimum of w C w / 2 - c w + penalty |w|, one coordinate after the other until none moves."""
+    w = np.zeros(len(with_target))
+    for _ in range(most):
+        moved = 0.0
+        for i in range(len(w)):
+            pull = with_target[i] - correlation[i] @ w + correlation[i, i] * w[i]
+            new = math.copysign(max(abs(pull) - penalty, 0.0), pull) / correlation[i, i]
+            moved, w[i] = max(moved, abs(new - w[i])), new
+        if moved < 1e-13:
+            break
+    return w
+
+
+@dataclass
+class LinearSearch:
+    """Mean squared error of each penalty over the folds, and the fit on all rows with the best one."""
+
+    alphas: list[float]
+    errors: list[float]
+    alpha: float
+    coefficients: np.ndarray
+    intercept: float
+
+
+def linear_search(train: DataFrame, features: list[str], label: str, key: str, alphas: list[float], l1: bool) -> LinearSearch:
+    """Penalised linear regression on the class number, the penalty chosen by five folds.
+
+    The rows are aggregated once: the sums of a fold's training rows are those of all rows less its own,
+    and all fits and errors follow from the sums.
+    """
+    rows = _folds(with_target(train, label, class_list(train, label)), key)
+    folds = fold_sums(rows, [*features, TARGET], "fold")
+    if not folds:
+        raise ValueError("no row has a label and all features")
+    total = functools.reduce(operator.add, folds.values())
+    errors = []
+    for alpha in alphas:
+        # A fold that holds all rows leaves none to fit on.
+        tested = [own.squared_error(*penalised_fit(total - own, alpha, l1)) for own in folds.values() if total.n > own.n]
+        errors.append(float(np.mean(tested)) if tested else math.nan)
+    best = alphas[int(np.nanargmin(errors))] if any(e == e for e in errors) else alphas[0]
+    return LinearSearch(alphas, errors, best, *penalised_fit(total, best, l1))
 
 
-def _coefficients(model, features: list[str]) -> list[tuple[str, float]]:
-    return list(zip(features, (float(x) for x in model.bestModel.coefficients)))
+def _listed(train: DataFrame, found: list[tuple[str, float]]) -> DataFrame:
+    return train.sparkSession.createDataFrame([(f, float(x)) for f, x in found], "feature string, coefficient double")
 
 
 def lasso_selection(train: DataFrame, features: list[str], label: str, key: str, alphas: list[float]) -> DataFrame:
     """Features whose L1-penalised coefficient is not zero."""
-    found = _coefficients(linear_search(train, features, label, key, alphas, l1=True), features)
-    return train.sparkSession.createDataFrame([x for x in found if x[1] != 0], "feature string, coefficient double")
+    found = linear_search(train, features, label, key, alphas, l1=True).coefficients
+    return _listed(train, [(f, x) for f, x in zip(features, found) if x != 0])
 
 
 def ridge_selection(train: DataFrame, features: list[str], label: str, key: str, alphas: list[float], above: float = 0.01) -> DataFrame:
     """Features whose L2-penalised coefficient is larger than a bound."""
-    found = _coefficients(linear_search(train, features, label, key, alphas, l1=False), features)
-    return train.sparkSession.createDataFrame([x for x in found if abs(x[1]) > above], "feature string, coefficient double")
+    found = linear_search(train, features, label, key, alphas, l1=False).coefficients
+    return _listed(train, [(f, x) for f, x in zip(features, found) if abs(x) > above])
 
 
 def grid_search(train: DataFrame, features: list[str], label: str, key: str, alphas: list[float]) -> DataFrame:
     """Mean squared error over the folds for every penalty."""
-    model = linear_search(train, features, label, key, alphas, l1=False)
-    return train.sparkSession.createDataFrame([(a, float(m)) for a, m in zip(alphas, model.avgMetrics)], "alpha double, mse double")
+    found = linear_search(train, features, label, key, alphas, l1=False)
+    return train.sparkSession.createDataFrame(list(zip(found.alphas, found.errors)), "alpha double, mse double")
 
 
 def recursive_elimination(train: DataFrame, features: list[str], label: str, key: str, **args: Any) -> DataFrame:

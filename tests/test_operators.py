@@ -1,6 +1,7 @@
 """Small literal cases for the rules that are easy to get wrong."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -74,20 +75,73 @@ def test_repeated_code_takes_the_description_of_the_largest_key(spark):
     assert column(model.transform(rows), "d") == ["new", None, "mine"]
 
 
-@pytest.mark.parametrize("short", [0, 1000])
-def test_proportional_fill_by_chain_and_by_join_agree(spark, monkeypatch, short):
-    monkeypatch.setattr(impute, "SHORT_LIST", short)
+def test_proportional_fill_keeps_known_values_and_can_be_repeated(spark):
     df = spark.range(4000).select(F.col("id").alias("claim_id"), F.when(F.col("id") % 4 > 0, F.concat(F.lit("v"), (F.col("id") % 7).cast("string"))).alias("c"))
-    out = impute.ProportionalFill(column="c").fit(df).transform(df)
-    got = {r["claim_id"]: r["c"] for r in out.collect()}
+    got = {r["claim_id"]: r["c"] for r in impute.ProportionalFill(column="c").fit(df).transform(df).collect()}
     assert len(got) == 4000 and None not in got.values()
     known = {r["claim_id"]: r["c"] for r in df.filter("c is not null").collect()}
     assert all(got[k] == v for k, v in known.items())
-    monkeypatch.setattr(impute, "SHORT_LIST", 1000)
-    again = {r["claim_id"]: r["c"] for r in impute.ProportionalFill(column="c").fit(df).transform(df).collect()}
+    again = {r["claim_id"]: r["c"] for r in impute.ProportionalFill(column="c").fit(df).transform(df.repartition(7)).collect()}
     assert again == got
 
 
+def cell_masses(rows, k):
+    """Share of every value over all cells."""
+    out = {}
+    for r in rows:
+        out[r["fitted_value"]] = out.get(r["fitted_value"], 0) + r["fitted_share"] / k
+        out[r["fitted_other"]] = out.get(r["fitted_other"], 0) + (1 - r["fitted_share"]) / k
+    return out
+
+
+@pytest.mark.parametrize("counts", [[5], [1, 1, 1], [7, 1, 1, 1, 1, 1, 2, 30, 3], [1000, 1, 1000, 1, 1, 998], list(range(1, 60)), [1] * 20 + [400, 3, 3, 41]])
+def test_cells_hold_the_distribution(counts):
+    random.Random(sum(counts)).shuffle(counts)
+    rows = [dict(zip(("cell", "fitted_value", "fitted_other", "fitted_share"), r)) for r in impute._cells_on_driver(list(enumerate(counts)))]
+    assert sorted(r["cell"] for r in rows) == list(range(len(counts)))
+    assert all(0 < r["fitted_share"] <= 1 for r in rows)
+    masses = cell_masses(rows, len(counts))
+    assert all(masses[i] == pytest.approx(n / sum(counts), abs=1e-12) for i, n in enumerate(counts))
+
+
+@pytest.mark.parametrize("counts", [[1000, 1, 1000, 1, 1, 998, 7, 7], [1] * 20 + [400, 3, 3, 41]])
+def test_cells_of_long_lists_are_those_of_short_ones(spark, monkeypatch, counts):
+    monkeypatch.setattr(impute, "SHORT_LIST", 0)
+    k, table = impute.alias_cells(spark.createDataFrame(list(enumerate(counts)), "value int, n long"))
+    assert k == len(counts)
+    assert sorted(map(tuple, table.df.collect())) == sorted(impute._cells_on_driver(list(enumerate(counts))))
+
+
+def test_drawn_shares_are_those_of_the_training_rows(spark):
+    df = spark.range(60_000).select(F.col("id").alias("claim_id"), F.when(F.col("id") % 3 > 0, F.floor(F.sqrt(F.col("id") % 100))).alias("c"))
+    filled = impute.ProportionalFill(column="c", into="d").fit(df).transform(df)
+    shares = {r["d"]: (r["known"], r["drawn"]) for r in filled.groupBy("d").agg(F.count("c").alias("known"), F.count_if(F.col("c").isNull()).alias("drawn")).collect()}
+    for known, drawn in shares.values():
+        assert abs(drawn / 20_000 - known / 40_000) < 5 * (known / 40_000 / 20_000) ** 0.5
+
+
+def test_five_fills_scan_the_rows_once(spark, tmp_path):
+    rows = spark.range(500).select(F.col("id").alias("claim_id"), *[F.when(F.col("id") % 3 > 0, F.col("id") % (40 + i)).alias(f"c{i}") for i in range(5)])
+    rows.write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    for i in range(5):
+        df = impute.ProportionalFill(column=f"c{i}").fit(df).transform(df)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert len([line for line in plan.splitlines() if "Relation [claim_id#" in line]) == 1
+    assert "Union" not in plan
+    assert df.where(" or ".join(f"c{i} is null" for i in range(5))).count() == 0
+
+
+def test_a_stream_is_filled_as_a_batch_is(spark, tmp_path):
+    rows = spark.range(300).select(F.col("id").alias("claim_id"), F.when(F.col("id") % 3 > 0, F.col("id") % 40).alias("c"))
+    rows.write.parquet(str(tmp_path / "rows"))
+    model = impute.ProportionalFill(column="c").fit(rows)
+    stream = model.transform(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "rows")))
+    stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    got, want = spark.read.schema(rows.schema).parquet(str(tmp_path / "out")), model.transform(rows)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*rows.columns).collect()))
+
+
 def test_fit_sees_training_rows_only(spark):
     rows = [(i, float(i), "train" if i < 50 else "val") for i in range(100)]
     df = spark.createDataFrame(rows, "i int, x double, split string")
