@@ -161,6 +161,30 @@ def rank_ctes(source: str, columns: list[str]) -> dict[str, str]:
     return {"ranked": f"SELECT {ranks} FROM {source} WHERE {known}"}
 
 
+def _psi(x: str) -> str:
+    """Digamma of a whole number: harmonic numbers less Euler's constant."""
+    return f"(CASE WHEN {x} > 1 THEN list_sum(list_transform(range(1, {x}::BIGINT), lambda i: 1.0::DOUBLE / i)) ELSE 0 END - 0.5772156649015329)"
+
+
+@query(
+    "neighbour_mutual_information",
+    on_split(
+        f"SELECT feature, round(greatest(0, {_psi('max(total)')} + avg({_psi('least(3, size - 1)')} - {_psi('size')} - {_psi('m')})), 6) AS mutual_information FROM met GROUP BY feature",
+        long="SELECT claim_id, claim_type AS c, unnest(['age', 'wage', 'ime4_count']) AS feature, unnest([age::DOUBLE, wage::DOUBLE, ime4_count::DOUBLE]) AS x FROM train WHERE claim_type IS NOT NULL",
+        known="SELECT *, count(*) OVER (PARTITION BY feature, c) AS size FROM long WHERE x IS NOT NULL QUALIFY size > 1",
+        pairs="SELECT a.feature, a.claim_id, abs(b.x - a.x) AS d, row_number() OVER (PARTITION BY a.feature, a.claim_id ORDER BY abs(b.x - a.x)) AS i, a.size "
+        "FROM known a JOIN known b ON a.feature = b.feature AND a.c = b.c AND a.claim_id <> b.claim_id",
+        radius="SELECT feature, claim_id, d AS r FROM pairs WHERE i = least(3, size - 1)",
+        met="SELECT a.feature, a.claim_id, any_value(a.size) AS size, count(*) AS m, any_value(t.total) AS total FROM known a JOIN radius r USING (feature, claim_id) "
+        "JOIN known b ON b.feature = a.feature AND (CASE WHEN r.r > 0 THEN b.x > a.x - r.r AND b.x < a.x + r.r ELSE b.x = a.x END) "
+        "JOIN (SELECT feature, count(*) AS total FROM known GROUP BY feature) t ON t.feature = a.feature GROUP BY a.feature, a.claim_id",
+    ),
+)
+def neighbour_mutual_information(spark, sf):
+    train = split_claims(spark, sf).filter("split = 'train'")
+    return rounded(select.neighbour_mutual_information(train, ["age", "wage", "ime4_count"], "claim_type"), "mutual_information")
+
+
 @query(
     "spearman_matrix",
     on_split(

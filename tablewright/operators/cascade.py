@@ -7,6 +7,7 @@ threshold; rows are not split and joined again stage by stage.
 
 from __future__ import annotations
 
+import functools
 from typing import Any
 
 from pyspark.ml import Estimator, Model
@@ -29,8 +30,9 @@ from pyspark.sql import functions as F
 from tablewright.operators import metrics
 from tablewright.operators.clean import class_list
 from tablewright.operators.base import FittedModel
-from tablewright.operators.models import VECTOR, KnnClassifier, RidgeClassifier, fit_classifier, top_features
+from tablewright.operators.models import VECTOR, KnnClassifier, RidgeClassifier, fit_classifier, kept, top_features
 from tablewright.operators.neighbors import as_vectors, smote_tomek
+from tablewright.plans.side_by_side import PARALLEL, side_by_side
 
 # Fixed values.
 PLACEHOLDER = "pred_placeholder"
@@ -91,13 +93,15 @@ class CascadeClassifier(Estimator, DefaultParamsReadable, DefaultParamsWritable)
     ``features_common`` most important. Stages may be any model of ``MODEL_NAMES``; of ``knn`` and
     ``ridge`` the share or scaled value of the positive class is the score.
     A stage emits the name of its first positive class, or with ``emit='group'`` the
-    names joined by ``|``. ``thresholds`` may be changed on the fitted model.
+    names joined by ``|``. ``thresholds`` may be changed on the fitted model. At most ``parallelism``
+    stages are fitted at the same time; the models do not depend on it.
     """
 
     defaults: dict[str, Any] = {
         "groups": [], "features": [], "label": None, "key": "claim_id", "model": "forest", "model_args": {}, "thresholds": [0.5],
         "rest_model": None, "rest_args": {}, "emit": "first", "importance_args": {}, "seed": 42,
         "rare_below": RARE_BELOW, "smote_ratio": SMOTE_RATIO, "features_rare": FEATURES_RARE, "features_common": FEATURES_COMMON,
+        "parallelism": PARALLEL,
     }
 
     def __init__(self, **args: Any):
@@ -109,35 +113,55 @@ class CascadeClassifier(Estimator, DefaultParamsReadable, DefaultParamsWritable)
         self._set(args={**self.defaults, **args})
 
     def _fit(self, dataset: DataFrame) -> "CascadeModel":
+        """The plan is known before any fit, so the stages and the last model are fitted side by side."""
         a = self.getOrDefault(self.args)
-        label, key = a["label"], a["key"]
+        label, key, spark = a["label"], a["key"], dataset.sparkSession
         train = dataset.filter("split = 'train'") if "split" in dataset.columns else dataset
         classes = class_list(train, label)
+        plan = stage_plan(a["groups"], classes)
+        taken = {c for g in a["groups"] for c in g}
+        rest_classes = [c for c in classes if c not in taken]
+        with kept(train.select(key, label, *[f for f in a["features"] if f not in (key, label)]).na.drop(subset=a["features"])) as rows:
+            shares = _positive_shares(rows, label, plan)
+            for (positive, _), share in zip(plan, shares):
+                if not share or share == 1:
+                    raise ValueError(f"stage {positive} needs rows on both sides")
+            tasks = [functools.partial(_train_stage, rows, positive, rest, share < a["rare_below"], a) for (positive, rest), share in zip(plan, shares)]
+            if a["rest_model"]:
+                left = rows.filter(F.col(label).isin(*rest_classes))
+                tasks.append(lambda: fit_classifier(left, a["rest_model"], a["features"], label, rest_classes, **a["rest_args"]))
+            fitted = side_by_side(spark, tasks, a["parallelism"])
         stages, models = [], []
-        for positive, rest in stage_plan(a["groups"], classes):
-            rows = stage_rows(train, label, positive, rest).na.drop(subset=a["features"])
-            share = rows.agg(F.avg("binary_target")).first()[0]
-            if not share or share == 1:
-                raise ValueError(f"stage {positive} needs rows on both sides")
-            rare = share < a["rare_below"]
-            chosen = top_features(
-                rows, a["features"], "binary_target", a["features_rare"] if rare else a["features_common"], key=key, **a["importance_args"]
-            )
-            if rare:
-                grown = smote_tomek(as_vectors(rows, key, chosen, "binary_target"), "binary_target", 1, a["smote_ratio"], seed=a["seed"])
-                rows = grown.select(F.col("row_key").alias(key), "binary_target", *[F.col("vec")[i].alias(f) for i, f in enumerate(chosen)])
-            models.append(_fit_stage(rows, a["model"], chosen, key, a["model_args"]))
+        for (positive, rest), share, (chosen, model) in zip(plan, shares, fitted):
             name = positive[0] if a["emit"] == "first" else "|".join(positive)
-            stages.append({"label": name, "positive": positive, "rest": rest, "features": chosen, "resampled": rare})
-        rest_model = None
+            stages.append({"label": name, "positive": positive, "rest": rest, "features": chosen, "resampled": share < a["rare_below"]})
+            models.append(model)
         if a["rest_model"]:
-            taken = {c for g in a["groups"] for c in g}
-            rest_classes = [c for c in classes if c not in taken]
-            left = train.filter(F.col(label).isin(*rest_classes)).na.drop(subset=a["features"])
-            rest_model = fit_classifier(left, a["rest_model"], a["features"], label, rest_classes, **a["rest_args"])
+            models.append(fitted[-1])
             stages.append({"label": None, "positive": rest_classes, "rest": [], "features": a["features"], "resampled": False})
-        state = {"stages": stages, "thresholds": broadcast_thresholds(a["thresholds"], len(a["groups"])), "has_rest": rest_model is not None}
-        return CascadeModel(state, models + ([rest_model] if rest_model else []))
+        state = {"stages": stages, "thresholds": broadcast_thresholds(a["thresholds"], len(a["groups"])), "has_rest": bool(a["rest_model"])}
+        return CascadeModel(state, models)
+
+
+def _positive_shares(rows: DataFrame, label: str, plan: list[tuple[list[str], list[str]]]) -> list[float | None]:
+    """Share of the positive classes among the rows of each stage, from one pass."""
+    counted = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    shares: list[float | None] = []
+    for positive, rest in plan:
+        own, others = (sum(counted.get(c, 0) for c in of) for of in (set(positive), set(rest) - set(positive)))
+        shares.append(own / (own + others) if own + others else None)
+    return shares
+
+
+def _train_stage(train: DataFrame, positive: list[str], rest: list[str], rare: bool, a: dict[str, Any]) -> tuple[list[str], Model]:
+    """The features of a stage and its model."""
+    key = a["key"]
+    rows = stage_rows(train, a["label"], positive, rest)
+    chosen = top_features(rows, a["features"], "binary_target", a["features_rare"] if rare else a["features_common"], key=key, **a["importance_args"])
+    if rare:
+        grown = smote_tomek(as_vectors(rows, key, chosen, "binary_target"), "binary_target", 1, a["smote_ratio"], seed=a["seed"])
+        rows = grown.select(F.col("row_key").alias(key), "binary_target", *[F.col("vec")[i].alias(f) for i, f in enumerate(chosen)])
+    return chosen, _fit_stage(rows, a["model"], chosen, key, a["model_args"])
 
 
 def _fit_stage(rows: DataFrame, name: str, features: list[str], key: str, args: dict[str, Any]) -> Model:

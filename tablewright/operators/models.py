@@ -38,6 +38,7 @@ from tablewright.operators.neighbors import as_vectors, knn_vote
 from tablewright.operators.sample import stratified_sample
 from tablewright.operators.select import cumulative_cut
 from tablewright.plans.lookup import FittedTable
+from tablewright.plans.side_by_side import PARALLEL, side_by_side
 
 VECTOR = "features"
 TARGET = "target"
@@ -177,12 +178,16 @@ def fit_classifier(train: DataFrame, name: str, features: list[str], label: str,
         return classifier(name, len(classes), len(features), weight, **args).fit(data)
 
 
-def model_sweep(train: DataFrame, rows: DataFrame, models: dict[str, dict[str, Any]], features: list[str], label: str, key: str) -> DataFrame:
-    """Scored rows, accuracy and macro F1 of each model: one row per model."""
+def model_sweep(
+    train: DataFrame, rows: DataFrame, models: dict[str, dict[str, Any]], features: list[str], label: str, key: str, parallelism: int = PARALLEL
+) -> DataFrame:
+    """Scored rows, accuracy and macro F1 of each model: one row per model. Models are fitted side by side."""
+    with kept(train) as data:
+        tasks = [functools.partial(fit_predict, data, rows, name, features, label, key, **args) for name, args in models.items()]
+        predicted = side_by_side(train.sparkSession, tasks, parallelism)
     out = None
-    for name, args in models.items():
-        predicted = fit_predict(train, rows, name, features, label, key, **args)
-        scores = metrics.class_scores(predicted, label, "prediction")
+    for name, found in zip(models, predicted):
+        scores = metrics.class_scores(found, label, "prediction")
         row = scores.agg(
             F.lit(name).alias("model"),
             F.sum("support").cast("long").alias("n_rows"),
@@ -432,7 +437,7 @@ def recursive_elimination(train: DataFrame, features: list[str], label: str, key
             rows = assembled(data, remaining, TARGET, "fold")
             model = classifier("logistic", len(classes), **args)
             search = CrossValidator(
-                estimator=model, estimatorParamMaps=[{}], evaluator=evaluator, numFolds=FOLDS, foldCol="fold", parallelism=1
+                estimator=model, estimatorParamMaps=[{}], evaluator=evaluator, numFolds=FOLDS, foldCol="fold", parallelism=FOLDS
             ).fit(rows)
             sizes = abs(search.bestModel.coefficientMatrix.toArray()).sum(axis=0)
             weakest = remaining[int(sizes.argmin())]
@@ -441,6 +446,19 @@ def recursive_elimination(train: DataFrame, features: list[str], label: str, key
     return spark.createDataFrame(steps, "n_features int, accuracy double, dropped string")
 
 
+def best_size(path: DataFrame) -> int:
+    """The number of features with the highest accuracy, the fewest of equals; 0 for an empty path."""
+    best = path.orderBy(F.desc("accuracy"), "n_features").first()
+    return best["n_features"] if best else 0
+
+
+def eliminated_features(train: DataFrame, features: list[str], label: str, key: str, **args: Any) -> tuple[int, list[str]]:
+    """The best number of features, and the features that an elimination down to it leaves."""
+    path = recursive_elimination(train, features, label, key, **args)
+    n = best_size(path)
+    return n, features_after_elimination(path, n)
+
+
 def features_after_elimination(path: DataFrame, n: int) -> list[str]:
     """The ``n`` features that stay longest; ``path`` has one row per feature."""
     return [r["dropped"] for r in path.filter(F.col("n_features") <= n).orderBy("n_features").collect()]

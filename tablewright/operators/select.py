@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablewright.functions.expressions import digamma
 from tablewright.operators.clean import class_list
 from tablewright.plans.lookup import WEIGHT, FittedTable, attach
 from tablewright.plans.prefix import running_sums
@@ -17,6 +18,10 @@ from tablewright.plans.quantiles import exact_quantiles
 from tablewright.session import cut_lineage
 
 
+#: Rows whose neighbours are looked for together.
+NEIGHBOUR_BLOCK = 8_192
+
+
 def _upper_tail(x: float, dof: int) -> float:
     """P(chi-square with a whole number of degrees of freedom > x)."""
     if dof <= 0 or x != x:
@@ -162,6 +167,76 @@ def binned_mutual_information(df: DataFrame, features: list[str], label: str, n_
     return association_report(binned, features, label).select("feature", "mutual_information")
 
 
+def _distances(counts: DataFrame, k: int) -> DataFrame:
+    """``counts`` (feature, class, value, n, size) with ``radius``: the distance of a value's k-th neighbour in its class.
+
+    Blocks are cut by rank; a block also gets the k rows before and after it, so every row meets its
+    neighbours without its class coming together. Of a class with k rows or fewer the farthest row counts.
+    """
+    ordered = running_sums(counts.withColumn("one", F.lit(1)), [F.asc("feature"), F.asc("class"), F.asc("value")], ["one"])
+    at = F.col("one_upto")
+    first, last = (F.floor((at + shift) / F.lit(NEIGHBOUR_BLOCK)) for shift in (-k, k))
+    placed = ordered.withColumn("block", F.explode(F.sequence(first, last)))
+    near = Window.partitionBy("block").orderBy("one_upto")
+    around = []
+    for i in range(1, k + 1):
+        for side in (F.lag, F.lead):
+            same = side("feature", i).over(near).eqNullSafe(F.col("feature")) & side("class", i).over(near).eqNullSafe(F.col("class"))
+            around.append(F.when(same, F.struct(F.abs(side("value", i).over(near) - F.col("value")).alias("d"), side("n", i).over(near).alias("n"))))
+    own = F.struct(F.lit(0.0).alias("d"), (F.col("n") - 1).alias("n"))
+    known = placed.withColumn("around", F.array_sort(F.filter(F.array(own, *around), lambda x: x.isNotNull())))
+    known = known.where(F.col("block") == F.floor(at / F.lit(NEIGHBOUR_BLOCK)))
+    start = F.struct(F.lit(0).cast("long").alias("met"), F.lit(0.0).alias("d"))
+    enough = F.least(F.lit(k), F.col("size") - 1)
+    kth = F.aggregate("around", start, lambda s, x: F.when(s["met"] >= enough, s).otherwise(F.struct((s["met"] + x["n"]).alias("met"), x["d"].alias("d"))))
+    return known.select("feature", "class", "value", "n", "size", kth["d"].alias("radius"))
+
+
+def neighbour_mutual_information(df: DataFrame, features: list[str], label: str, k: int = 3) -> DataFrame:
+    """(feature, mutual_information) of numbers with a class, by nearest neighbours, in nats and at least 0.
+
+    For a row, r is the distance of its k-th nearest row of the same class (the farthest, if there are fewer) and m the
+    number of rows v of any class with x - r < v < x + r, itself included (v = x where r is 0). With N rows and n of the row's
+    class, the estimate is digamma(N) + mean(digamma(min(k, n - 1)) - digamma(n) - digamma(m)). Nothing is
+    drawn at random to part ties. Rows without a number or class, and classes of one row, are left out by column; a column
+    without rows left gets null.
+
+    Equal values are counted first. m is the difference of two running counts, at x + r and x - r, read from one order
+    of all columns' values and bounds.
+    """
+    long = df.select(F.col(label).alias("class"), *[F.col(c).cast("double").alias(c) for c in features]).unpivot(["class"], features, "feature", "value")
+    long = long.filter(F.col("class").isNotNull() & F.col("value").isNotNull() & ~F.isnan("value"))
+    counts = cut_lineage(long.groupBy("feature", "class", "value").agg(F.count("*").alias("n")))
+    # One row per feature and class.
+    sizes = FittedTable.of(counts.groupBy(F.col("feature"), F.col("class")).agg(F.sum("n").alias("size")))
+    sized = attach(counts, sizes, {"feature": "feature", "class": "class"}).where(F.col("size") > 1)
+    rows = cut_lineage(_distances(sized, k))
+
+    x, r = F.col("value"), F.col("radius")
+    # At one place, a bound that leaves the value out comes before it (0), one that takes it in after it (2).
+    low = F.struct((x - r).alias("at"), F.when(r > 0, 2).otherwise(0).alias("side"))
+    high = F.struct((x + r).alias("at"), F.when(r > 0, 0).otherwise(2).alias("side"))
+    bounds = rows.select("feature", F.explode(F.array(low, high)).alias("bound"), F.lit(0).cast("long").alias("n")).distinct()
+    values = rows.groupBy("feature", F.col("value")).agg(F.sum("n").alias("n")).select("feature", F.struct(x.alias("at"), F.lit(1).alias("side")).alias("bound"), "n")
+    upto = running_sums(bounds.unionByName(values), [F.asc("feature"), F.asc("bound")], ["n"]).where(F.col("bound.side") != 1)
+    upto = cut_lineage(upto.select("feature", F.col("bound.at").alias("at"), F.col("bound.side").alias("side"), F.col("n_upto").alias("upto")))
+
+    def counted(rows: DataFrame, bound: Column, name: str) -> DataFrame:
+        asked = rows.withColumn("asked", bound)
+        table = FittedTable(upto.withColumnRenamed("upto", name))
+        asked = asked.withColumns({"asked_at": F.col("asked.at"), "asked_side": F.col("asked.side")}).drop("asked")
+        return attach(asked, table, {"feature": "feature", "asked_at": "at", "asked_side": "side"}).drop("asked_at", "asked_side")
+
+    met = counted(counted(rows, low, "below"), high, "upto_high")
+    n = F.col("n").cast("double")
+    fewest = F.least(F.lit(k), F.col("size") - 1).cast("double")
+    terms = digamma(fewest) - digamma(F.col("size").cast("double")) - digamma((F.col("upto_high") - F.col("below")).cast("double"))
+    found = met.groupBy("feature").agg(F.sum("n").cast("double").alias("total"), F.sum(n * terms).alias("terms"))
+    estimate = F.greatest(F.lit(0.0), digamma(F.col("total")) + F.col("terms") / F.col("total"))
+    listed = df.sparkSession.createDataFrame([(c,) for c in features], "feature string")
+    return listed.join(found.select("feature", estimate.alias("mutual_information")), "feature", "left")
+
+
 def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
     """(feature, value, n, avg_rank) for the distinct values of all columns at once."""
     doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
