@@ -393,11 +393,15 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: flo
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, one of each connected group: that with the smallest id, all columns as they are.
 
-    Rows equal in id and text are one document. Texts without words all stay.
+    Rows equal in id and text are one document. Texts without words (null, empty, blanks) are copies of each other:
+    the one with the smallest id stays.
     """
+    wordless = ~F.coalesce(F.col(text_col), F.lit("")).rlike("[^ \\t\\n\\f\\r]")
+    one_wordless = docs.where(wordless).orderBy(F.col(id_col).asc_nulls_last(), F.xxhash64(text_col)).limit(1)
+    docs = docs.where(~wordless)
     stays = _grouped(docs, threshold, recall, id_col, text_col).where("stays").select(F.col("id").alias("stays_id"), F.col("h").alias("stays_h")).distinct()
     named = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     place = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     key, h = F.col(place[id_col]).cast("long"), F.xxhash64(place[text_col])
     rows = named.join(stays, key.eqNullSafe(F.col("stays_id")) & (h == F.col("stays_h")))
-    return rows.dropDuplicates(["stays_id", "stays_h"]).drop("stays_id", "stays_h").toDF(*docs.columns)
+    return rows.dropDuplicates(["stays_id", "stays_h"]).drop("stays_id", "stays_h").toDF(*docs.columns).unionByName(one_wordless)

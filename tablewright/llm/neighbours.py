@@ -5,8 +5,8 @@ strings. A query descends in all trees at once to its longest prefix matches and
 one bit at a time in all trees together, until it has gathered enough candidates; these are
 scored exactly, in double precision.
 
-Vectors are dealt to shards at random, each of bounded size with a forest of its own, and the
-stated queries stream through every shard in blocks. Equal vectors are stored once, with as
+Vectors of one length are dealt to shards at random, each of bounded size with a forest of its own, and the
+stated queries stream through every shard of their length in blocks. Equal vectors are stored once, with as
 many of their smallest ids as any answer can need. How many candidates are enough is measured:
 a bounded sample of queries is compared with brute force over all vectors, and the
 count is set so that the wanted share of their true neighbours is met.
@@ -19,7 +19,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.session import cut_lineage
@@ -32,15 +33,21 @@ SHARD_LEAST = 2_048
 SAMPLE = 64
 TARGET_RECALL = 0.97
 SEED = 10
+#: Far more than rounding can change a cosine in double precision.
+ROUNDING = 1e-9
 
 
 def valid_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, vec) of rows that take part: id known, every component finite, not all zero, of the commonest length."""
+    """(id, vec) of rows that take part: id known, every component finite, not all zero."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
     bad = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == math.inf))
-    rows = rows.where(F.col("id").isNotNull() & F.col("vec").isNotNull()).where(~F.coalesce(bad, F.lit(False)) & F.exists("vec", lambda x: x != 0))
-    lengths = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return rows.where(F.size("vec") == (lengths[0]["n"] if lengths else 0))
+    rows = rows.where(F.col("id").isNotNull() & F.col("vec").isNotNull())
+    return rows.where(~F.coalesce(bad, F.lit(False)) & F.exists("vec", lambda x: x != 0))
+
+
+def shard_of(vec: Column, shards: int) -> Column:
+    """Shards of one length follow each other."""
+    return (F.size(vec).cast("long") * shards + F.pmod(F.xxhash64(vec), F.lit(shards))).alias("shard")
 
 
 def collapse(rows: DataFrame, keep: int) -> DataFrame:
@@ -147,28 +154,31 @@ def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, l
 def _sharded(index: DataFrame, queries: DataFrame, shards: int) -> DataFrame:
     """Index rows and, after them, all queries, for every shard."""
     none = F.lit(None)
-    rows = index.select(F.pmod(F.xxhash64("vec"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("is_query"), none.cast("long").alias("id"), "vec", "ids")
-    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("is_query"), "id", "vec", none.cast("array<long>").alias("ids"))
+    rows = index.select(shard_of(F.col("vec"), shards), F.lit(False).alias("is_query"), none.cast("long").alias("id"), "vec", "ids")
+    asked = queries.select(F.explode(F.sequence(F.size("vec").cast("long") * shards, F.size("vec").cast("long") * shards + (shards - 1))).alias("shard"), F.lit(True).alias("is_query"), "id", "vec", none.cast("array<long>").alias("ids"))
     return rows.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "is_query", "id")
 
 
 def _brute_force(index: DataFrame, sample: list, k: int) -> list[tuple[int, list[float]]]:
     """The k nearest distinct vectors of each sampled query: (number of the query, vector)."""
-    asked = np.array([r["vec"] for r in sample])
+    asked = [np.array(r["vec"]) for r in sample]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            vectors = _vectors(batch.column("vec"))
+            sizes = pc.list_value_length(batch.column("vec")).to_numpy(zero_copy_only=False)
             out = ([], [], [])
-            for no, query in enumerate(asked):
-                scores = cosines(vectors, query)
-                scores[[i == [sample[no]["id"]] for i in batch.column("ids").to_pylist()]] = -2
-                for row in np.argsort(-scores, kind="stable")[:k].tolist():
-                    if scores[row] >= -1.5:
-                        for column, value in zip(out, (no, float(scores[row]), vectors[row].tolist())):
-                            column.append(value)
+            for size in np.unique(sizes).tolist():
+                part = batch.filter(pa.array(sizes == size))
+                vectors, ids = _vectors(part.column("vec")), part.column("ids").to_pylist()
+                for no, query in enumerate(asked):
+                    if len(query) != size:
+                        continue
+                    scores = cosines(vectors, query)
+                    scores[[i == [sample[no]["id"]] for i in ids]] = -2
+                    for row in np.argsort(-scores, kind="stable")[:k].tolist():
+                        if scores[row] >= -1.5:
+                            for column, value in zip(out, (no, float(scores[row]), vectors[row].tolist())):
+                                column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.list_(pa.float64()))], ["no", "score", "vec"])
 
     best = Window.partitionBy("no").orderBy(F.desc("score"), "vec")
@@ -188,7 +198,8 @@ def enough_matches(index: DataFrame, queries: DataFrame, shards: int, k: int, ta
     spark = index.sparkSession
     # sample * k rows: a query and one of its true neighbours
     pairs = spark.createDataFrame([(no, chosen[no]["vec"] + vec) for no, vec in truth], "id long, vec array<double>")
-    pairs = pairs.withColumn("home", F.pmod(F.xxhash64(F.slice("vec", F.size("vec") / 2 + 1, F.size("vec") / 2)), F.lit(shards)).cast("int"))
+    half = (F.size("vec") / 2).cast("int")
+    pairs = pairs.withColumn("home", shard_of(F.slice("vec", half + 1, half), shards))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for vectors, _, asked in _by_shard(batches):
@@ -207,7 +218,7 @@ def enough_matches(index: DataFrame, queries: DataFrame, shards: int, k: int, ta
                 yield pa.RecordBatch.from_arrays([pa.array(shares, pa.float64())], ["share"])
 
     none = F.lit(None)
-    rows = index.select(F.pmod(F.xxhash64("vec"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("is_query"), none.cast("long").alias("id"), "vec", "ids")
+    rows = index.select(shard_of(F.col("vec"), shards), F.lit(False).alias("is_query"), none.cast("long").alias("id"), "vec", "ids")
     asked = pairs.select(F.col("home").alias("shard"), F.lit(True).alias("is_query"), "id", "vec", none.cast("array<long>").alias("ids"))
     placed = rows.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "is_query", "id")
     shares = [r["share"] for r in placed.mapInArrow(measure, "share double").collect()]
@@ -218,9 +229,9 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 5, target_recall: float
     """query_id, rank (from 1), vec_id, score: the k nearest rows found for each query row.
 
     Candidates are all rows of ``df`` but those of the query's own id. Ties go to the smaller id; with
-    fewer than k candidates all are returned. Rows whose id is null or whose vector is null, zero,
-    holds a null or non-finite component or has not the commonest length take no part, as query or
-    candidate. Repeated rows count once. Other columns are ignored; an empty table gives no rows.
+    fewer than k candidates all are returned. Rows whose id is null or whose vector is null, zero
+    or holds a null or non-finite component take no part, as query or
+    candidate. Vectors of different lengths do not meet. Repeated rows count once. Other columns are ignored; an empty table gives no rows.
     """
     spark = df.sparkSession
     index = cut_lineage(collapse(valid_vectors(df, id_col, vec_col), k + 1))
@@ -243,9 +254,10 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 5, target_recall: float
                     out = ([], [], [], [])
                     for i, own in enumerate(part.column("id").to_pylist()):
                         rows = forest.candidates(begins[i], ends[i], share * TREES * forest.n)
-                        rough = forest.unit[rows] @ wanted[i]
-                        # The query itself may be among them; the spare ones cover rounding.
-                        rows = rows[np.argsort(-rough, kind="stable")[: 2 * k + 8]]
+                        rough = forest.unit[rows] @ (wanted[i] / np.linalg.norm(wanted[i]))
+                        # One of the k + 1 best may be the query itself. All that rounding could bring among them are scored exactly.
+                        if len(rows) > k + 1:
+                            rows = rows[rough >= np.partition(rough, len(rows) - k - 1)[len(rows) - k - 1] - ROUNDING]
                         scores = cosines(vectors[rows], wanted[i])
                         found = sorted((-s, j) for s, r in zip(scores.tolist(), rows.tolist()) for j in ids[r] if j != own)[:k]
                         for minus, j in found:

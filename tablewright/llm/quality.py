@@ -2,8 +2,8 @@
 
 Two zstandard dictionaries are built, from good and from bad labelled texts. A text that reads
 like the good ones shrinks more with the good dictionary; the difference of its two compressed
-sizes, divided by its length, is the evidence. A logistic curve over that difference, the better
-compressed share (repetition makes it tiny) and the length, fitted on labelled rows that
+sizes, divided by its length, is the evidence. A logistic curve over that difference and the better
+compressed share (repetition makes it tiny), fitted on labelled rows that
 are not in the dictionaries, turns it into a calibrated probability of the good label.
 """
 
@@ -15,13 +15,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bounds of the labelled sample: documents per class for a dictionary, slices of a document, documents for calibration.
+#: Bounds of the labelled sample: documents and characters per class for a dictionary, documents for calibration.
+#: Documents are taken whole until either bound is reached.
 DICTIONARY_DOCS = 2_000
-SLICES, SLICE_CHARS = 8, 1_024
+DICTIONARY_CHARS = 32_000_000
 CALIBRATION_DOCS = 10_000
+#: A text is given to the training of a dictionary in slices, all of them.
+SLICE_CHARS = 1_024
 DICTIONARY_BYTES = 262_144
 LEVEL = 3
 THRESHOLD = 0.3
@@ -73,7 +76,7 @@ class Sizes:
         n = sizes[:, 2] + 1
         difference = (sizes[:, 1] - sizes[:, 0]) / n
         share = np.minimum(sizes[:, 0], sizes[:, 1]) / n
-        return np.column_stack([difference, share, np.log(n), share * share, difference * share])
+        return np.column_stack([difference, share, share * share, difference * share])
 
 
 def build_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
@@ -117,12 +120,16 @@ def _sample(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
     return picked[0].unionByName(picked[1]).unionByName(picked[2])
 
 
-def _slices(text: Column) -> Column:
-    """Up to ``SLICES`` slices spread evenly over the whole text."""
-    n = F.greatest(F.ceil(F.length(text) / SLICE_CHARS), F.lit(1)).cast("int")
-    taken = F.least(n, F.lit(SLICES))
-    at = F.transform(F.sequence(F.lit(0), taken - 1), lambda i: F.when(taken > 1, F.round(i * (n - 1) / F.greatest(taken - 1, F.lit(1)))).otherwise(0).cast("int"))
-    return F.transform(at, lambda i: F.substring(text, i * SLICE_CHARS + 1, F.lit(SLICE_CHARS)))
+def _slices(text: str) -> list[bytes]:
+    return [text[at : at + SLICE_CHARS].encode() for at in range(0, len(text), SLICE_CHARS)]
+
+
+def _dictionary_texts(sampled: DataFrame) -> DataFrame:
+    """id, label, text of the dictionaries' documents: in the order of the sample until ``DICTIONARY_CHARS`` are reached."""
+    # At most DICTIONARY_DOCS ids per label.
+    before = Window.partitionBy("label").orderBy(F.xxhash64(F.col("id"), F.lit("quality")), "id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
+    chosen = sampled.where("use = 'dictionary'").withColumn("before", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)))
+    return chosen.where(F.col("before") < DICTIONARY_CHARS).select("id", "label", "text")
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
@@ -137,10 +144,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     chosen = spark.createDataFrame(_sample(labels, id_col, label_col).collect(), "id long, label int, use string")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sampled = rows.join(F.broadcast(chosen), "id")
-    slices = sampled.where("use = 'dictionary'").select("id", "label", _slices(F.col("text")).alias("slices")).orderBy("id").collect()
-    by_label = {0: [], 1: []}
-    for r in slices:
-        by_label[r["label"]] += [s.encode() for s in r["slices"] if s]
+    by_label: dict[int, list[bytes]] = {0: [], 1: []}
+    for r in _dictionary_texts(sampled).orderBy("id", "text").toLocalIterator():
+        by_label[r["label"]] += _slices(r["text"])
     counts = [len(by_label[0]), len(by_label[1])]
     known = chosen.groupBy("label").count().collect()
     total = sum(r["count"] for r in known)

@@ -50,9 +50,9 @@ pats(kind, rank, p) AS (VALUES
   ('assign', 1, '(?i)(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+'),
   ('access', 2, 'AKIA[A-Z0-9]{12,}'),
   ('hex', 3, '[0-9a-f]{32,}'),
-  ('identifier', 4, '(?i)(?:\b(?:user(?:name)?|login|account|client_id|access_key_id)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9_.@+-]{3,64})|(?:[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8})'),
+  ('identifier', 4, '(?i)(?:\b(?:user(?:name)?|login|account|client_id|access_key_id)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9_.@+-]{3,})|(?:[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)'),
   ('secret', 5, '[A-Za-z0-9+/_=-]{20,}'),
-  ('endpoint', 6, '(?i)(?:[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\s"''<>]{1,1000})|(?:\b(?:host|hostname|endpoint|server)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9_.:-]{3,255})|(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{1,5})?)'),
+  ('endpoint', 6, '(?i)(?:[0-9+.-]*[A-Za-z][A-Za-z0-9+.-]+://[^\x09-\x0D\x20"''<>]+)|(?:\b(?:host|hostname|endpoint|server)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9_.:-]{3,})|(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{1,5})?)'),
   ('break', 0, '\n[ \t\r]*\n')),
 raw AS (SELECT doc_id, kind, rank, string_split_regex(t, p) AS g, regexp_extract_all(t, p) AS m FROM docs CROSS JOIN pats),
 hit AS (SELECT doc_id, kind, rank, unnest(range(1, len(m) + 1)) AS no, g, m FROM raw WHERE len(m) > 0),

@@ -22,15 +22,15 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 ASSIGN_MIN = 8
 
-# Weak parts. A look-behind and bounded or possessive repeats keep the scan linear in long runs.
+# Weak parts, of any length. Look-behinds and possessive repeats keep the scan linear in long runs.
 IDENTIFIER = (
-    r"""(?i)(?:\b(?:user(?:name)?|login|account|client_id|access_key_id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@+-]{3,64}+)"""
-    r"""|(?:(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,8})"""
+    r"""(?i)(?:\b(?:user(?:name)?|login|account|client_id|access_key_id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@+-]{3,}+)"""
+    r"""|(?:(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++)"""
 )
 ENDPOINT = (
-    r"""(?i)(?:(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\s"'<>]{1,2000}+)"""
-    r"""|(?:\b(?:host|hostname|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.:-]{3,255}+)"""
-    r"""|(?:(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{1,5})?(?![0-9.]))"""
+    r"""(?i)(?:(?<![A-Za-z0-9+.-])[0-9+.-]*+[A-Za-z][A-Za-z0-9+.-]++://[^\x09-\x0D\x20"'<>]++)"""
+    r"""|(?:\b(?:host|hostname|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.:-]{3,}+)"""
+    r"""|(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{1,5})?)"""
 )
 SECRET = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 BREAK = r"\n[ \t\r]*\n"

@@ -415,6 +415,28 @@ def test_neighbours_with_copies_and_bad_vectors(spark):
     assert [(r["query_id"], r["vec_id"], r["rank"]) for r in neighbours.nearest_by_rule(two).collect()] == [(0, 7, 1)]
 
 
+def test_all_ties_of_scaled_copies_are_seen(spark):
+    # More vectors of one direction than any answer needs, with ids that do not follow the order of the vectors.
+    ids = list(range(1, 60))
+    random.Random(7).shuffle(ids)
+    rows = [(0, [0.5, -1.5, 2.0])] + [(i, [x * 2.0**n for x in (0.5, -1.5, 2.0)]) for n, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["query_id"], r["rank"], r["vec_id"]) for r in neighbours.nearest_by_rule(df).collect()]
+    assert sorted(r for r in got if r[0] == 0) == [(0, rank, rank) for rank in range(1, 6)]
+    assert sorted(r[2] for r in got if r[0] == 50) == [0, 1, 2, 3, 4]
+
+
+def test_every_length_is_searched(spark):
+    rng = np.random.default_rng(9)
+    short, long = ([(i, v.tolist()) for i, v in zip(ids, rng.standard_normal((len(ids), dim)))] for ids, dim in ((range(0, 40), 3), (range(50, 151), 7)))
+    df = spark.createDataFrame(short + long, "vec_id long, embedding array<double>")
+    want = brute_neighbours(short, 5) | brute_neighbours(long, 5)
+    got = {}
+    for r in sorted(neighbours.nearest_by_rule(df).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == {q: [i for i, _ in found] for q, found in want.items()} and set(got) == {0, 50, 100, 150}
+
+
 def test_sequences_follow_the_mixing_schedule_after_a_reread(spark, uncoalesced, monkeypatch):
     """The longest texts come last, so readers, who take large files first, change the order of the files."""
     monkeypatch.setattr(packing, "STRETCH_TOKENS", 4_096)

@@ -200,6 +200,24 @@ def test_line_dedup_spreads_a_frequent_passage(spark):
     assert all(rows[i] == f"intro {i}\nend {i}" for i in range(1, 3_000))
 
 
+def test_long_parts_are_linked(spark):
+    address = "https://example.org/" + "xy" * 1_500
+    mail = "m" * 70 + "@example.org"
+    weak = "Abcdefghij0123456789Z"
+    rows = [(1, f"{address} {weak}", None), (2, f"{mail} {weak}", None), (3, "user=" + "u" * 300 + " " + weak, None), (4, "host: " + "h" * 700 + " " + weak, None), (5, "x" * 40 + "://" + "y" * 10 + " " + weak, None)]
+    got = {r["doc_id"]: r["spans"] for r in find_secrets(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i, kind in ((1, "endpoint"), (2, "identifier"), (3, "identifier"), (4, "endpoint"), (5, "endpoint")):
+        text = dict((r[0], r[1]) for r in rows)[i]
+        end = len(text) - len(weak) - 1
+        assert got[i] == f"{kind}:0:{end},secret:{end + 1}:{len(text)}"
+
+
+def test_long_runs_are_scanned_in_linear_time(spark):
+    runs = ["a" * 200_000, "1a" * 100_000, "a." * 100_000, "a@" * 100_000, "1.2." * 50_000, "a+1-" * 50_000, "user=" * 40_000]
+    rows = [(i, t, None) for i, t in enumerate(runs)]
+    assert find_secrets(spark.createDataFrame(rows, SCHEMA)).count() == len(runs)
+
+
 # Quality
 
 
@@ -214,6 +232,66 @@ def test_quality_on_held_out_rows(spark):
     assert np.mean([r["predicted"] for r in held if labels[r["doc_id"]] == 1]) > 0.95
 
 
+def plain_quality(docs, labels):
+    """Scores rebuilt without Spark: dictionaries, sizes and the optimum of the curve."""
+    import zstandard
+
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    pools = {0: [], 1: []}
+    for i in sorted(labels):
+        if fold(i) in (1, 2, 3) and i in docs:
+            pools[labels[i]] += [docs[i][a : a + 1_024].encode() for a in range(0, len(docs[i]), 1_024)]
+    made = []
+    for label in (1, 0):
+        pool = [pools[label][j] for j in np.random.default_rng(5).permutation(len(pools[label]))]
+        try:
+            data = zstandard.train_dictionary(262_144, pool).as_bytes()
+        except zstandard.ZstdError:
+            data = b"".join(pool)[:262_144]
+        trained = zstandard.ZstdCompressionDict(data)
+        made.append(zstandard.ZstdCompressor(level=3, dict_data=trained, write_content_size=False, write_checksum=False, write_dict_id=False))
+
+    def inputs(text):
+        data = text.encode()
+        good, bad = (len(c.compress(data)) for c in made)
+        d, s = (bad - good) / (len(data) + 1), min(good, bad) / (len(data) + 1)
+        return [d, s, s * s, d * s]
+
+    learnt = [i for i in sorted(labels) if fold(i) == 4 and i in docs]
+    x, y = np.array([inputs(docs[i]) for i in learnt]), np.array([labels[i] for i in learnt], float)
+    centre, spread = x.mean(0), x.std(0) + 1e-9
+    x = np.column_stack([np.ones(len(x)), (x - centre) / spread])
+    w = np.zeros(x.shape[1])
+    for _ in range(20_000):
+        # Steps along the gradient, short enough for the steepest curvature.
+        w += (x.T @ (y - 1 / (1 + np.exp(-x @ w))) - 0.1 * w) / (0.25 * np.linalg.eigvalsh(x.T @ x)[-1] + 0.1)
+    return {i: float(1 / (1 + np.exp(-(w[0] + (np.array(inputs(t)) - centre) / spread @ w[1:])))) for i, t in docs.items()}
+
+
+def test_quality_equals_a_plain_rebuild(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    want = plain_quality({r["doc_id"]: r["text"] or "" for r in docs.collect()}, {r["doc_id"]: r["quality"] for r in labels.collect()})
+    got = {r["doc_id"]: r["score"] for r in quality.quality_table(docs, labels).collect()}
+    assert set(got) == set(want) and max(abs(got[i] - want[i]) for i in want) < 1e-6
+
+
+def test_long_texts_are_learnt_whole(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "build_dictionary", lambda samples: seen.append(b"".join(sorted(samples))) or b"x" * 100)
+    text = "".join(f"word{i} " for i in range(5_000))
+    rows = [(i, text if i == 3 else f"short {i}", "s") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40) if zlib.crc32(str(i).encode()) % 5 in (1, 2, 3) or i == 3], "doc_id long, quality int")
+    assert zlib.crc32(b"3") % 5 in (1, 2, 3)
+    quality.fit_quality(spark.createDataFrame(rows, SCHEMA), labels)
+    assert max(map(len, seen)) >= len(text)
+    # The bound on characters leaves out whole texts.
+    monkeypatch.setattr(quality, "DICTIONARY_CHARS", 1)
+    seen.clear()
+    quality.fit_quality(spark.createDataFrame(rows, SCHEMA), labels)
+    assert all(s.decode() in [r[1] for r in rows] or s == b"".join(sorted(quality._slices(text))) for s in seen)
+
+
 def test_quality_does_not_learn_from_held_out_rows(spark):
     sf_dir = "/root/testdata/sf0.001"
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
