@@ -303,6 +303,17 @@ def nearest_neighbors(spark, sf):
     return out.select("row_key", "rank", "neighbor_key", "neighbor_label", F.round("distance", 6).alias("distance"))
 
 
+@query(
+    "nearest_by_codes",
+    with_sql("SELECT row_key, CAST(rank AS INT) AS rank, neighbor_key, neighbor_label, round(distance, 6) AS distance FROM nn", **nearest_sql(5)),
+)
+def nearest_by_codes(spark, sf):
+    """All 64 dimensions, cells of a few hundred rows: other cells are scanned as codes of six bits a dimension."""
+    rows = vectors(spark, sf)
+    out = neighbors.nearest(rows, rows, 5, ["label"], cell_rows=256, bits=6)
+    return out.select("row_key", "rank", "neighbor_key", "neighbor_label", F.round("distance", 6).alias("distance"))
+
+
 @query(
     "tomek_links",
     with_sql(

@@ -7,7 +7,9 @@ nearer than its own bound. Base rows are never copied to other cells, and an out
 nobody's search but its own. Cells are cut into blocks of bounded size, a block keeps k candidates
 per query row, and vectors of neighbours are joined after the last merge.
 
-In many dimensions boxes exclude little, and the exact search approaches all pairs: ``probes`` then
+In many dimensions boxes exclude little. With ``bits`` other cells are then searched by a table of
+approximations (one byte per dimension, ``operators/vector_codes.py``): what travels and is scanned are codes,
+and only vectors that the bounds cannot exclude are fetched, each moved once. The result stays exact. ``probes``
 limits the cells searched per row to the nearest ones, which makes the result approximate.
 
 Copies of one vector need no more than k + 1 of their keys as candidates, so a vector
@@ -21,11 +23,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.hashing import hash_uniform
+from tablewright.operators import vector_codes
 from tablewright.operators.sample import random_sample
 from tablewright.session import cut_lineage
 
@@ -151,6 +154,26 @@ def _in_cells(rows: DataFrame, tree: CellTree) -> DataFrame:
     return rows.withColumn("cell", locate("vec"))
 
 
+def _meetings(sent: DataFrame, placed: DataFrame, blocks: DataFrame, sent_columns: list[str], placed_columns: list[str]) -> tuple[GroupedData, GroupedData]:
+    """Every block of the sent rows (columns ``q_<name>``) with every block of the base rows of its cell, to be cogrouped."""
+    own = F.pmod(F.xxhash64(F.col("row_key")), F.lit(1 << 30))
+    counted = sent.groupBy("cell").agg(F.count("*").alias("n"))
+    layout = blocks.join(counted, "cell").select("cell", "b_blocks", F.ceil(F.col("n") / BLOCK).cast("int").alias("q_blocks"))
+    q_side = (
+        sent.join(layout, "cell")
+        .withColumn("q_block", (own % F.col("q_blocks")).cast("int"))
+        .withColumn("b_block", F.explode(F.sequence(F.lit(0), F.col("b_blocks") - 1)))
+        .select(F.col("cell").alias("q_cell"), "q_block", F.col("b_block").alias("q_b_block"), *[F.col(c).alias(f"q_{c}") for c in ["row_key", *sent_columns]])
+    )
+    b_side = (
+        placed.join(layout, "cell")
+        .withColumn("b_block", (own % F.col("b_blocks")).cast("int"))
+        .withColumn("for_block", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)))
+        .select("cell", "for_block", "b_block", "row_key", *placed_columns)
+    )
+    return q_side.groupBy("q_cell", "q_block", "q_b_block"), b_side.groupBy("cell", "for_block", "b_block")
+
+
 def _candidates(sent: DataFrame, placed: DataFrame, blocks: DataFrame, k: int, key_type: T.DataType, query_type: T.DataType) -> DataFrame:
     """k candidates per query row and block of the cells it was sent to: row_key, neighbor_key, distance."""
     out_schema = T.StructType([T.StructField("row_key", query_type), T.StructField("neighbor_key", key_type), T.StructField("distance", T.DoubleType())])
@@ -174,22 +197,7 @@ def _candidates(sent: DataFrame, placed: DataFrame, blocks: DataFrame, k: int, k
         q_at, b_at = np.nonzero(keep)
         return pd.DataFrame({"row_key": left["q_row_key"].to_numpy()[q_at], "neighbor_key": keys[b_at], "distance": d[q_at, b_at]})
 
-    own = F.pmod(F.xxhash64(F.col("row_key")), F.lit(1 << 30))
-    counted = sent.groupBy("cell").agg(F.count("*").alias("n"))
-    layout = blocks.join(counted, "cell").select("cell", "b_blocks", F.ceil(F.col("n") / BLOCK).cast("int").alias("q_blocks"))
-    q_side = (
-        sent.join(layout, "cell")
-        .withColumn("q_block", (own % F.col("q_blocks")).cast("int"))
-        .withColumn("b_block", F.explode(F.sequence(F.lit(0), F.col("b_blocks") - 1)))
-        .select(F.col("cell").alias("q_cell"), "q_block", F.col("b_block").alias("q_b_block"), F.col("row_key").alias("q_row_key"), F.col("vec").alias("q_vec"))
-    )
-    b_side = (
-        placed.join(layout, "cell")
-        .withColumn("b_block", (own % F.col("b_blocks")).cast("int"))
-        .withColumn("for_block", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)))
-        .select("cell", "for_block", "b_block", "row_key", "vec")
-    )
-    q_blocks, b_blocks = q_side.groupBy("q_cell", "q_block", "q_b_block"), b_side.groupBy("cell", "for_block", "b_block")
+    q_blocks, b_blocks = _meetings(sent, placed, blocks, ["vec"], ["vec"])
     found = q_blocks.cogroup(b_blocks).applyInPandas(block_join, out_schema)
     merged = Window.partitionBy("row_key").orderBy("distance", "neighbor_key")
     return found.withColumn("rank", F.row_number().over(merged)).filter(F.col("rank") <= k)
@@ -206,7 +214,64 @@ def cells_to_search(rows: DataFrame, tree: CellTree, probes: int | None = None)
         kept = [sorted(x for x in cells if x[1] != own) for cells, own in zip(near, cell.tolist())]
         return pd.Series([[c for _, c in cells[: None if probes is None else probes - 1]] for cells in kept])
 
-    return rows.withColumn("cell", F.explode(others("vec", "cell", "bound"))).select("row_key", "vec", "cell")
+    return rows.withColumn("cell", F.explode(others("vec", "cell", "bound"))).select("row_key", "vec", "cell", "bound")
+
+
+def coded_candidates(sent: DataFrame, placed: DataFrame, blocks: DataFrame, k: int, edges: np.ndarray) -> DataFrame:
+    """``(row_key, neighbor_key)`` that codes cannot exclude: the k nearest of the cells a row was sent to are among them.
+
+    A pair stays when its lower bound is at most the row's own bound and the k-th smallest upper bound over all
+    cells. A block tells at most k upper bounds of a row, so no row's bounds pile up.
+    """
+    key_type, query_type = placed.schema["row_key"].dataType, sent.schema["row_key"].dataType
+    out_schema = T.StructType(
+        [
+            T.StructField("row_key", query_type),
+            T.StructField("neighbor_key", key_type),
+            T.StructField("lower", T.DoubleType()),
+            T.StructField("upper", T.DoubleType()),
+            T.StructField("tells", T.BooleanType()),
+        ]
+    )
+
+    def block_join(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({f.name: pd.Series([], dtype="object") for f in out_schema.fields})
+        keys = right["row_key"].to_numpy()
+        lower, upper = vector_codes.bounds(_matrix(left["q_vec"]), vector_codes.unpack(right["codes"]), edges)
+        own = left["q_row_key"].to_numpy()[:, None] == keys[None, :]
+        lower[own], upper[own] = np.inf, np.inf
+        reach = left["q_bound"].fillna(math.inf).to_numpy(dtype="float64")[:, None]
+        tells = np.isfinite(upper)
+        if len(keys) > k:
+            limit = np.partition(upper, k - 1, axis=1)[:, k - 1 : k]
+            reach = np.minimum(reach, limit)
+            closer, tied = upper < limit, upper == limit
+            tells &= closer | (tied & (tied.cumsum(1) <= k - closer.sum(1, keepdims=True)))
+        # A pair may tell its upper bound although it is itself beyond the row's bound: it then does no harm.
+        keep = (lower <= reach * (1 + SLACK) + SLACK) & np.isfinite(lower)
+        q_at, b_at = np.nonzero(keep)
+        return pd.DataFrame(
+            {"row_key": left["q_row_key"].to_numpy()[q_at], "neighbor_key": keys[b_at], "lower": lower[q_at, b_at], "upper": upper[q_at, b_at], "tells": tells[q_at, b_at]}
+        )
+
+    q_blocks, b_blocks = _meetings(sent, placed, blocks, ["vec", "bound"], ["codes"])
+    found = cut_lineage(q_blocks.cogroup(b_blocks).applyInPandas(block_join, out_schema))
+    order = Window.partitionBy("row_key").orderBy("upper")
+    limits = (
+        found.filter("tells").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+        .groupBy("row_key").agg(F.max(F.when(F.col("place") == k, F.col("upper"))).alias("reach"))
+    )
+    near = F.col("reach").isNull() | (F.col("lower") <= F.col("reach") * (1 + SLACK) + SLACK)
+    return found.join(limits, "row_key", "left").filter(near).select("row_key", "neighbor_key")
+
+
+def _measured(pairs: DataFrame, queries: DataFrame, base: DataFrame) -> DataFrame:
+    """Distances of pairs, summed in the order of ``_distances``."""
+    sides = pairs.join(base.select(F.col("row_key").alias("neighbor_key"), F.col("vec").alias("b_vec")), "neighbor_key")
+    sides = sides.join(queries.select("row_key", F.col("vec").alias("q_vec")), "row_key")
+    steps = F.zip_with("q_vec", "b_vec", lambda a, b: (a - b) * (a - b))
+    return sides.select("row_key", "neighbor_key", F.sqrt(F.aggregate(steps, F.lit(0.0), lambda t, x: t + x)).alias("distance"))
 
 
 def cell_tree(base: DataFrame, n_base: int, cell_rows: int = CELL_ROWS) -> tuple[CellTree, DataFrame, DataFrame]:
@@ -228,14 +293,15 @@ def cell_tree(base: DataFrame, n_base: int, cell_rows: int = CELL_ROWS) -> tuple
 
 
 def nearest(
-    queries: DataFrame, base: DataFrame, k: int, payload: list[str] | None = None, cell_rows: int = CELL_ROWS, probes: int | None = None
+    queries: DataFrame, base: DataFrame, k: int, payload: list[str] | None = None, cell_rows: int = CELL_ROWS, probes: int | None = None, bits: int | None = None
 ) -> DataFrame:
     """The ``k`` nearest base rows of every query row, nearest first, ties by base key.
 
     Both frames have ``row_key`` (unique) and ``vec`` (array of numbers); a base row with the
     query's own key is skipped. Result: ``row_key, rank, neighbor_key, distance,
     neighbor_vec`` and the payload columns of the neighbour as ``neighbor_<name>``. Exact, unless
-    ``probes`` limits the cells searched per row (its own and the nearest others).
+    ``probes`` limits the cells searched per row (its own and the nearest others). ``bits`` (1 to 8)
+    searches the other cells by codes of so many bits per dimension, with the same result.
     """
     payload = payload or []
     key_type, query_type = base.schema["row_key"].dataType, queries.schema["row_key"].dataType
@@ -259,7 +325,12 @@ def nearest(
         # A row that met fewer than k others has no bound yet.
         bounds = first.groupBy("row_key").agg(F.max(F.when(F.col("rank") == k, F.col("distance"))).alias("bound"))
         sent = cut_lineage(cells_to_search(at_home.join(bounds, "row_key", "left"), tree, probes))
-        more = _candidates(sent, placed, blocks, k, key_type, query_type)
+        if bits is None:
+            more = _candidates(sent, placed, blocks, k, key_type, query_type)
+        else:
+            edges = vector_codes.edges(placed, bits)
+            pairs = coded_candidates(sent, cut_lineage(vector_codes.encode(placed, edges).drop("vec")), blocks, k, edges)
+            more = _measured(pairs, queries, base).withColumn("rank", F.lit(0))
         merged = Window.partitionBy("row_key").orderBy("distance", "neighbor_key")
         both = first.drop("rank").unionByName(more.drop("rank"))
         found = both.withColumn("rank", F.row_number().over(merged)).filter(F.col("rank") <= k)
