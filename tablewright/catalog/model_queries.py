@@ -14,6 +14,8 @@ from tablewright.operators.clean import class_list, null_sentinels
 from tablewright.operators.encode import FrequencyEncoder, TargetEncoder
 from tablewright.plans.preparation import Preparation, numeric_features
 from tablewright.session import cut_lineage, scratch_path
+from tablewright.sources.tables import RecordContract
+from tablewright.streaming.records import read_sink, with_reasons, write_parted
 from tablewright.streaming.scoring import score, write_scores
 
 COVID_START = "2000-03-01"
@@ -409,3 +411,32 @@ def streaming_scores(spark, sf):
     batch = cut_lineage(scores_of(table_rows))
     counts = [(received.count(), batch.exceptAll(received).count(), received.exceptAll(batch).count())]
     return spark.createDataFrame(counts, "n_rows long, n_lost long, n_new long")
+
+
+ARRIVALS = RecordContract(
+    {"claim_id": "bigint", "accident_date": "date", "c2_date": "date", "age": "int", "gender": "string", "adr_flag": "string", "hearing_date_raw": "date"},
+    {"gender": ["M", "F"], "adr_flag": ["N", "Y"]},
+)
+
+
+@query(
+    "parted_records",
+    on_claims(
+        "SELECT claim_id, list_count(r) = 0 AS accepted, array_to_string(list_filter(list_sort(r), lambda x: x IS NOT NULL), '|') AS reasons FROM ("
+        "SELECT claim_id, [CASE WHEN gender NOT IN ('M', 'F') THEN 'illegal gender' END, CASE WHEN adr_flag NOT IN ('N', 'Y') THEN 'illegal adr_flag' END, "
+        "CASE WHEN hearing_date_raw IS NOT NULL AND try_cast(hearing_date_raw AS DATE) IS NULL THEN 'unreadable hearing_date_raw' END, "
+        "CASE WHEN age < 14 THEN 'under age' END, CASE WHEN c2_date < accident_date THEN 'notice before accident' END] AS r FROM claims)"
+    ),
+)
+def parted_records(spark, sf):
+    """Claims arrive as text; accepted and rejected ones go to two sinks, with the reasons of each rejected one."""
+    arrived = scratch_path(spark, "arriving-text")
+    as_text = claims(spark, sf)
+    as_text.select(*[F.col(c).cast("string").alias(c) for c in ARRIVALS.types]).write.parquet(arrived)
+    stream = spark.readStream.schema(", ".join(f"{c} string" for c in ARRIVALS.types)).parquet(arrived)
+    checked = with_reasons(stream, ARRIVALS, {"under age": F.col("age") < 14, "notice before accident": F.col("c2_date") < F.col("accident_date")})
+    path = scratch_path(spark, "parted")
+    write_parted(checked, path, scratch_path(spark, "parted-progress")).awaitTermination()
+    accepted = read_sink(spark, path, "accepted", ARRIVALS).select("claim_id", F.lit(True).alias("accepted"), F.lit("").alias("reasons"))
+    rejected = read_sink(spark, path, "rejected", ARRIVALS).select("claim_id", F.lit(False).alias("accepted"), F.array_join("reasons", "|").alias("reasons"))
+    return accepted.unionByName(rejected)

@@ -23,6 +23,7 @@ from tablewright.operators.impute import (
 )
 from tablewright.operators.outliers import EarlyDates, ImplausibleAge, LogIqr
 from tablewright.operators.sample import stratified_split
+from tablewright.plans.versions import current, next_version, publish
 from tablewright.session import cut_lineage
 
 # Fixed values.
@@ -158,14 +159,22 @@ class Preparation:
             rows = model.transform(rows)
         return rows
 
-    def save(self, path: str) -> None:
-        """The pipelines, and the classes in their order, under one path."""
+    def save(self, path: str, spark: SparkSession | None = None) -> None:
+        """The pipelines, and the classes in their order, as a new version under the path.
+
+        ``load`` sees the version when all of it is written; until then, and if the save breaks, the version before.
+        """
+        spark = spark or SparkSession.builder.getOrCreate()
+        version = next_version(spark, path)
         for i, model in enumerate(self.models):
-            model.write().overwrite().save(f"{path}/pipeline_{i}")
-        spark = SparkSession.getActiveSession()
-        spark.createDataFrame([(len(self.models), self.classes)], "n_pipelines int, classes array<string>").write.mode("overwrite").parquet(f"{path}/classes")
+            model.write().save(f"{path}/{version}/pipeline_{i}")
+        about = spark.createDataFrame([(len(self.models), self.classes)], "n_pipelines int, classes array<string>")
+        about.write.parquet(f"{path}/{version}/classes")
+        publish(spark, path, version)
 
     @classmethod
-    def load(cls, path: str) -> "Preparation":
-        about = SparkSession.getActiveSession().read.parquet(f"{path}/classes").first()
-        return cls([PipelineModel.load(f"{path}/pipeline_{i}") for i in range(about["n_pipelines"])], list(about["classes"]))
+    def load(cls, path: str, spark: SparkSession | None = None) -> "Preparation":
+        spark = spark or SparkSession.builder.getOrCreate()
+        place = current(spark, path)
+        about = spark.read.parquet(f"{place}/classes").first()
+        return cls([PipelineModel.load(f"{place}/pipeline_{i}") for i in range(about["n_pipelines"])], list(about["classes"]))
