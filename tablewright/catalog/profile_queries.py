@@ -7,8 +7,8 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from tablewright.catalog.claims import CLAIMS_SQL, claims, on_claims, on_split, split_claims
-from tablewright.catalog.registry import query, table
-from tablewright.operators import profile
+from tablewright.catalog.registry import ORACLES, query, table
+from tablewright.operators import growing, profile
 from tablewright.session import scratch_path
 from tablewright.sources import tables as src
 
@@ -442,3 +442,30 @@ def commonest_values(spark, sf):
 @query("first_rows", on_claims("SELECT claim_id, age, wage FROM claims ORDER BY claim_id LIMIT 5"))
 def first_rows(spark, sf):
     return claims(spark, sf).select("claim_id", "age", "wage").orderBy("claim_id").limit(5)
+
+
+# Profiles of a growing table
+
+
+def grown_state(spark, sf):
+    """States of the claims by year of assembly: the earlier years first, then the later ones, then the last year again."""
+    path = scratch_path(spark, "profile-state")
+    rows = claims(spark, sf)
+    year = F.coalesce(F.year("assembly_date").cast("string"), F.lit("none"))
+    years = sorted(r["y"] for r in rows.select(year.alias("y")).distinct().collect())
+    half = len(years) // 2
+    for some in (years[:half], years[half:], years[-1:]):
+        if some:
+            growing.refresh(rows, path, year, some, NUMERIC, TEXT + ["carrier_name"])
+    return path
+
+
+@query("growing_numeric_summary", ORACLES["numeric_summary"])
+def growing_numeric_summary(spark, sf):
+    out = growing.merged_numeric(spark, grown_state(spark, sf), NUMERIC)
+    return out.withColumns({c: F.round(c, 6) for c in ("mean", "std", "q25", "median", "q75")})
+
+
+@query("growing_categorical_summary", ORACLES["categorical_summary"])
+def growing_categorical_summary(spark, sf):
+    return growing.merged_categorical(spark, grown_state(spark, sf), TEXT + ["carrier_name"])
