@@ -18,7 +18,6 @@ import heapq
 import math
 from bisect import bisect_left
 from collections.abc import Iterator
-from dataclasses import dataclass
 from fractions import Fraction
 from itertools import islice
 
@@ -31,8 +30,6 @@ from tablewright.session import cut_lineage
 BLOCK_CHARS = 65_536
 #: Slots that are written together.
 ROUND_SLOTS = 1_024
-#: Without effect: every source has a schedule of its own, however many there are.
-MAX_SOURCES = 512
 #: Default weights are volumes to this power, so small sources come up more often than their volume says.
 ALPHA = 0.5
 ADDED = ["mix_block", "mix_slot", "mix_start"]
@@ -82,71 +79,6 @@ def schedule(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[tupl
             heapq.heappush(waiting, (after, s, k + 1))
 
 
-@dataclass
-class Phase:
-    """One source's blocks from ``first`` on: ``slots[k]`` is the place of its k-th block in a round that began at ``start``."""
-
-    first: int
-    start: int
-    slots: list[int]
-
-
-def whole_shares(weights: dict[str, float], slots: int) -> dict[str, int]:
-    """Shares of a round in proportion to the weights: at least 1 each, by largest remainders."""
-    total = sum(weights.values())
-    free = slots - len(weights)
-    exact = {s: free * w / total for s, w in weights.items()}
-    shares = {s: 1 + math.floor(x) for s, x in exact.items()}
-    missing = slots - sum(shares.values())
-    for s in sorted(weights, key=lambda s: (math.floor(exact[s]) - exact[s], s))[:missing]:
-        shares[s] += 1
-    return shares
-
-
-def schedule_round(shares: dict[str, int]) -> list[str]:
-    """Earliest deadline first over one round: the source of each slot."""
-    return [s for _, s, _ in schedule(shares, shares)]
-
-
-def round_length(blocks: dict[str, int], slots: int) -> int:
-    """Room for two blocks of every source at least."""
-    return max(slots, 2 * len(blocks))
-
-
-def plan_phases(blocks: dict[str, int], weights: dict[str, float], slots: int = ROUND_SLOTS) -> dict[str, list[Phase]]:
-    """The phases of every source until all of its blocks are placed, by whole shares of a round.
-
-    Shares are rounded, so long runs drift from the weights; the queries use ``schedule``.
-    """
-    slots = round_length(blocks, slots)
-    left = {s: n for s, n in blocks.items() if n}
-    done = dict.fromkeys(left, 0)
-    phases: dict[str, list[Phase]] = {s: [] for s in blocks}
-    start = 0
-    while left:
-        shares = whole_shares({s: weights[s] for s in left}, slots)
-        order = schedule_round(shares)
-        places: dict[str, list[int]] = {s: [] for s in left}
-        for slot, s in enumerate(order):
-            places[s].append(slot)
-        for s in left:
-            phases[s].append(Phase(done[s], start, places[s]))
-        # Whole rounds that every source can fill, then slot by slot until one has run out.
-        rounds = min((n - 1) // shares[s] for s, n in left.items())
-        for s in left:
-            left[s] -= rounds * shares[s]
-            done[s] += rounds * shares[s]
-        start += rounds * slots
-        for s in order:
-            left[s] -= 1
-            done[s] += 1
-            start += 1
-            if not left[s]:
-                break
-        left = {s: n for s, n in left.items() if n}
-    return phases
-
-
 def mix_sources(
     docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = ALPHA, block_chars: int = BLOCK_CHARS, round_slots: int = ROUND_SLOTS,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",

@@ -340,26 +340,7 @@ def brute_pfair(shares):
 
 def test_rounds_equal_brute_force():
     for shares in ({"a": 1}, {"a": 3, "b": 5, "c": 1}, {"a": 50, "b": 50}, {"x": 97, "y": 2, "z": 29}):
-        assert mixing.schedule_round(shares) == brute_pfair(shares)
-
-
-def test_every_prefix_is_within_one_block():
-    blocks, weights = {"a": 300, "b": 40, "c": 7, "d": 1}, {"a": 3.0, "b": 2.0, "c": 1.0, "d": 0.2}
-    phases = mixing.plan_phases(blocks, weights, 64)
-    length = mixing.round_length(blocks, 64)
-    slots = {}
-    for s, ps in phases.items():
-        for k in range(blocks[s]):
-            p = [p for p in ps if p.first <= k][-1]
-            slots[p.start + (k - p.first) // len(p.slots) * length + p.slots[(k - p.first) % len(p.slots)]] = s
-    assert sorted(slots) == list(range(sum(blocks.values())))
-    starts = sorted({p.start for ps in phases.values() for p in ps}) + [len(slots)]
-    for a, b in zip(starts, starts[1:]):
-        share = {s: len(p.slots) / length for s, ps in phases.items() for p in ps if p.start == a}
-        seen = dict.fromkeys(share, 0)
-        for t in range(a, b):
-            seen[slots[t]] += 1
-            assert all(abs(seen[s] - share[s] * (t - a + 1)) < 1 for s in share)
+        assert [s for _, s, _ in mixing.schedule(shares, shares)] == brute_pfair(shares)
 
 
 def test_mixing_places_every_document_once(spark, sf_dir):
@@ -396,8 +377,7 @@ def test_mixing_on_awkward_tables(spark):
     assert few.count() == 40
 
 
-def test_small_sources_share_a_schedule(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "MAX_SOURCES", 2)
+def test_documents_of_small_sources_have_places_of_their_own(spark):
     docs = frame(spark, [(i, "x" * 50, f"s{i % 5}") for i in range(100)])
     rows = mixing.mix_sources(docs, block_chars=50).collect()
     assert len(rows) == 100 and len({(r["mix_slot"], r["mix_start"] % 50) for r in rows}) == 100
