@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -352,6 +353,47 @@ def test_roles_of_held_out_conversations(spark):
     assert np.mean([r["parsed_role"] == truth[r["conv_id"], r["turn"]] for r in held]) > 0.93
 
 
+def test_further_roles_are_learned(spark):
+    """A role that has no words of its own is found by its name and by what follows what."""
+    order = ["user", "tool", "assistant"]
+    rows = [(c, t, order[t % 3], f"Some words of turn {t}.") for c in range(200) for t in range(9)] + [(500, 0, None, "No role.")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    raw = chat.raw_transcripts(turns)
+    assert chat.speakers_of(chat.place_parts(raw, "conv_id", "turn", "text")).names == ("system", "user", "assistant", "tool")
+    got = [r for r in chat.transcript_table(turns).collect() if r["conv_id"] < 500 and zlib.crc32(str(r["conv_id"]).encode()) % 5 == 0]
+    assert got and np.mean([r["parsed_role"] == order[r["turn"] % 3] for r in got]) > 0.95
+    assert any("<|tool|>" in r["rendered"] for r in got)
+
+
+def test_conversations_come_one_at_a_time():
+    """A conversation is handed on when the next one begins, across batches and segments."""
+    rows = [(0, 1), (0, 1), (0, 2), (1, 2), (1, None), (1, None), (2, 7)]
+    taken = []
+
+    def batches():
+        for segment, conv in rows:
+            taken.append((segment, conv))
+            yield pa.RecordBatch.from_pydict({"segment": pa.array([segment], pa.int64()), "conv": pa.array([conv], pa.int64())})
+
+    found = chat._conversations(batches())
+    assert [x for x in next(found)[:3]] == [0, 0, False] and len(taken) == 3
+    assert [(s, at, last, len(parts)) for s, at, last, parts in found] == [(0, 1, True, 1), (1, 0, False, 1), (1, 1, True, 2), (2, 0, True, 1)]
+
+
+def test_range_bounds_hold_no_texts(spark):
+    """What is sampled to cut the order into ranges are ids and hashes; rows of one id and hash stay in order of text."""
+    turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 0, "user", "b")], "conv_id long, turn long, role string, text string")
+    seen = []
+    cut, chat.cut_lineage = chat.cut_lineage, lambda df: seen.append(df) or df
+    try:
+        chat.place_parts(chat.raw_transcripts(turns), "conv_id", "turn", "text")
+    finally:
+        chat.cut_lineage = cut
+    ranges = [x for x in seen[0]._jdf.queryExecution().optimizedPlan().toString().splitlines() if "RepartitionByExpression" in x]
+    assert len(ranges) == 1
+    assert "text" not in ranges[0].replace("xxhash64(text", "")
+
+
 def test_markers():
     assert chat.observe("  ")[0] == chat.BLANK
     for line, role, at in (("User: hi", "user", 6), ("### Response", "assistant", 12), ("<|assistant|> yes", "assistant", 14), ("**Human**: x", "user", 11), ("Note: x", "other", 0), ("plain words: x", "none", 0)):
