@@ -1,13 +1,15 @@
 """Nearest neighbours, synthetic minority rows and Tomek links.
 
 ``nearest`` is an exact partitioned join. A tree over a bounded sample cuts the space into cells
-of about ``CELL_ROWS`` base rows. Every query row first meets its own cell, which gives a
-bound on its k-th distance; then it is sent to just those other cells whose bounding box is
-nearer than its own bound. Base rows are never copied to other cells, and an outlier widens
-nobody's search but its own. Cells are cut into blocks of bounded size, a block keeps k candidates
+of about ``CELL_ROWS`` base rows, and neighbouring cells make a part. Every query row first meets its own part, which
+gives a bound on its k-th distance; then it is sent once to each other part with a cell whose bounding box is
+nearer than its own bound. Where they meet, a row is compared with the cells of the part that are near enough, by one
+product of matrices; distances are measured, dimension by dimension, only where the product leaves a doubt. An outlier
+widens nobody's search but its own. Parts are cut into blocks of bounded size, a block keeps k candidates
 per query row, and vectors of neighbours are joined after the last merge.
 
-In many dimensions boxes exclude little. With ``bits`` other cells are then searched by a table of
+In many dimensions boxes exclude little, and rows meet nearly all parts: meetings stay quadratic, but rows move once per
+part and not per cell. With ``bits`` other parts are searched by a table of
 approximations (one byte per dimension, ``operators/vector_codes.py``): what travels and is scanned are codes,
 and only vectors that the bounds cannot exclude are fetched, each moved once. The result stays exact. ``probes``
 limits the cells searched per row to the nearest ones, which makes the result approximate.
@@ -38,6 +40,13 @@ CELL_ROWS = 1024
 SAMPLE_PER_CELL = 8
 MAX_CELLS = 65_536
 BLOCK = 2048
+#: A part has about one in ``PARTS`` of the base rows, and at most so many rows and bytes of vectors.
+PARTS = 8
+PART_ROWS = 65_536
+PART_BYTES = 1 << 24
+#: Query rows that are compared at a time, and dimensions from which on single precision does for the doubtless ones.
+TILE = 1024
+SINGLE_FROM = 16
 # Relative slack against rounding in the bounds; it can only add candidates.
 SLACK = 1e-9
 
@@ -145,6 +154,26 @@ class CellTree:
                 todo += [(self.left[node], some), (self.right[node], some)]
         return found
 
+    def near_parts(self, rows: np.ndarray, bound: np.ndarray, span: int) -> np.ndarray:
+        """For each row and part of ``span`` cells, whether one of them is not farther than the row's bound."""
+        near = np.zeros((len(rows), -(-self.n_cells // span)), bool)
+        reach = bound * (1 + SLACK) + SLACK
+        todo = [(0, np.arange(len(rows)))]
+        while todo:
+            node, some = todo.pop()
+            if self.cut_at[node] < 0:
+                some = some[~near[some, self.cell[node] // span]]
+            gap = np.maximum(np.maximum(self.low[node] - rows[some], rows[some] - self.high[node]), 0)
+            away = np.sqrt((gap * gap).sum(1))
+            some = some[(away <= reach[some]) & np.isfinite(away)]
+            if not len(some):
+                continue
+            if self.cut_at[node] < 0:
+                near[some, self.cell[node] // span] = True
+            else:
+                todo += [(self.left[node], some), (self.right[node], some)]
+        return near
+
 
 def _in_cells(rows: DataFrame, tree: CellTree) -> DataFrame:
     @F.pandas_udf("int")
@@ -154,11 +183,11 @@ def _in_cells(rows: DataFrame, tree: CellTree) -> DataFrame:
     return rows.withColumn("cell", locate("vec"))
 
 
-def _meetings(sent: DataFrame, placed: DataFrame, blocks: DataFrame, sent_columns: list[str], placed_columns: list[str]) -> tuple[GroupedData, GroupedData]:
+def _meetings(sent: DataFrame, placed: DataFrame, blocks: DataFrame, sent_columns: list[str], placed_columns: list[str], block: int | None = None) -> tuple[GroupedData, GroupedData]:
     """Every block of the sent rows (columns ``q_<name>``) with every block of the base rows of its cell, to be cogrouped."""
     own = F.pmod(F.xxhash64(F.col("row_key")), F.lit(1 << 30))
     counted = sent.groupBy("cell").agg(F.count("*").alias("n"))
-    layout = blocks.join(counted, "cell").select("cell", "b_blocks", F.ceil(F.col("n") / BLOCK).cast("int").alias("q_blocks"))
+    layout = blocks.join(counted, "cell").select("cell", "b_blocks", F.ceil(F.col("n") / (block or BLOCK)).cast("int").alias("q_blocks"))
     q_side = (
         sent.join(layout, "cell")
         .withColumn("q_block", (own % F.col("q_blocks")).cast("int"))
@@ -174,35 +203,151 @@ def _meetings(sent: DataFrame, placed: DataFrame, blocks: DataFrame, sent_column
     return q_side.groupBy("q_cell", "q_block", "q_b_block"), b_side.groupBy("cell", "for_block", "b_block")
 
 
-def _candidates(sent: DataFrame, placed: DataFrame, blocks: DataFrame, k: int, key_type: T.DataType, query_type: T.DataType) -> DataFrame:
-    """k candidates per query row and block of the cells it was sent to: row_key, neighbor_key, distance."""
+class _Base:
+    """Base rows of a block, cell by cell, made ready for products with query rows. Rows that are not finite are left out."""
+
+    def __init__(self, vec: np.ndarray, leaf: np.ndarray):
+        self.at = np.flatnonzero(np.isfinite(vec).all(1))
+        self.at = self.at[np.argsort(leaf[self.at], kind="stable")]
+        self.vec = vec[self.at]
+        leaf = leaf[self.at]
+        starts = np.flatnonzero(np.concatenate([[True], leaf[1:] != leaf[:-1]])) if len(leaf) else np.zeros(0, int)
+        self.cells = list(zip(starts.tolist(), [*starts[1:].tolist(), len(leaf)]))
+        self.low = np.minimum.reduceat(self.vec, starts) if len(leaf) else self.vec
+        self.high = np.maximum.reduceat(self.vec, starts) if len(leaf) else self.vec
+        self.kind = np.float32 if vec.shape[1] >= SINGLE_FROM and np.abs(self.vec).max(initial=0) < 1e15 else np.float64
+        # Products of all sides of a distance, each cell around its own centre: x x - 2 x y + y y.
+        self.centres, self.factors, self.sizes = [], [], []
+        for a, b in self.cells:
+            centre = self.vec[a:b].mean(0)
+            x = self.vec[a:b] - centre
+            size = (x * x).sum(1)
+            self.centres.append(centre)
+            self.factors.append(np.column_stack([-2 * x, size, np.ones(len(x))]).astype(self.kind).T)
+            self.sizes.append(math.sqrt(size.max()))
+
+    def gaps(self, rows: np.ndarray) -> np.ndarray:
+        """Distance of every row to the box of every cell."""
+        out = np.zeros((len(rows), len(self.cells)))
+        for d in range(rows.shape[1]):
+            gap = np.maximum(np.maximum(self.low[None, :, d] - rows[:, d, None], rows[:, d, None] - self.high[None, :, d]), 0)
+            out += gap * gap
+        return np.sqrt(out)
+
+    def products(self, rows: np.ndarray, cell: int) -> tuple[np.ndarray, np.ndarray]:
+        """Squared distances of the rows to a cell's rows, and for each row by how much they may be wrong."""
+        y = rows - self.centres[cell]
+        size = (y * y).sum(1)
+        with np.errstate(over="ignore", invalid="ignore"):
+            squares = np.column_stack([y, np.ones(len(y)), size]).astype(self.kind) @ self.factors[cell]
+        wrong = (4 * rows.shape[1] + 32) * np.finfo(self.kind).eps * (np.sqrt(size) + self.sizes[cell]) ** 2
+        return squares, wrong + np.finfo(self.kind).tiny
+
+
+def _nearest_in_block(rows: np.ndarray, keys: np.ndarray, reach: np.ndarray, base: _Base, base_keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, base row, distance) of the k nearest base rows within the reach of each row, ties by the order of the base rows."""
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for first in range(0, len(rows), TILE):
+        tile = np.arange(first, min(first + TILE, len(rows)))
+        tile = tile[np.isfinite(rows[tile]).all(1)]
+        if not len(tile) or not base.cells:
+            continue
+        near, limit = base.gaps(rows[tile]), reach[tile].astype("float64")
+        home = near.argmin(1)
+        best = (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        # A row's nearest cell first: it draws the limit in.
+        for own in (True, False):
+            for cell, (a, b) in enumerate(base.cells):
+                some = np.flatnonzero((home == cell) == own)
+                some = some[near[some, cell] <= limit[some] * (1 + SLACK) + SLACK]
+                if not len(some):
+                    continue
+                squares, wrong = base.products(rows[tile[some]], cell)
+                with np.errstate(over="ignore"):
+                    most = (limit[some] * (1 + SLACK) + SLACK) ** 2
+                open_ended = np.flatnonzero(~np.isfinite(limit[some])) if b - a > k + 1 else np.zeros(0, int)
+                if len(open_ended):
+                    # One more than k, as a row may meet itself.
+                    kth = np.partition(squares[open_ended], k, axis=1)[:, k]
+                    most[open_ended] = np.where(np.isnan(kth), np.inf, kth + wrong[open_ended])
+                q_at, b_at = np.nonzero(~(squares > _above(most + wrong, base.kind)[:, None]))
+                q_at, b_at = some[q_at], a + b_at
+                distance = _pair_distances(rows, tile[q_at], base.vec, b_at)
+                b_at = base.at[b_at]
+                keep = (distance <= limit[q_at]) & np.isfinite(distance) & (keys[tile[q_at]] != base_keys[b_at])
+                if not keep.any():
+                    continue
+                q_all, b_all, d_all = (np.concatenate([x, y[keep]]) for x, y in zip(best, (q_at, b_at, distance)))
+                order = np.lexsort((b_all, d_all, q_all))
+                q_all, b_all, d_all = q_all[order], b_all[order], d_all[order]
+                starts = np.flatnonzero(np.concatenate([[True], q_all[1:] != q_all[:-1]]))
+                counts = np.diff(np.append(starts, len(q_all)))
+                place = np.arange(len(q_all)) - np.repeat(starts, counts)
+                full = starts[counts >= k] + k - 1
+                limit[q_all[full]] = np.minimum(limit[q_all[full]], d_all[full])
+                best = tuple(x[place < k] for x in (q_all, b_all, d_all))
+        out.append((tile[best[0]], best[1], best[2]))
+    return tuple(np.concatenate([o[i] for o in out]) if out else np.zeros(0, int) for i in range(3))
+
+
+def _above(limit: np.ndarray, kind: type) -> np.ndarray:
+    """The limits in a narrower type, rounded up."""
+    with np.errstate(over="ignore"):
+        return np.nextafter(limit.astype(kind), kind(np.inf))
+
+
+def _pair_distances(left: np.ndarray, left_at: np.ndarray, right: np.ndarray, right_at: np.ndarray) -> np.ndarray:
+    """Distances of the pairs, summed in the order of ``_distances``."""
+    out = np.zeros(len(left_at))
+    for d in range(left.shape[1]):
+        step = left[left_at, d] - right[right_at, d]
+        out += step * step
+    return np.sqrt(out)
+
+
+def _candidates(sent: DataFrame, placed: DataFrame, blocks: DataFrame, k: int, key_type: T.DataType, query_type: T.DataType, block: int | None = None) -> DataFrame:
+    """k candidates per query row and block of the cells or parts it was sent to: row_key, neighbor_key, distance.
+
+    Farther ones than the query row's ``bound`` are left out, if there is one; ``leaf`` tells the cells within a part.
+    """
     out_schema = T.StructType([T.StructField("row_key", query_type), T.StructField("neighbor_key", key_type), T.StructField("distance", T.DoubleType())])
 
     def block_join(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({f.name: pd.Series([], dtype="object") for f in out_schema.fields})
+        # Keys are in order, so of equal distances at the limit the smaller keys are kept.
         right = right.sort_values("row_key", kind="stable").reset_index(drop=True)
-        keys = right["row_key"].to_numpy()
-        d = _distances(_matrix(left["q_vec"]), _matrix(right["vec"]))
-        d[left["q_row_key"].to_numpy()[:, None] == keys[None, :]] = np.inf
-        if len(keys) > k:
-            # Keys are in order, so of equal distances at the limit the smaller keys are kept.
-            limit = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-            closer = d < limit
-            tied = (d == limit) & ((d == limit).cumsum(1) <= k - closer.sum(1, keepdims=True))
-            keep = closer | tied
-        else:
-            keep = np.ones_like(d, bool)
-        keep &= np.isfinite(d)
-        q_at, b_at = np.nonzero(keep)
-        return pd.DataFrame({"row_key": left["q_row_key"].to_numpy()[q_at], "neighbor_key": keys[b_at], "distance": d[q_at, b_at]})
-
-    q_blocks, b_blocks = _meetings(sent, placed, blocks, ["vec"], ["vec"])
+        keys, own = right["row_key"].to_numpy(), left["q_row_key"].to_numpy()
+        leaf = right["leaf"].to_numpy() if "leaf" in right else np.zeros(len(right), int)
+        reach = left["q_bound"].fillna(math.inf).to_numpy(dtype="float64") if "q_bound" in left else np.full(len(left), np.inf)
+        q_at, b_at, distance = _nearest_in_block(_matrix(left["q_vec"]), own, reach, _Base(_matrix(right["vec"]), leaf), keys, k)
+        return pd.DataFrame({"row_key": own[q_at], "neighbor_key": keys[b_at], "distance": distance})
+
+    extra = [c for c in ("bound",) if c in sent.columns], [c for c in ("leaf",) if c in placed.columns]
+    q_blocks, b_blocks = _meetings(sent, placed, blocks, ["vec", *extra[0]], ["vec", *extra[1]], block)
     found = q_blocks.cogroup(b_blocks).applyInPandas(block_join, out_schema)
     merged = Window.partitionBy("row_key").orderBy("distance", "neighbor_key")
     return found.withColumn("rank", F.row_number().over(merged)).filter(F.col("rank") <= k)
 
 
+def parts_to_search(rows: DataFrame, tree: CellTree, span: int) -> DataFrame:
+    """One row per (row, other part of ``span`` cells) that may hold nearer rows; ``rows`` has vec, own part as cell, and bound.
+
+    The parts are found once and written as one list per row.
+    """
+
+    @F.pandas_udf("array<int>")
+    def others(vec: pd.Series, cell: pd.Series, bound: pd.Series) -> pd.Series:
+        if not len(vec):
+            return pd.Series([], dtype="object")
+        near = tree.near_parts(_matrix(vec), bound.fillna(math.inf).to_numpy(dtype="float64"), span)
+        near[np.arange(len(near)), cell.to_numpy()] = False
+        return pd.Series([np.flatnonzero(n).astype(np.int32) for n in near])
+
+    listed = cut_lineage(rows.select("row_key", "vec", "bound", others("vec", "cell", "bound").alias("parts")))
+    return listed.select("row_key", "vec", F.explode("parts").alias("cell"), "bound")
+
+
 def cells_to_search(rows: DataFrame, tree: CellTree, probes: int | None = None) -> DataFrame:
     """One row per (row, other cell) that may hold nearer rows; ``rows`` has vec, own cell and bound."""
 
@@ -217,11 +362,65 @@ def cells_to_search(rows: DataFrame, tree: CellTree, probes: int | None = None)
     return rows.withColumn("cell", F.explode(others("vec", "cell", "bound"))).select("row_key", "vec", "cell", "bound")
 
 
-def coded_candidates(sent: DataFrame, placed: DataFrame, blocks: DataFrame, k: int, edges: np.ndarray) -> DataFrame:
+def _coded_pairs(rows: np.ndarray, own: np.ndarray, reach: np.ndarray, codes: np.ndarray, keys: np.ndarray, edges: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """(row, coded row, lower, upper, whether it tells) of the pairs of a block that bounds cannot exclude."""
+    dims = range(rows.shape[1])
+    low = np.stack([edges[d, codes[:, d]] for d in dims], axis=1)
+    high = np.stack([edges[d, codes[:, d].astype(np.int64) + 1] for d in dims], axis=1)
+    middle, half = (low + high) / 2, (high - low) / 2
+    corner = np.sqrt((half * half).sum(1)) * (1 + SLACK)
+    chunks = [slice(a, a + 4 * TILE) for a in range(0, len(codes), 4 * TILE)]
+    bases = [_Base(middle[c], np.zeros(len(middle[c]), int)) for c in chunks]
+    out: list[tuple[np.ndarray, ...]] = []
+    for first in range(0, len(rows), TILE):
+        tile = np.arange(first, min(first + TILE, len(rows)))
+        tile = tile[np.isfinite(rows[tile]).all(1)]
+        limit = reach[tile]
+        held = [np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0)]
+        for chunk, base in zip(chunks, bases) if len(tile) else ():
+            squares, wrong = base.products(rows[tile], 0)
+            far, most = corner[chunk], limit.copy()
+            open_ended = np.flatnonzero(~np.isfinite(limit)) if len(far) > k + 1 else np.zeros(0, int)
+            if len(open_ended):
+                # One more than k, as a row may meet itself.
+                upper = np.sqrt(np.maximum(squares[open_ended] + wrong[open_ended, None], 0)) + far
+                most[open_ended] = np.partition(upper, k, axis=1)[:, k]
+            most = most * (1 + 1e-6) + SLACK
+            within = _above(most, base.kind)[:, None] + _above(far * (1 + 1e-6), base.kind)[None, :]
+            q_at, b_at = np.nonzero(~(squares - _above(wrong, base.kind)[:, None] > within * within))
+            b_at += chunk.start
+            q_at, b_at = (x[own[tile[q_at]] != keys[b_at]] for x in (q_at, b_at))
+            lower, upper = np.zeros(len(q_at)), np.zeros(len(q_at))
+            for d in dims:
+                x = rows[tile[q_at], d]
+                under, over = low[b_at, d] - x, x - high[b_at, d]
+                lower += np.square(np.maximum(np.maximum(under, over), 0))
+                upper += np.square(np.maximum(-under, -over))
+            held = [np.concatenate(x) for x in zip(held, (q_at, b_at, np.sqrt(lower), np.sqrt(upper)))]
+            # The k smallest upper bounds of each row tell, and limit the row.
+            order = np.lexsort((held[3], held[0]))
+            held = [x[order] for x in held]
+            starts = np.flatnonzero(np.concatenate([[True], held[0][1:] != held[0][:-1]])) if len(order) else np.zeros(0, int)
+            counts = np.diff(np.append(starts, len(order)))
+            full = starts[counts >= k] + k - 1
+            limit[held[0][full]] = np.minimum(limit[held[0][full]], held[3][full])
+            tells = (np.arange(len(order)) - np.repeat(starts, counts) < k) & np.isfinite(held[3])
+            keep = (held[2] <= limit[held[0]] * (1 + SLACK) + SLACK) & np.isfinite(held[2])
+            held = [x[keep] for x in held]
+            tells = tells[keep]
+        if len(held[0]):
+            out.append((tile[held[0]], *held[1:], tells))
+    if not out:
+        return (np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0), np.zeros(0, bool))
+    return tuple(np.concatenate([o[i] for o in out]) for i in range(5))
+
+
+def coded_candidates(sent: DataFrame, placed: DataFrame, blocks: DataFrame, k: int, edges: np.ndarray, block: int | None = None) -> DataFrame:
     """``(row_key, neighbor_key)`` that codes cannot exclude: the k nearest of the cells a row was sent to are among them.
 
     A pair stays when its lower bound is at most the row's own bound and the k-th smallest upper bound over all
-    cells. A block tells at most k upper bounds of a row, so no row's bounds pile up.
+    cells. A block tells at most k upper bounds of a row, so no row's bounds pile up. The middles of the intervals and the
+    distance from there to their corners exclude most pairs by one product of matrices; the others get the bounds of each dimension.
     """
     key_type, query_type = placed.schema["row_key"].dataType, sent.schema["row_key"].dataType
     out_schema = T.StructType(
@@ -237,25 +436,13 @@ def coded_candidates(sent: DataFrame, placed: DataFrame, blocks: DataFrame, k: i
     def block_join(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({f.name: pd.Series([], dtype="object") for f in out_schema.fields})
-        keys = right["row_key"].to_numpy()
-        lower, upper = vector_codes.bounds(_matrix(left["q_vec"]), vector_codes.unpack(right["codes"]), edges)
-        own = left["q_row_key"].to_numpy()[:, None] == keys[None, :]
-        lower[own], upper[own] = np.inf, np.inf
-        reach = left["q_bound"].fillna(math.inf).to_numpy(dtype="float64")[:, None]
-        tells = np.isfinite(upper)
-        if len(keys) > k:
-            limit = np.partition(upper, k - 1, axis=1)[:, k - 1 : k]
-            reach = np.minimum(reach, limit)
-            closer, tied = upper < limit, upper == limit
-            tells &= closer | (tied & (tied.cumsum(1) <= k - closer.sum(1, keepdims=True)))
-        # A pair may tell its upper bound although it is itself beyond the row's bound: it then does no harm.
-        keep = (lower <= reach * (1 + SLACK) + SLACK) & np.isfinite(lower)
-        q_at, b_at = np.nonzero(keep)
-        return pd.DataFrame(
-            {"row_key": left["q_row_key"].to_numpy()[q_at], "neighbor_key": keys[b_at], "lower": lower[q_at, b_at], "upper": upper[q_at, b_at], "tells": tells[q_at, b_at]}
-        )
-
-    q_blocks, b_blocks = _meetings(sent, placed, blocks, ["vec", "bound"], ["codes"])
+        own, keys = left["q_row_key"].to_numpy(), right["row_key"].to_numpy()
+        reach = left["q_bound"].fillna(math.inf).to_numpy(dtype="float64")
+        codes = vector_codes.unpack(right["codes"])
+        q_at, b_at, lower, upper, tells = _coded_pairs(_matrix(left["q_vec"]), own, reach, codes, keys, edges, k)
+        return pd.DataFrame({"row_key": own[q_at], "neighbor_key": keys[b_at], "lower": lower, "upper": upper, "tells": tells})
+
+    q_blocks, b_blocks = _meetings(sent, placed, blocks, ["vec", "bound"], ["codes"], block)
     found = cut_lineage(q_blocks.cogroup(b_blocks).applyInPandas(block_join, out_schema))
     order = Window.partitionBy("row_key").orderBy("upper")
     limits = (
@@ -270,7 +457,7 @@ def _measured(pairs: DataFrame, queries: DataFrame, base: DataFrame) -> DataFram
     """Distances of pairs, summed in the order of ``_distances``."""
     sides = pairs.join(base.select(F.col("row_key").alias("neighbor_key"), F.col("vec").alias("b_vec")), "neighbor_key")
     sides = sides.join(queries.select("row_key", F.col("vec").alias("q_vec")), "row_key")
-    steps = F.zip_with("q_vec", "b_vec", lambda a, b: (a - b) * (a - b))
+    steps = F.zip_with("q_vec", "b_vec", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double")))
     return sides.select("row_key", "neighbor_key", F.sqrt(F.aggregate(steps, F.lit(0.0), lambda t, x: t + x)).alias("distance"))
 
 
@@ -292,6 +479,54 @@ def cell_tree(base: DataFrame, n_base: int, cell_rows: int = CELL_ROWS) -> tuple
     return tree, placed, base.sparkSession.createDataFrame(sizes, "cell int, b_blocks int")
 
 
+def _probed(queries: DataFrame, tree: CellTree, placed: DataFrame, blocks: DataFrame, k: int, key_type: T.DataType, query_type: T.DataType, probes: int) -> DataFrame:
+    """Candidates from a row's own cell and the ``probes - 1`` nearest others."""
+    at_home = cut_lineage(_in_cells(queries, tree))
+    first = cut_lineage(_candidates(at_home, placed, blocks, k, key_type, query_type))
+    if tree.n_cells == 1 or probes <= 1:
+        return first
+    sent = cut_lineage(cells_to_search(_bounded(at_home, first, k), tree, probes))
+    return _merged(first, _candidates(sent, placed, blocks, k, key_type, query_type), k)
+
+
+def _of_all_parts(
+    queries: DataFrame, base: DataFrame, tree: CellTree, placed: DataFrame, n_base: int, k: int, key_type: T.DataType, query_type: T.DataType, bits: int | None
+) -> DataFrame:
+    """The k nearest from a row's own part and all others that may hold nearer rows."""
+    rows = max(1, min(math.ceil(n_base / PARTS), PART_ROWS, PART_BYTES // (8 * tree.low.shape[1] or 1)))
+    span = max(1, round(rows * tree.n_cells / n_base))
+
+    def parted(of: DataFrame) -> DataFrame:
+        return of.withColumn("leaf", F.col("cell")).withColumn("cell", F.floor(F.col("cell") / span).cast("int"))
+
+    placed, rows = parted(placed), max(rows, BLOCK)
+    sizes = placed.groupBy("cell").agg(F.count("*").alias("n"))
+    # One row per part.
+    blocks = queries.sparkSession.createDataFrame([(r["cell"], max(1, math.ceil(r["n"] / (2 * rows)))) for r in sizes.collect()], "cell int, b_blocks int")
+    at_home = cut_lineage(parted(_in_cells(queries, tree)).drop("leaf"))
+    first = cut_lineage(_candidates(at_home, placed, blocks, k, key_type, query_type, max(BLOCK, rows // 4)))
+    if tree.n_cells <= span:
+        return first
+    sent = parts_to_search(_bounded(at_home, first, k), tree, span)
+    if bits is None:
+        return _merged(first, _candidates(sent, placed, blocks, k, key_type, query_type, rows), k)
+    ends = vector_codes.edges(placed, bits)
+    pairs = coded_candidates(sent, cut_lineage(vector_codes.encode(placed, ends).drop("vec")), blocks, k, ends, rows)
+    return _merged(first, _measured(pairs, queries, base), k)
+
+
+def _bounded(at_home: DataFrame, first: DataFrame, k: int) -> DataFrame:
+    # A row that met fewer than k others has no bound yet.
+    bounds = first.groupBy("row_key").agg(F.max(F.when(F.col("rank") == k, F.col("distance"))).alias("bound"))
+    return at_home.join(bounds, "row_key", "left")
+
+
+def _merged(first: DataFrame, more: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("row_key").orderBy("distance", "neighbor_key")
+    both = first.drop("rank").unionByName(more.drop("rank"))
+    return both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
 def nearest(
     queries: DataFrame, base: DataFrame, k: int, payload: list[str] | None = None, cell_rows: int = CELL_ROWS, probes: int | None = None, bits: int | None = None
 ) -> DataFrame:
@@ -307,33 +542,24 @@ def nearest(
     key_type, query_type = base.schema["row_key"].dataType, queries.schema["row_key"].dataType
     vec = F.transform("vec", lambda x: x.cast("double"))
     whole = base.select("row_key", vec.alias("vec"), *payload)
-    queries = queries.select("row_key", vec.alias("vec"))
+    # Floats travel as floats; they are doubles where they are compared.
+    single = all(df.schema["vec"].dataType == T.ArrayType(T.FloatType(), df.schema["vec"].dataType.containsNull) for df in (base, queries))
+    moved = F.col("vec") if single else vec.alias("vec")
+    queries = queries.select("row_key", moved)
 
     # Copies beyond the k + 1 smallest keys can never be among k neighbours. The rank
     # filter is applied before the shuffle as well, so copies do not pile up in a task.
     copies = Window.partitionBy("vec").orderBy("row_key")
-    base = cut_lineage(whole.select("row_key", "vec").withColumn("copy_no", F.row_number().over(copies)).filter(F.col("copy_no") <= k + 1).drop("copy_no"))
+    base = cut_lineage(base.select("row_key", moved).withColumn("copy_no", F.row_number().over(copies)).filter(F.col("copy_no") <= k + 1).drop("copy_no"))
     n_base = base.count()
     if n_base == 0:
         raise ValueError("no rows to be neighbours")
     tree, placed, blocks = cell_tree(base, n_base, cell_rows)
 
-    at_home = cut_lineage(_in_cells(queries, tree))
-    first = cut_lineage(_candidates(at_home, placed, blocks, k, key_type, query_type))
-    found = first
-    if tree.n_cells > 1 and (probes is None or probes > 1):
-        # A row that met fewer than k others has no bound yet.
-        bounds = first.groupBy("row_key").agg(F.max(F.when(F.col("rank") == k, F.col("distance"))).alias("bound"))
-        sent = cut_lineage(cells_to_search(at_home.join(bounds, "row_key", "left"), tree, probes))
-        if bits is None:
-            more = _candidates(sent, placed, blocks, k, key_type, query_type)
-        else:
-            edges = vector_codes.edges(placed, bits)
-            pairs = coded_candidates(sent, cut_lineage(vector_codes.encode(placed, edges).drop("vec")), blocks, k, edges)
-            more = _measured(pairs, queries, base).withColumn("rank", F.lit(0))
-        merged = Window.partitionBy("row_key").orderBy("distance", "neighbor_key")
-        both = first.drop("rank").unionByName(more.drop("rank"))
-        found = both.withColumn("rank", F.row_number().over(merged)).filter(F.col("rank") <= k)
+    if probes is not None:
+        found = _probed(queries, tree, placed, blocks, k, key_type, query_type, probes)
+    else:
+        found = _of_all_parts(queries, base, tree, placed, n_base, k, key_type, query_type, bits)
     names = {"row_key": "neighbor_key", "vec": "neighbor_vec", **{p: f"neighbor_{p}" for p in payload}}
     side = whole.select(*[F.col(c).alias(n) for c, n in names.items()])
     return found.join(side, "neighbor_key").select("row_key", "rank", "neighbor_key", "distance", "neighbor_vec", *[f"neighbor_{p}" for p in payload])
