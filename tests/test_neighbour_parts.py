@@ -53,3 +53,13 @@ def test_products_leave_no_neighbour_out(dims):
     for i in range(120):
         expected = sorted((d[i, j], j) for j in range(900) if j != i)[:4]
         assert list(zip(distance[q_at == i], b_at[q_at == i])) == expected
+
+
+def test_rows_that_come_twice_meet_k_others():
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.normal(size=(40, 5)), 3, axis=0)
+    keys = np.repeat(np.arange(40), 3)
+    q_at, b_at, distance = neighbors._nearest_in_block(x, keys, np.full(120, np.inf), neighbors._Base(x, np.zeros(120, int)), keys, 2)
+    d = neighbors._distances(x, x)
+    for i in range(120):
+        assert list(zip(distance[q_at == i], b_at[q_at == i])) == sorted((d[i, j], j) for j in range(120) if keys[j] != keys[i])[:2]
