@@ -26,7 +26,6 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +42,8 @@ from tablewright.plans.side_by_side import PARALLEL, side_by_side
 VECTOR = "features"
 TARGET = "target"
 FOLDS = 5
+#: The many short passes of an elimination have tasks of about so many rows at least: starting tasks takes longer than fewer rows do.
+ROWS_OF_TASK = 25_000
 
 
 @contextlib.contextmanager
@@ -55,6 +56,11 @@ def kept(df: DataFrame) -> Iterator[DataFrame]:
         df.unpersist()
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """The rows in no more partitions than ``ROWS_OF_TASK`` asks for; a large table keeps its own."""
+    return df.coalesce(max(1, math.ceil(df.count() / ROWS_OF_TASK)))
+
+
 def assembled(df: DataFrame, features: list[str], *extra: str) -> DataFrame:
     """A vector column of the features; rows with nulls are left out."""
     doubles = df.na.drop(subset=features).select(*extra, *[F.col(c).cast("double").alias(c) for c in features])
@@ -432,16 +438,26 @@ def recursive_elimination(train: DataFrame, features: list[str], label: str, key
     spark, remaining, steps = train.sparkSession, list(features), []
     source = _folds(with_target(train, label, classes), key).select(TARGET, "fold", *features).na.drop(subset=features)
     evaluator = MulticlassClassificationEvaluator(labelCol=TARGET, metricName="accuracy")
-    with kept(source) as data:
+
+    def fitted(rows: DataFrame) -> Model:
+        with kept(rows) as own:
+            return classifier("logistic", len(classes), **args).fit(own)
+
+    def tested(rows: DataFrame, fold: int) -> float:
+        return evaluator.evaluate(fitted(rows.filter(F.col("fold") != fold)).transform(rows.filter(F.col("fold") == fold)))
+
+    with kept(gathered(source)) as data:
+        sizes = {r["fold"]: r["n"] for r in data.groupBy("fold").agg(F.count("*").alias("n")).collect()}
+        if any(sizes.get(fold, 0) in (0, sum(sizes.values())) for fold in range(FOLDS)):
+            raise ValueError("every fold needs rows within and without")
         while remaining:
             rows = assembled(data, remaining, TARGET, "fold")
-            model = classifier("logistic", len(classes), **args)
-            search = CrossValidator(
-                estimator=model, estimatorParamMaps=[{}], evaluator=evaluator, numFolds=FOLDS, foldCol="fold", parallelism=FOLDS
-            ).fit(rows)
-            sizes = abs(search.bestModel.coefficientMatrix.toArray()).sum(axis=0)
+            # The fit on all rows runs beside those of the folds.
+            tasks = [functools.partial(fitted, rows), *[functools.partial(tested, rows, fold) for fold in range(FOLDS)]]
+            model, *accuracies = side_by_side(spark, tasks, FOLDS + 1)
+            sizes = abs(model.coefficientMatrix.toArray()).sum(axis=0)
             weakest = remaining[int(sizes.argmin())]
-            steps.append((len(remaining), float(search.avgMetrics[0]), weakest))
+            steps.append((len(remaining), float(np.mean(accuracies)), weakest))
             remaining = [f for f in remaining if f != weakest]
     return spark.createDataFrame(steps, "n_features int, accuracy double, dropped string")
 
