@@ -297,6 +297,18 @@ def test_equal_hashes_do_not_add_up(spark, monkeypatch):
     assert phrases(spark, rows, 6) == brute_phrases(rows, 6, None)
 
 
+def test_spelled_phrases_travel_in_blocks(spark):
+    # A task sends a row per language, length and range, however many phrases it met.
+    rows = [(i, " ".join(f"w{i * 50 + j}" for j in range(50)), "en") for i in range(40)]
+    runs = collocations.word_runs(spark.createDataFrame(rows, "doc_id long, text string, lang string").select("lang", F.col("text").cast("binary").alias("text")).repartition(2), 1, 1 << 20)
+    every = spark.sparkContext.broadcast(np.full(8, 255, np.uint8))
+    blocks = collocations._spelled(runs, every, 3, 64)
+    assert blocks.count() <= 2 * 5 * 3
+    counted = collocations._counted(blocks, 1, 3)
+    assert counted.groupBy("words").count().orderBy("words").collect() == [(n, 40 * (51 - n)) for n in range(1, 6)]
+    assert counted.filter("a <> 1").count() == 0
+
+
 # Rows and queries in tasks
 
 
