@@ -69,13 +69,15 @@ def claims(spark: SparkSession, sf_dir: str, **replaced: DataFrame) -> DataFrame
     return spark.sql(CLAIMS, **base)
 
 
-def split_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+def split_claims(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Labelled claims with a ``split`` column: 70 % of every class is 'train'.
 
     The view is written once: split, fit and result each read a few of its columns
-    instead of joining the base tables again.
+    instead of joining the base tables again. With ``columns``, only ``claim_id``, ``claim_type`` and these
+    are worked out and written; the rows are the same.
     """
-    labelled = cut_lineage(claims(spark, sf_dir).filter("claim_type IS NOT NULL"))
+    labelled = claims(spark, sf_dir).filter("claim_type IS NOT NULL")
+    labelled = cut_lineage(labelled.select(*dict.fromkeys(["claim_id", "claim_type", *columns])) if columns else labelled)
     return stratified_split(labelled, "claim_type", "claim_id", {"train": 0.7}, rest="val")
 
 

@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tablewright import catalog
+from tablewright.catalog import claims
 from tablewright.functions import expressions as ex
 from tablewright.operators import cascade, clean, encode, features, impute, metrics, models, neighbors, outliers, rules, select
 from tablewright.plans import lookup
@@ -344,3 +346,16 @@ def test_frequency_encoder_with_a_large_table(spark, monkeypatch):
     monkeypatch.setattr(lookup, "_broadcast_bytes", lambda spark: -1)
     got = sorted(map(tuple, encode.FrequencyEncoder(columns=["a", "b"]).fit(df).transform(df).select("i", "a", "b", "a_freq", "b_freq").collect()))
     assert got == expected
+
+
+def test_split_of_some_columns_has_the_same_rows(spark, sf_dir, monkeypatch):
+    written = []
+    cut = claims.cut_lineage
+    monkeypatch.setattr(claims, "cut_lineage", lambda df: written.append(df.columns) or cut(df))
+    whole = claims.split_claims(spark, sf_dir).select("claim_id", "claim_type", "age", "split")
+    some = claims.split_claims(spark, sf_dir, "age")
+    assert written[1] == ["claim_id", "claim_type", "age"] and some.columns == whole.columns
+    assert whole.exceptAll(some).count() == some.exceptAll(whole).count() == 0 < some.count()
+    written.clear()
+    catalog.QUERIES["label_index"](spark, sf_dir)
+    assert written == [["claim_id", "claim_type"]]
