@@ -333,6 +333,23 @@ def test_ridge_separates_two_clouds(spark):
     assert out.filter("prediction <> y").count() == 0
 
 
+def test_large_training_partitions_are_dealt_evenly(spark, monkeypatch):
+    seen = []
+
+    class Reader:
+        def fit(self, data):
+            seen.append([len(p) for p in data.rdd.glom().collect()] + [sorted(r["features"][0] for r in data.collect())])
+
+    monkeypatch.setattr(models, "classifier", lambda *args, **kwargs: Reader())
+    df = spark.range(1000).select(F.col("id").cast("double").alias("x"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("y")).coalesce(1)
+    models.fit_classifier(df, "forest", ["x"], "y", ["a", "b"])
+    monkeypatch.setattr(models, "ROWS_OF_PART", 200)
+    models.fit_classifier(df, "forest", ["x"], "y", ["a", "b"])
+    models.fit_classifier(df.limit(0), "forest", ["x"], "y", ["a", "b"])
+    assert [len(s) - 1 for s in seen[:2]] == [1, 5]
+    assert max(seen[1][:-1]) <= 210 and seen[0][-1] == seen[1][-1] == list(map(float, range(1000)))
+
+
 def test_elimination_keeps_the_telling_feature(spark):
     rows = [(i, float(i * 37 % 19), float(i % 2) + 0.01 * (i % 7), "a" if i % 2 else "b") for i in range(120)]
     df = spark.createDataFrame(rows, "claim_id long, noise double, x double, y string")
