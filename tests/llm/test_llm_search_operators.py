@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -309,6 +310,42 @@ def test_spelled_phrases_travel_in_blocks(spark):
     assert counted.filter("a <> 1").count() == 0
 
 
+def test_runs_and_blocks_reach_tasks_a_few_at_a_time(spark, monkeypatch):
+    # A run is a megabyte or more: Spark's own batches hold a whole partition of them.
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen, cut = spark.conf.get(name), [], collocations.cut_lineage
+
+    def noted(df, *args):
+        seen.append(int(spark.conf.get(name)))
+        return cut(df, *args)
+
+    monkeypatch.setattr(collocations, "cut_lineage", noted)
+    rows = varied_texts(3, 50)
+    assert phrases(spark, rows, 4) == brute_phrases(rows, 4, None)
+    assert len(seen) > 3 and set(seen) == {collocations.BYTES_AT_ONCE}
+    assert spark.conf.get(name) == before
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())})
+
+    with collocations.small_batches(spark, 1_000_000):
+        met = spark.range(0, 20, 1, 1).select(F.expr("cast(repeat('x', 400000) as binary)").alias("b")).mapInArrow(sizes, "n long").collect()
+    assert max(r["n"] for r in met) == 3 and sum(r["n"] for r in met) == 20
+
+
+def test_phrases_are_sent_on_within_a_run(spark):
+    # One run has more phrases than a task holds.
+    held = collocations.SPELLED_HELD
+    words = " ".join(f"w{j}" for j in range(held // 2))
+    texts = spark.createDataFrame([(words, "en")], "text string, lang string").select("lang", F.col("text").cast("binary").alias("text"))
+    blocks = collocations._spelled(collocations.word_runs(texts.repartition(1), 1, 1 << 20), spark.sparkContext.broadcast(np.full(8, 255, np.uint8)), 1, 64)
+    sent = blocks.select((F.length("counts") / 8).cast("int").alias("n")).collect()
+    assert max(r["n"] for r in sent) <= held
+    assert len(sent) > 5
+    assert collocations._counted(blocks, 1, 1).filter("a <> 1").count() == 0
+
+
 # Rows and queries in tasks
 
 
