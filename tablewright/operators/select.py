@@ -250,14 +250,17 @@ def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def spearman_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rank correlation of every pair of columns over rows without nulls."""
+    """Rank correlation of every pair of columns over rows without nulls.
+
+    The rows stay whole: each column's ranks are joined to them, by a broadcast where the column has few values.
+    """
     rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
-    # Written, so that the numbers of the rows stay what they are.
+    # Written, so that both readings have the same rows; their numbers spread equal ones.
     rows = cut_lineage(rows.withColumn("row_no", F.monotonically_increasing_id()))
-    ranks = FittedTable.of(average_ranks(rows, columns).withColumn(WEIGHT, F.col("n")).drop("n"))
-    long = attach(rows.unpivot(["row_no"], columns, "feature", "own_value"), ranks, {"feature": "feature", "own_value": "value"})
-    by_feature = [F.max(F.when(F.col("feature") == c, F.col("avg_rank"))).alias(f"rank_{c}") for c in columns]
-    rows = long.select("row_no", "feature", "avg_rank").groupBy("row_no").agg(*by_feature)
+    ranks = FittedTable.of(average_ranks(rows, columns).withColumn(WEIGHT, F.col("n")).drop("n"), part="feature")
+    for c in columns:
+        own = ranks.of_part(c)
+        rows = attach(rows, FittedTable(own.df.withColumnRenamed("avg_rank", f"rank_{c}"), own.hot), {c: "value"}).drop(c)
     pairs = list(combinations(sorted(columns), 2))
 
     def correlation(a: str, b: str) -> Column:
