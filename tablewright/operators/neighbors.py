@@ -271,7 +271,7 @@ def _nearest_in_block(rows: np.ndarray, keys: np.ndarray, reach: np.ndarray, bas
                     # More than k, as a row may meet itself.
                     kth = np.partition(squares[open_ended], enough - 1, axis=1)[:, enough - 1]
                     most[open_ended] = np.where(np.isnan(kth), np.inf, kth + wrong[open_ended])
-                q_at, b_at = np.nonzero(~(squares > _above(most + wrong, base.kind)[:, None]))
+                q_at, b_at = _not_above(squares, _above(most + wrong, base.kind)[:, None])
                 q_at, b_at = some[q_at], a + b_at
                 distance = _pair_distances(rows, tile[q_at], base.vec, b_at)
                 b_at = base.at[b_at]
@@ -302,6 +302,11 @@ def _above(limit: np.ndarray, kind: type) -> np.ndarray:
         return np.nextafter(limit.astype(kind), kind(np.inf))
 
 
+def _not_above(squares: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the entries that are not above the limit, also of those that are no number; few of many, so found in one dimension."""
+    return np.divmod(np.flatnonzero(~(squares > limit)), squares.shape[1])
+
+
 def _pair_distances(left: np.ndarray, left_at: np.ndarray, right: np.ndarray, right_at: np.ndarray) -> np.ndarray:
     """Distances of the pairs, summed in the order of ``_distances``."""
     out = np.zeros(len(left_at))
@@ -394,7 +399,7 @@ def _coded_pairs(rows: np.ndarray, own: np.ndarray, reach: np.ndarray, codes: np
                 most[open_ended] = np.partition(upper, enough - 1, axis=1)[:, enough - 1]
             most = most * (1 + 1e-6) + SLACK
             within = _above(most, base.kind)[:, None] + _above(far * (1 + 1e-6), base.kind)[None, :]
-            q_at, b_at = np.nonzero(~(squares - _above(wrong, base.kind)[:, None] > within * within))
+            q_at, b_at = _not_above(squares - _above(wrong, base.kind)[:, None], within * within)
             b_at += chunk.start
             q_at, b_at = (x[own[tile[q_at]] != keys[b_at]] for x in (q_at, b_at))
             lower, upper = np.zeros(len(q_at)), np.zeros(len(q_at))

@@ -63,3 +63,10 @@ def test_rows_that_come_twice_meet_k_others():
     d = neighbors._distances(x, x)
     for i in range(120):
         assert list(zip(distance[q_at == i], b_at[q_at == i])) == sorted((d[i, j], j) for j in range(120) if keys[j] != keys[i])[:2]
+
+
+def test_entries_that_are_not_above_are_found_at_once():
+    squares = np.array([[1.0, 5.0, np.nan], [4.0, 2.0, 9.0]])
+    rows, columns = neighbors._not_above(squares, np.array([[1.0], [4.0]]))
+    assert list(zip(rows.tolist(), columns.tolist())) == [(0, 0), (0, 2), (1, 0), (1, 1)]
+    assert [len(x) for x in neighbors._not_above(np.zeros((3, 2)), np.full((3, 1), -1.0))] == [0, 0]
