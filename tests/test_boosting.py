@@ -102,3 +102,30 @@ def test_other_settings_and_empty_tables(spark):
     assert isinstance(models.classifier("boosted", 2, maxIter=2, checkpointInterval=5), GBTClassifier)
     with pytest.raises(ValueError):
         models.classifier("boosted", 2, **SETTINGS).fit(vectors(table(spark).limit(0), ["a", "b"]))
+
+
+def test_only_the_smaller_side_of_a_split_is_counted():
+    rng = np.random.default_rng(7)
+    n, parts, n_bins = 500, 3, 8
+    bins = rng.integers(0, n_bins, (4, n)).astype(np.uint8)
+    target = ((bins[0] + bins[1]) // 6).astype(np.int32)
+    for weight in (None, rng.uniform(0.5, 2, n)):
+        block = boosting.Block((0, 0), bins, target, weight, np.zeros((parts, n)))
+        grown = boosting.Trees(np.zeros((parts, 7), np.int64), np.full((parts, 7), n_bins, np.int64), np.zeros((parts, 8)), 1.0)
+        sums = np.zeros(0)
+        for level in range(3):
+            counted = boosting._smaller_sides(sums, grown, level, n_bins) if level else np.zeros((parts, 1), np.int64)
+            found = next(boosting._level_sums(grown, counted, 1, list(range(parts)), n_bins, 1.0, 1, [block]))
+            if level:
+                sums = boosting._both_sides(sums, found, counted, n_bins)
+                assert (found[0, :, 0].sum(1) <= (n if weight is None else weight.sum()) / 2 + 1e-9).all()
+            else:
+                sums = found
+            whole = np.zeros_like(sums)
+            for part in range(parts):
+                residual = boosting._residuals(block, part, part, np.arange(n), False) * (1.0 if weight is None else weight)
+                for f in range(4):
+                    cell = grown.leaves(bins, part, level) * n_bins + bins[f]
+                    whole[0, part, f], whole[1, part, f] = np.bincount(cell, weight, 2**level * n_bins), np.bincount(cell, residual, 2**level * n_bins)
+            assert np.allclose(sums, whole, atol=1e-9)
+            boosting._split(grown, level, sums, n_bins, 1, 0.0, level == 2)
