@@ -38,6 +38,7 @@ from tablewright.operators.forest import ForestTrees
 from tablewright.operators.neighbors import as_vectors, knn_vote
 from tablewright.operators.sample import stratified_sample
 from tablewright.operators.select import cumulative_cut
+from tablewright.operators.softmax import FoldedSoftmax
 from tablewright.plans.lookup import FittedTable
 from tablewright.plans.side_by_side import PARALLEL, side_by_side
 
@@ -473,18 +474,45 @@ def recursive_elimination(train: DataFrame, features: list[str], label: str, key
         sizes = {r["fold"]: r["n"] for r in data.groupBy("fold").agg(F.count("*").alias("n")).collect()}
         if any(sizes.get(fold, 0) in (0, sum(sizes.values())) for fold in range(FOLDS)):
             raise ValueError("every fold needs rows within and without")
+        if set(args) <= {"maxIter", "tol"}:
+            sums = fold_sums(data, [*features, TARGET], "fold")
+            with FoldedSoftmax(data, features, TARGET, "fold", len(classes), sums, **args) as fits:
+                steps = _eliminated(spark, fits, features, sizes)
+            return spark.createDataFrame(steps, "n_features int, accuracy double, dropped string")
         while remaining:
             rows = assembled(data, remaining, TARGET, "fold")
             # The fit on all rows runs beside those of the folds.
             tasks = [functools.partial(fitted, rows), *[functools.partial(tested, rows, fold) for fold in range(FOLDS)]]
             model, *accuracies = side_by_side(spark, tasks, FOLDS + 1)
-            sizes = abs(model.coefficientMatrix.toArray()).sum(axis=0)
-            weakest = remaining[int(sizes.argmin())]
+            weights = abs(model.coefficientMatrix.toArray()).sum(axis=0)
+            weakest = remaining[int(weights.argmin())]
             steps.append((len(remaining), float(np.mean(accuracies)), weakest))
             remaining = [f for f in remaining if f != weakest]
     return spark.createDataFrame(steps, "n_features int, accuracy double, dropped string")
 
 
+def _eliminated(spark, fits: FoldedSoftmax, features: list[str], sizes: dict[int, int]) -> list[tuple[int, float, str]]:
+    """The steps of an elimination; each fit begins where that of the step before ended."""
+    used, steps = list(range(len(features))), []
+    ended: dict[int | None, np.ndarray] = {}
+
+    def fitted() -> np.ndarray:
+        return fits.fit(used, None, ended.get(None))
+
+    def tested(fold: int) -> tuple[np.ndarray, float]:
+        weights = fits.fit(used, fold, ended.get(fold))
+        return weights, fits.hits(used, weights, fold) / sizes[fold]
+
+    while used:
+        # The fit on all rows runs beside those of the folds.
+        whole, *folds = side_by_side(spark, [fitted, *[functools.partial(tested, fold) for fold in range(FOLDS)]], FOLDS + 1)
+        weakest = int(abs(fits.coefficients(used, whole)).sum(axis=0).argmin())
+        steps.append((len(used), float(np.mean([accuracy for _, accuracy in folds])), features[used[weakest]]))
+        ended = {fold: np.delete(weights, weakest, axis=0) for fold, weights in [(None, whole), *[(i, w) for i, (w, _) in enumerate(folds)]]}
+        used = [i for i in used if i != used[weakest]]
+    return steps
+
+
 def best_size(path: DataFrame) -> int:
     """The number of features with the highest accuracy, the fewest of equals; 0 for an empty path."""
     best = path.orderBy(F.desc("accuracy"), "n_features").first()
